@@ -49,17 +49,19 @@ def to_arrow(schema: T.StructType) -> pa.Schema:
 
 def by_texts(df: DataFrame, keep: list[str], text: str, schema: str, work: Callable[[], Callable[[tb.Texts, int], dict]]) -> DataFrame:
     """Adds columns made from a text column. `work()` is called once per task and gives a function from
-    a slice of texts to its new columns (arrays or lists). Rows keep their order; `keep` columns pass through."""
+    a slice of texts to its new columns (arrays or lists). Rows keep their order; `keep` columns pass through
+    (the text travels once, also if it is one of them)."""
     new = T._parse_datatype_string(schema)
-    picked = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    full = T.StructType([*picked.drop("__text").schema.fields, *new.fields])
+    source = text if text in keep else "__text"
+    picked = df.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(f"`{text}`").cast("string").alias("__text")]))
+    full = T.StructType([*picked.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, *new.fields])
     arrow = to_arrow(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = work()
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            others = [i for i in range(batch.num_columns) if i != at]
+            at = batch.schema.get_field_index(source)
+            others = [i for i in range(batch.num_columns) if i != at or source == text]
             for i, j, texts in tb.slices(batch.column(at)):
                 made = function(texts, j - i)
                 cols = [batch.column(k).slice(i, j - i) for k in others]

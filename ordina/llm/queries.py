@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules
+from . import decontamination, quality_classifier, quality_rules
 
 QUERIES = {
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 SQL: dict[str, str] = {}
