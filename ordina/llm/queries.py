@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_classifier, quality_rules
+from . import decontamination, near_duplicates, quality_classifier, quality_rules
 
 QUERIES = {
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op8_near_duplicates": near_duplicates.op8_near_duplicates,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 SQL: dict[str, str] = {}
