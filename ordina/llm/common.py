@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def mapped(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """mapInArrow, after this package has been shipped to the executors (once per application)."""
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_ordina_shipped", False):
+        package = Path(__file__).resolve().parent.parent
+        if package.is_dir():
+            archive = Path(tempfile.mkdtemp()) / "ordina_package.zip"
+            with zipfile.ZipFile(archive, "w") as z:
+                for p in sorted(package.rglob("*.py")):
+                    z.write(p, p.relative_to(package.parent))
+            sc.addPyFile(str(archive))
+        sc._ordina_shipped = True
+    return df.mapInArrow(run, schema)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -43,6 +61,7 @@ def to_arrow(schema: T.StructType) -> pa.Schema:
     kinds = {
         "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
         "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()),
+        "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),
     }
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema])
 
@@ -68,7 +87,7 @@ def by_texts(df: DataFrame, keep: list[str], text: str, schema: str, work: Calla
                 cols += [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(cols, names=[*(batch.schema.names[k] for k in others), *arrow.names])
 
-    return picked.mapInArrow(run, full)
+    return mapped(picked, run, full)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, where: Callable | None = None) -> tuple[list[str], list[int]]:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_duplicates, quality_classifier, quality_rules
+from . import decontamination, html_extraction, license_scan, near_duplicates, pii, quality_classifier, quality_rules, secret_scan, sentencepieces, token_counts
 
 QUERIES = {
+    "op1_html_extraction": html_extraction.op1_html_extraction,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+    "op4_pii": pii.op4_pii,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_decontamination": decontamination.op6_decontamination,
     "op8_near_duplicates": near_duplicates.op8_near_duplicates,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_sentencepieces": sentencepieces.op9_sentencepieces,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 SQL: dict[str, str] = {}
