@@ -1 +1,4 @@
 """Imports the modules that register queries."""
+
+from .operators import contracts, events, geometry, panel, relational, sequences, text  # noqa: F401
+from .streaming import sessions  # noqa: F401
