@@ -90,6 +90,21 @@ def by_texts(df: DataFrame, keep: list[str], text: str, schema: str, work: Calla
     return mapped(picked, run, full)
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with names that clash with no result's, and the new name of each column."""
+    named = {c: f"__column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*named.values()), named
+
+
+def replaced(docs: DataFrame, out: DataFrame, named: dict[str, str], new: str) -> DataFrame:
+    """The columns of docs from `out`, whose column `new` replaces the text where it is not null; n_chars follows."""
+    text, changed = F.col(named["text"]), F.col(new)
+    own = {c: F.col(n) for c, n in named.items()} | {"text": F.coalesce(changed, text)}
+    if "n_chars" in named:
+        own["n_chars"] = F.when(changed.isNull(), F.col(named["n_chars"])).otherwise(F.length(changed).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[c.alias(n) for n, c in own.items()])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, where: Callable | None = None) -> tuple[list[str], list[int]]:
     """Whole texts and 0/1 labels of at most `per_class` rows of each class, chosen by a hash of doc_id, so the
     sample is the same in every run. Labels other than 0 and 1, and documents with contradicting labels, are unused.

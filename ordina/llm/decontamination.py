@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import by_texts, table
+from .common import by_texts, renamed, replaced, table
 
 WINDOW = 10
 MAX_ITEM_WORDS = 4_000_000
@@ -260,15 +260,13 @@ def decontaminate(docs: DataFrame, items: Benchmark, max_coverage: float = MAX_C
                 a, b = words.offsets[d], words.offsets[d + 1]
                 at = texts.offsets[d]
                 clean[d] = without(texts.raw(d), words.starts[a:b] - at, words.ends[a:b] - at, hit[a:b])
-            return {"__clean": clean, "__over": hits > max_coverage * counts}
+            return {"clean": clean, "over": hits > max_coverage * counts}
 
         return of
 
-    out = by_texts(docs, docs.columns, "text", "__clean string, __over boolean", work).where("not __over")
-    new = {"text": F.coalesce("__clean", "text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast(docs.schema["n_chars"].dataType))
-    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, named = renamed(docs)
+    out = by_texts(own, own.columns, named["text"], "clean string, over boolean", work).where("not over")
+    return replaced(docs, out, named, "clean")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

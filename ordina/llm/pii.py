@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import by_texts, mapped, stored, table
+from .common import by_texts, mapped, renamed, replaced, stored, table
 from .features import sigmoid
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -302,11 +302,8 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in `text` (n_chars follows); no row goes."""
-    out = find(docs, fit(docs), docs.columns)
-    new = {"text": F.coalesce("redacted", "text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("redacted").isNull(), F.col("n_chars")).otherwise(F.length("redacted").cast(docs.schema["n_chars"].dataType))
-    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, named = renamed(docs)
+    return replaced(docs, find(own, fit(docs), own.columns, named["text"]), named, "redacted")
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import features
 from . import textbytes as tb
-from .common import by_texts, labelled_sample, table
+from .common import by_texts, labelled_sample, renamed, table
 
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -78,6 +78,12 @@ def score(docs: DataFrame, model: features.LogisticModel, keep: list[str], text:
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality_p") >= F.lit(threshold)))
 
 
+def passing(docs: DataFrame, model: features.LogisticModel) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    own, named = renamed(docs)
+    return score(own, model, own.columns, named["text"]).where("kept").select(*[F.col(named[c]).alias(c) for c in docs.columns])
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])

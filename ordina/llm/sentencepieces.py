@@ -118,6 +118,7 @@ class StreamingViterbi:
         self.done = 0  # positions of `text` from which all pieces have been offered
         self.score, self.back = [0.0], [None]
         self.widest = 0
+        self.check_at = 4 * vocabulary.longest  # when paths are next searched for a common boundary
 
     def _advance(self, final: bool) -> list[int]:
         """Offers all pieces from the positions whose longest piece is in sight, committing where paths meet."""
@@ -143,13 +144,16 @@ class StreamingViterbi:
                             self._offer(j, s, (i, hit[2]))
                     j += 1
             i += 1
-            if len(score) - 1 == i or (i >= 4 * v.longest and i % v.longest == 0):
+            if len(score) - 1 == i or i >= self.check_at:
                 self.done = i
                 self.widest = max(self.widest, len(score))
                 # nothing reaches beyond, so every path ends here; or paths may have met before
                 if b := i if len(score) - 1 == i else self._meeting():
                     out += self._commit(b)
                     text, score, back, i, n = self.text, self.score, self.back, self.done, len(self.text)
+                    self.check_at = i + 4 * v.longest
+                else:  # paths that stay apart are looked at ever more rarely, so the work stays linear
+                    self.check_at = 2 * i
         self.done = i
         return out
 
