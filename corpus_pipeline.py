@@ -12,15 +12,13 @@ The model of stage 1 learns from labelled documents of the stage's own input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ordina.llm import decontamination, near_duplicates, pii, quality_rules, sentencepieces
 from ordina.llm.common import stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.score(docs, model, docs.columns).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality_rules.passing(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
