@@ -16,4 +16,18 @@ QUERIES = {
     "op9_sentencepieces": sentencepieces.op9_sentencepieces,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
-SQL: dict[str, str] = {}
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op6_decontamination": f"""WITH d AS (SELECT doc_id, coalesce({_WORDS.format(_LOW.format("text"))}, []) AS w FROM documents),
+ v AS (SELECT item_id, {_WORDS.format(_LOW.format("text"))} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+ i AS (SELECT item_id, w, least(10, len(w)) AS n FROM v WHERE len(w) > 0),
+ k AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+ p AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS s FROM d, (SELECT DISTINCT n FROM k))),
+ h AS (SELECT doc_id, item_id, s, p.n FROM p JOIN k ON p.n = k.n AND p.g = k.g),
+ c AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM h) GROUP BY doc_id),
+ m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.doc_id""",
+}
