@@ -144,3 +144,68 @@ def failure_isolation(spark, d):
     """A row that fails gives a null and a flag; the others go on."""
     number = F.regexp_extract("c_name", "[0-9]+", 0).try_cast("bigint")
     return table(spark, d, "customer").select("c_custkey", number.alias("number"), F.col("c_mktsegment").try_cast("bigint").isNull().alias("failed"))
+
+
+@query(
+    "job_export",
+    f"""WITH {SEQUENCE_SQL} SELECT conv_id, count(*) + 1 AS items, sha256('Review this.') AS prompt_sha256,
+ sha256('prompt:Review this.' || chr(10) || string_agg(type || ':' || text, chr(10) ORDER BY turn)) AS job_sha256 FROM items GROUP BY conv_id""",
+)
+def job_export(spark, d):
+    """The prompt is an item of its own in front, never joined with the first text."""
+    item = F.struct("turn", F.concat_ws(":", "type", "text").alias("p"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["p"]), "\n")
+    job = F.concat(F.lit("prompt:Review this.\n"), body)
+    return sequence(spark, d).groupBy("conv_id").agg((F.count("*") + 1).alias("items"), F.sha2(F.lit("Review this."), 256).alias("prompt_sha256"), F.sha2(job, 256).alias("job_sha256"))
+
+
+@query("encoded_payload", "SELECT page_id, 'data:text/html;base64,' || base64(encode(url)) AS payload FROM pages")
+def encoded_payload(spark, d):
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("data:text/html;base64,"), F.base64(F.encode("url", "utf-8"))).alias("payload"))
+
+
+def safe_path(c: Column) -> Column:
+    """A relative path that stays under its root: no leading slash and no step upwards."""
+    return (c != "") & ~c.startswith("/") & ~F.regexp_like(c, F.lit(r"(^|/)\.\.(/|$)"))
+
+
+@query(
+    "safe_paths",
+    r"""WITH p AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '/etc/x' WHEN 1 THEN 'a/../../b' WHEN 2 THEN '' WHEN 3 THEN 'a..b/c' ELSE 'figures/' || p_size END AS path FROM part)
+ SELECT p_partkey, path <> '' AND NOT starts_with(path, '/') AND NOT regexp_matches(path, '(^|/)\.\.(/|$)') AS safe FROM p""",
+)
+def safe_paths(spark, d):
+    n = F.col("p_size") % 5
+    path = F.when(n == 0, "/etc/x").when(n == 1, "a/../../b").when(n == 2, "").when(n == 3, "a..b/c").otherwise(F.concat(F.lit("figures/"), F.col("p_size").cast("string")))
+    return table(spark, d, "part").select("p_partkey", safe_path(path).alias("safe"))
+
+
+@query("missing_output_fallback", "SELECT o_orderkey, count(l_orderkey) AS regions, CASE WHEN count(l_orderkey) = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN count(l_orderkey) = 0 THEN 'output_missing' ELSE '' END AS warning FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def missing_output_fallback(spark, d):
+    """A unit without output is an empty result with a warning."""
+    made = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    regions = F.coalesce("n", F.lit(0))
+    return table(spark, d, "orders").select("o_orderkey").join(made, "o_orderkey", "left").select("o_orderkey", regions.alias("regions"), F.when(regions == 0, "failed").otherwise("ok").alias("status"), F.when(regions == 0, "output_missing").otherwise("").alias("warning"))
+
+
+@query("frozen_protocol", f"WITH {SEQUENCE_SQL} SELECT conv_id, role = 'system' AND type = 'in' AS conforms FROM items WHERE turn = 0")
+def frozen_protocol(spark, d):
+    """The first item of a job must be the frozen one."""
+    frozen = F.struct(F.lit("system").alias("role"), F.lit("in").alias("type"))
+    return sequence(spark, d).where("turn = 0").select("conv_id", (F.struct("role", "type") == frozen).alias("conforms"))
+
+
+@query("independent_sessions", "SELECT o_custkey, count(*) AS rounds, count(DISTINCT o_orderdate) AS threads, count(*) = count(DISTINCT o_orderdate) AS independent FROM orders GROUP BY 1")
+def independent_sessions(spark, d):
+    """Rounds are independent if no two share a thread."""
+    threads = F.count_distinct("o_orderdate")
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("rounds"), threads.alias("threads"), (F.count("*") == threads).alias("independent"))
+
+
+@query(
+    "job_shape",
+    """SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant') THEN 'unknown type' WHEN length(text) = 0 THEN 'empty' WHEN length(text) > 400 THEN 'too long' ELSE '' END AS violation FROM conversations""",
+)
+def job_shape(spark, d):
+    violation = F.when(~F.col("role").isin("user", "assistant"), "unknown type").when(F.length("text") == 0, "empty").when(F.length("text") > 400, "too long").otherwise("")
+    return sequence(spark, d).select("conv_id", "turn", violation.alias("violation"))

@@ -232,9 +232,11 @@ def bootstrap_ci(spark, d):
 
 
 def bootstrap_mean(u: DataFrame, value: str, draws: int) -> DataFrame:
-    n = u.agg(F.count("*").alias("n"))
-    rows = u.select("i").crossJoin(F.broadcast(n)).select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    pick = ((F.col("b") * 7919 + F.col("i") * 104729 + 12345) % 1000003 * 9973 + F.col("i") * 31) % F.col("n")
+    """Means of `draws` resamples of the rows, numbered by i from 0: their 2.5 and 97.5 % points. The draws are made
+    beside each row; partial sums by draw come before the last shuffle."""
+    n = u.count()
+    rows = u.select("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    pick = ((F.col("b") * 7919 + F.col("i") * 104729 + 12345) % 1000003 * 9973 + F.col("i") * 31) % F.lit(max(n, 1))
     means = rows.select("b", pick.alias("pick")).join(u.select(F.col("i").alias("pick"), value), "pick").groupBy("b").agg(F.avg(value).alias("m"))
     low, high = (rnd(F.percentile("m", F.lit(q))) for q in (0.025, 0.975))
     return means.agg(F.count("*").alias("draws"), low.alias("low"), high.alias("high"))
