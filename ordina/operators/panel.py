@@ -112,7 +112,9 @@ def pearson(spark, d):
  rank() OVER (ORDER BY human_mean) + (count(*) OVER (PARTITION BY human_mean) - 1) / 2.0 AS rh FROM units) SELECT round(corr(ra, rh), 6) AS spearman FROM r""",
 )
 def spearman_avg_rank(spark, d):
-    ranked = average_ranks(average_ranks(units(spark, d).select("ai_mean", "human_mean"), "ai_mean", "ra"), "human_mean", "rh")
+    """Pearson of average ranks. The panel is read once: cut points, sizes and ranks all come from the kept means."""
+    means = units(spark, d).select("ai_mean", "human_mean").persist()
+    ranked = average_ranks(average_ranks(means, "ai_mean", "ra"), "human_mean", "rh")
     return ranked.agg(rnd(F.corr("ra", "rh")).alias("spearman"))
 
 

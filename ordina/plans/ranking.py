@@ -30,7 +30,7 @@ def _offsets(df: DataFrame, rows: Column) -> DataFrame:
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """Adds the rank of a value among all rows, ties sharing the mean of their ranks."""
-    counts = _with_range(df.groupBy(value).agg(F.count("*").alias("__ties")), F.col(value))
+    counts = _with_range(df.groupBy(value).agg(F.count("*").alias("__ties")).persist(), F.col(value))
     inside = F.sum("__ties").over(Window.partitionBy("__r").orderBy("__v"))
     ranked = counts.join(F.broadcast(_offsets(counts, F.sum("__ties"))), "__r")
     ranked = ranked.select(value, (F.col("__before") + inside - F.col("__ties") + (F.col("__ties") + 1) / 2).alias(name))
