@@ -83,3 +83,14 @@ def rounds_until_failure(spark, d):
     failed = (F.col("method") == "error").cast("int")
     rows = event_log(spark, d).withColumn("before", F.coalesce(F.max(failed).over(w), F.lit(0))).where("before = 0")
     return rows.groupBy("session").agg(F.count("*").alias("rounds"), F.count_if(failed == 1).alias("failures"))
+
+
+@query(
+    "session_timeouts",
+    """WITH s AS (SELECT user_id AS session, max(ts) AS last FROM events GROUP BY 1) SELECT session, strftime(last, '%Y-%m-%d %H:%M:%S') AS last_event, last < (SELECT max(ts) FROM events) - INTERVAL 12 HOUR AS timed_out FROM s""",
+)
+def session_timeouts(spark, d):
+    """Sessions that have been silent for longer than their deadline, by event time: the end of the log is one row."""
+    last = event_log(spark, d).groupBy("session").agg(F.max("ts").alias("last"))
+    end = last.agg(F.max("last").alias("end")).first()["end"]
+    return last.select("session", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last_event"), (F.col("last") < F.lit(end) - F.expr("INTERVAL 12 HOURS")).alias("timed_out"))

@@ -91,3 +91,10 @@ def stream_event_fold(spark, d):
     folded = s.applyInPandasWithState(_fold, f"session bigint, {_STATE}, status string", _STATE, "update", GroupStateTimeout.NoTimeout)
     changes = drained(folded, "update", "fold")
     return changes.groupBy("session").agg(*[F.max_by(c, "batch").alias(c) for c in ("events", "violations", "errors", "finals", "status")])
+
+
+@query("stream_early_stop", "SELECT DISTINCT user_id AS session FROM events WHERE event_type = 'error' AND value > 100")
+def stream_early_stop(spark, d):
+    """A session is reported in the batch of its first violation, once: what reads this can interrupt it."""
+    bad = event_stream(spark, d).where((F.col("method") == "error") & (F.col("value") > 100))
+    return drained(bad.select("session").dropDuplicates(["session"]), "append", "stop").drop("batch")
