@@ -14,7 +14,7 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _GROUP = 1 << 20
 _powers: list[np.ndarray] = []
 
