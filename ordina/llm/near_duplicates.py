@@ -15,8 +15,9 @@ more; classes are the connected components of links, named by their smallest doc
 3. Equal texts are one vertex. The vertex of a band key that shares most keys with others is its leader; every
    vertex is verified against the leader it meets most often, which joins most groups at once, at one pair
    a member. Under keys that still hold several components, tasks compare all samples of the members in
-   blocks and name, for each, the nearest few of other components; these pairs are verified, and so on
-   until a round joins nothing. Pairs inside a component are never made, nor all pairs of a group.
+   blocks and name, for each, the nearest of other components; these pairs are verified. Each round names
+   GROWTH times as many, and the last all of them: at the end every pair that shares a key has been verified
+   or lies inside one component. Pairs inside a component are never made.
 
 Defined results: empty texts are one class; a null text is a class of its own; rows that repeat a doc_id
 with its text get the same class; a null doc_id gets the class of its text if another document has it.
@@ -44,9 +45,10 @@ SAMPLES, ROWS = 48, 3
 #: Total weight from which a text's shingles are spread over bins; up to 1 / SIMILAR of it they also take all samples.
 HEAVY = 384.0
 _CELL_BITS, _SEGMENT_BITS = 22, 16
-#: Members of a band key that one task compares, partners it names for each in a round, and samples (of 48) in which a
-#: pair must agree to be verified: a pair at the threshold agrees in 38 on average, and in fewer than this once in 150.
-BLOCK, NEAREST, LEAST_AGREEING = 4096, 1, 32
+#: Members of a band key that one task compares, partners it names for each in the first round, how many times more in
+#: each further one, and samples (of 48) in which a pair must agree to be verified: a pair at the threshold agrees in 38
+#: on average, and in fewer than this once in 150.
+BLOCK, NEAREST, GROWTH, LEAST_AGREEING = 4096, 1, 8, 32
 #: Ids of at most so many documents are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -290,22 +292,30 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(stars.select(F.col("component").alias("vid"), "component").distinct())
 
 
-def _nearest(members: DataFrame) -> DataFrame:
-    """For rows of (key, part, vid, component, samples): each vertex with the few of other components under
-    its key that agree with it in most samples, larger id first. A part holds BLOCK members or so."""
+def _nearest(members: DataFrame, most: int) -> DataFrame:
+    """For rows of (key, part, vid, component, samples): each vertex outside the part's largest component with the
+    `most` of other components under its key that agree with it in most samples, larger id first (a pair of two
+    components has such a vertex). A part holds BLOCK members or so."""
 
     def run(group: pa.Table) -> pa.Table:
         vid, component = group["vid"].to_numpy(), group["component"].to_numpy()
         drawn = np.frombuffer(b"".join(group["samples"].to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        pairs: list[np.ndarray] = []
-        for i in range(0, len(vid), 256):
-            agree = np.zeros((len(vid[i : i + 256]), len(vid)), np.uint8)
+        names, sizes = np.unique(component, return_counts=True)
+        outside = np.flatnonzero(component != names[np.argmax(sizes)])
+        pairs: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        for i in range(0, len(outside), 256):
+            own = outside[i : i + 256]
+            agree = np.zeros((len(own), len(vid)), np.uint8)
             for k in range(SAMPLES):
-                agree += drawn[i : i + 256, k, None] == drawn[None, :, k]
-            agree[component[i : i + 256, None] == component[None, :]] = 0
-            top = np.argpartition(agree, -min(NEAREST, len(vid)), axis=1)[:, -min(NEAREST, len(vid)) :]
-            row, col = np.nonzero(np.take_along_axis(agree, top, 1) >= LEAST_AGREEING)
-            pairs.append(np.stack([vid[i + row], vid[top[row, col]]]))
+                agree += drawn[own, k, None] == drawn[None, :, k]
+            agree[component[own, None] == component[None, :]] = 0
+            if most < len(vid):
+                top = np.argpartition(agree, -most, axis=1)[:, -most:]
+                row, at = np.nonzero(np.take_along_axis(agree, top, 1) >= LEAST_AGREEING)
+                col = top[row, at]
+            else:
+                row, col = np.nonzero(agree >= LEAST_AGREEING)
+            pairs.append(np.stack([vid[own[row]], vid[col]]))
         a, b = np.concatenate(pairs, axis=1)
         return pa.table({"vid": np.maximum(a, b), "other": np.minimum(a, b)})
 
@@ -368,21 +378,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     drawn = F.expr(f"substring(samples, int(at div {SAMPLES // ROWS}) * {size} + 1, {size})")
     aside = F.expr(f"substring(samples, int((at + 1) % {SAMPLES // ROWS}) * {ROWS * 4} + 1, {ROWS * 4})")
     part = F.pmod(F.xxhash64(aside), F.ceil(F.col("n") / BLOCK))
+    most = NEAREST
     while True:
         members = shared.join(joined, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
-        several = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
+        several = stored(members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.first("n").alias("n")).where("a != b").select("key", "n"), "several")
+        largest = several.agg(F.max("n")).first()[0]
+        if largest is None:
+            break
         # samples join last: only members of keys with several components need them
-        open_ = members.join(several, "key", "left_semi").join(vertices.select("vid", "samples"), "vid")
-        todo = stored(_nearest(open_.select("key", part.alias("part"), "vid", "component", drawn.alias("samples"))).join(answers, ["vid", "other"], "left_anti"), "todo")
+        open_ = members.join(several.select("key"), "key", "left_semi").join(vertices.select("vid", "samples"), "vid")
+        todo = stored(_nearest(open_.select("key", part.alias("part"), "vid", "component", drawn.alias("samples")), most).join(answers, ["vid", "other"], "left_anti"), "todo")
+        whole, most = most >= largest, most * GROWTH
         if not todo.take(1):
-            break
+            if whole:
+                break
+            continue
         ids = todo.select("vid").union(todo.select("other")).distinct()
         few = _with_ids(own, ids, "left_semi", "vid")
         new = stored(_answers(todo.join(few, "vid").join(few.select(*named), "other"), threshold), "answers")
         answers = answers.union(new)
-        if not new.where("near").take(1):
+        if new.where("near").take(1):
+            joined = components(answers.where("near"))
+        if whole:
             break
-        joined = components(answers.where("near"))
     return _classes(signed, vertices, joined)
 
 

@@ -3,11 +3,13 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ordina.llm import decontamination, html_extraction, license_scan, near_duplicates, pii, quality_classifier, quality_rules, secret_scan, sentencepieces, token_counts
+from ordina.llm import textbytes as tb
 from ordina.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -61,6 +63,46 @@ def test_near_duplicates_against_brute_force(spark):
         assert len(sets[i] & sets[got[i]]) > 0.3 * len(sets[i] | sets[got[i]])
 
 
+def near_classes(texts):
+    """Classes by verifying every pair of texts that shares a band key."""
+    every = tb.of(list(texts.values()))
+    weights = near_duplicates.Weights(len(texts), np.zeros(0, np.uint64), np.zeros(0))
+    keys = [set(k.tolist()) for k in near_duplicates.signatures(every, weights)[0]]
+    found, tf, offsets = near_duplicates.shingles(every)
+    weight = weights.of(found, tf)
+    sums = [dict(zip(found[a:b].tolist(), weight[a:b].tolist(), strict=True)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    ids = list(texts)
+    of = {i: i for i in ids}
+    for x, i in enumerate(ids):
+        for y in range(x):
+            if keys[x] & keys[y]:
+                least = sum(min(w, sums[y].get(s, 0.0)) for s, w in sums[x].items())
+                if least >= near_duplicates.SIMILAR * (sum(sums[x].values()) + sum(sums[y].values()) - least):
+                    a, b = sorted((of[i], of[ids[y]]))
+                    of = {k: a if v == b else v for k, v in of.items()}
+    return of
+
+
+def spread(seed, groups, members):
+    """Groups of texts whose similarities within a group lie on both sides of the threshold; no shingle is frequent."""
+    out = {}
+    for g in range(groups):
+        base = prose(seed + g, 150)
+        for k in range(members):
+            out[len(out)] = changed(base, seed + 1000 * g + k, 2 + k % 3)
+    return out
+
+
+def classes_of(spark, texts):
+    rows = near_duplicates.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    return {r["doc_id"]: r["class_id"] for r in rows}
+
+
+def test_near_duplicates_try_every_candidate(spark):
+    texts = spread(7000, 12, 14)
+    assert classes_of(spark, texts) == near_classes(texts)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 201), (201, 202), (202, 200)]
     got = {r["vid"]: r["component"] for r in near_duplicates.components(spark.createDataFrame(edges, "vid bigint, other bigint")).collect()}
