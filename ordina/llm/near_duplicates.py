@@ -292,13 +292,22 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(stars.select(F.col("component").alias("vid"), "component").distinct())
 
 
+def _meetings(members: DataFrame) -> DataFrame:
+    """The members of a key of n in parts of BLOCK or so, once for each part that theirs meets: every other and itself."""
+    parts = F.ceil(F.col("n") / BLOCK)
+    met = members.withColumn("part", F.pmod(F.xxhash64("vid"), parts)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    return met.select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "vid", "component", "samples")
+
+
 def _nearest(members: DataFrame, most: int) -> DataFrame:
-    """For rows of (key, part, vid, component, samples): each vertex outside the part's largest component with the
-    `most` of other components under its key that agree with it in most samples, larger id first (a pair of two
-    components has such a vertex). A part holds BLOCK members or so."""
+    """For rows of (key, low, high, part, vid, component, samples): each vertex outside the group's largest component with
+    the `most` of other components that agree with it in most samples, larger id first (a pair of two components has
+    such a vertex). A group (key, low, high) holds two parts of a key, of BLOCK members or so each, which are
+    compared with each other, or one (low = high), which is compared with itself."""
 
     def run(group: pa.Table) -> pa.Table:
-        vid, component = group["vid"].to_numpy(), group["component"].to_numpy()
+        vid, component, part = (group[n].to_numpy() for n in ("vid", "component", "part"))
+        crossed = group["low"][0] != group["high"][0]
         drawn = np.frombuffer(b"".join(group["samples"].to_pylist()), np.uint32).reshape(-1, SAMPLES)
         names, sizes = np.unique(component, return_counts=True)
         outside = np.flatnonzero(component != names[np.argmax(sizes)])
@@ -309,6 +318,8 @@ def _nearest(members: DataFrame, most: int) -> DataFrame:
             for k in range(SAMPLES):
                 agree += drawn[own, k, None] == drawn[None, :, k]
             agree[component[own, None] == component[None, :]] = 0
+            if crossed:
+                agree[part[own, None] == part[None, :]] = 0
             if most < len(vid):
                 top = np.argpartition(agree, -most, axis=1)[:, -most:]
                 row, at = np.nonzero(np.take_along_axis(agree, top, 1) >= LEAST_AGREEING)
@@ -319,7 +330,7 @@ def _nearest(members: DataFrame, most: int) -> DataFrame:
         a, b = np.concatenate(pairs, axis=1)
         return pa.table({"vid": np.maximum(a, b), "other": np.minimum(a, b)})
 
-    return members.groupBy("key", "part").applyInArrow(run, "vid bigint, other bigint").distinct()
+    return members.groupBy("key", "low", "high").applyInArrow(run, "vid bigint, other bigint").distinct()
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
@@ -376,8 +387,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     joined = components(answers.where("near"))
     size = SAMPLES * 4
     drawn = F.expr(f"substring(samples, int(at div {SAMPLES // ROWS}) * {size} + 1, {size})")
-    aside = F.expr(f"substring(samples, int((at + 1) % {SAMPLES // ROWS}) * {ROWS * 4} + 1, {ROWS * 4})")
-    part = F.pmod(F.xxhash64(aside), F.ceil(F.col("n") / BLOCK))
     most = NEAREST
     while True:
         members = shared.join(joined, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
@@ -387,7 +396,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             break
         # samples join last: only members of keys with several components need them
         open_ = members.join(several.select("key"), "key", "left_semi").join(vertices.select("vid", "samples"), "vid")
-        todo = stored(_nearest(open_.select("key", part.alias("part"), "vid", "component", drawn.alias("samples")), most).join(answers, ["vid", "other"], "left_anti"), "todo")
+        todo = stored(_nearest(_meetings(open_.select("key", "n", "vid", "component", drawn.alias("samples"))), most).join(answers, ["vid", "other"], "left_anti"), "todo")
         whole, most = most >= largest, most * GROWTH
         if not todo.take(1):
             if whole:

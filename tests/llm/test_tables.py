@@ -103,6 +103,19 @@ def test_near_duplicates_try_every_candidate(spark):
     assert classes_of(spark, texts) == near_classes(texts)
 
 
+def test_near_duplicates_parts_of_a_key_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
+    same = np.arange(near_duplicates.SAMPLES, dtype=np.uint32)
+    rows = []
+    for v in range(30):  # all agree in 45 samples and differ in those of one band
+        own = same.copy()
+        own[3:6] = 1000 + 3 * v + np.arange(3)
+        rows.append((7, 30, v, v, own.tobytes()))
+    members = spark.createDataFrame(rows, "key bigint, n bigint, vid bigint, component bigint, samples binary")
+    got = {(r["vid"], r["other"]) for r in near_duplicates._nearest(near_duplicates._meetings(members), 30).collect()}
+    assert got == {(a, b) for a in range(30) for b in range(a)}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 201), (201, 202), (202, 200)]
     got = {r["vid"]: r["component"] for r in near_duplicates.components(spark.createDataFrame(edges, "vid bigint, other bigint")).collect()}
