@@ -45,10 +45,9 @@ SAMPLES, ROWS = 48, 3
 #: Total weight from which a text's shingles are spread over bins; up to 1 / SIMILAR of it they also take all samples.
 HEAVY = 384.0
 _CELL_BITS, _SEGMENT_BITS = 22, 16
-#: Members of a band key that one task compares, partners it names for each in the first round, how many times more in
-#: each further one, and samples (of 48) in which a pair must agree to be verified: a pair at the threshold agrees in 38
-#: on average, and in fewer than this once in 150.
-BLOCK, NEAREST, GROWTH, LEAST_AGREEING = 4096, 1, 8, 32
+#: Members of a band key that one task compares, partners it names for each in the first round, and how many times more
+#: in each further one.
+BLOCK, NEAREST, GROWTH = 4096, 1, 8
 #: Ids of at most so many documents are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -322,10 +321,10 @@ def _nearest(members: DataFrame, most: int) -> DataFrame:
                 agree[part[own, None] == part[None, :]] = 0
             if most < len(vid):
                 top = np.argpartition(agree, -most, axis=1)[:, -most:]
-                row, at = np.nonzero(np.take_along_axis(agree, top, 1) >= LEAST_AGREEING)
+                row, at = np.nonzero(np.take_along_axis(agree, top, 1) > 0)
                 col = top[row, at]
             else:
-                row, col = np.nonzero(agree >= LEAST_AGREEING)
+                row, col = np.nonzero(agree > 0)
             pairs.append(np.stack([vid[own[row]], vid[col]]))
         a, b = np.concatenate(pairs, axis=1)
         return pa.table({"vid": np.maximum(a, b), "other": np.minimum(a, b)})

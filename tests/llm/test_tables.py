@@ -103,6 +103,11 @@ def test_near_duplicates_try_every_candidate(spark):
     assert classes_of(spark, texts) == near_classes(texts)
 
 
+def test_near_duplicates_with_few_equal_samples(spark):
+    texts = spread(50000, 12, 14)  # some links at the threshold agree in fewer than 32 samples
+    assert classes_of(spark, texts) == near_classes(texts)
+
+
 def test_near_duplicates_parts_of_a_key_all_meet(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 4)
     same = np.arange(near_duplicates.SAMPLES, dtype=np.uint32)
