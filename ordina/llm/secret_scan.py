@@ -24,13 +24,12 @@ from .common import by_texts, table
 
 KINDS = ("assign", "access", "hex")
 GUESSES = 8.0
-MAX_VALUE = 128
 
 # Patterns of the base kinds (fixed values of the contract).
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CONTEXT = re.compile(r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|auth(?:[_ -]?key)?|private[_ -]?key|credentials?|passwort|contraseña|mot de passe)["']?(?: is |\x20*(?::|=>?)\x20*)["'`]?([^\s"'`,;<>]{6,128})""", re.I | re.A)
+_CONTEXT = re.compile(r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|auth(?:[_ -]?key)?|private[_ -]?key|credentials?|passwort|contraseña|mot de passe)["']?(?: is |\x20*(?::|=>?)\x20*)["'`]?([^\s"'`,;<>]{6,})""", re.I | re.A)
 _CUES = (b"pass", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"api key", b"auth", b"private", b"credential", "contraseña".encode())
 _HEX_BYTES = tb.byte_set(b"abcdef", ((0x30, 0x39),))
 
@@ -53,20 +52,27 @@ _NEXT_TO = _neighbours()
 _DATE = re.compile(r"(?:19|20)[0-9]{2}(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12][0-9]|3[01]))?)?|(?:0[1-9]|[12][0-9]|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)[0-9]{2}|[0-9]{2})")
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of the value. Each further segment costs a
-    factor, as an attacker tries simple patterns first."""
+def guess_cost(value: str, limit: float = math.inf) -> float:
+    """log10 of the guesses for the cheapest segmentation of the value (infinite if above the limit). Each further
+    segment costs a factor, as an attacker tries simple patterns first."""
     n, low = len(value), value.lower()
     best = [0.0] + [math.inf] * n
+    far = 0  # no path within the limit leads further yet
     for i in range(n):
+        if i > far:
+            break
+        if best[i] == math.inf:
+            continue
         base = best[i] + (0.3 if i else 0.0)
 
         def offer(j: int, cost: float, base: float = base) -> None:
-            if base + cost < best[j]:
+            nonlocal far
+            if base + cost < best[j] and base + cost <= limit:
                 best[j] = base + cost
+                far = max(far, j)
 
         # brute force: ten guesses a character
-        for j in range(i + 1, n + 1):
+        for j in range(i + 1, (n if limit == math.inf else min(n, i + math.floor(limit - base))) + 1):
             offer(j, float(j - i))
         # words, plain, capitalised or with look-alike digits
         for j in range(i + 3, min(n, i + 24) + 1):
@@ -115,7 +121,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int
         b = a + len(value)
         if len(value) < 8 or value.startswith(("$", "{", "%", "<", "*")) or any(s < b and a < e for s, e, _ in base):
             continue
-        if sum(any(map(c, value)) for c in _CLASSES) >= 2 and any(map(str.isdigit, value)) and guess_cost(value[:MAX_VALUE]) > GUESSES:
+        if sum(any(map(c, value)) for c in _CLASSES) >= 2 and any(map(str.isdigit, value)) and guess_cost(value, GUESSES) > GUESSES:
             out.append((a, b, "guess"))
     return out
 

@@ -76,6 +76,18 @@ def test_guessed_spans():
     assert secret_scan.guessed_spans(t, [(16, 27, "hex")]) == []
 
 
+def test_long_values_are_marked_whole():
+    r = random.Random(5)
+    for n in (129, 400, 50_000):
+        value = "".join(r.choice("abcdefghkmQRSTUVW23456789") for _ in range(n))
+        t = f"pwd: {value} end"
+        assert secret_scan.guessed_spans(t, []) == [(5, 5 + n, "guess")]
+    for _ in range(300):
+        value = "".join(r.choice(["pass", "word", "12", "qwe", "2024", "a", "Zx", "9"]) for _ in range(r.randrange(1, 6)))
+        cost = secret_scan.guess_cost(value)
+        assert secret_scan.guess_cost(value, 8.0) == (cost if cost <= 8.0 else float("inf"))
+
+
 def brute(doc, items, window):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     w, hit, found = words(doc), set(), set()
