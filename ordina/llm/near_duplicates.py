@@ -14,13 +14,17 @@ more; classes are the connected components of links, named by their smallest doc
    sequence of others). Texts near the limit do both, so any two similar texts share a scheme.
 3. Equal texts are one vertex. The vertex of a band key that shares most keys with others is its leader; every
    vertex is verified against the leader it meets most often, which joins most groups at once, at one pair
-   a member. Under keys that still hold several components, tasks compare all samples of the members in
-   blocks and name, for each, the nearest of other components; these pairs are verified. Each round names
-   GROWTH times as many, and the last all of them: at the end every pair that shares a key has been verified
-   or lies inside one component. Pairs inside a component are never made.
+   a member. Keys that then still hold several components (of keys with the same members, one) are answered
+   exactly: their members' vectors meet in blocks of BLOCK members or BLOCK_BYTES, every block with every other of its
+   key, and a product of matrices gives the weighted overlap of all vertices outside the block's largest component
+   with all others. Only links that join two components leave a block. So every pair that shares a key has been
+   verified or lies inside one component; no partner, candidate or key is capped, and one round is enough.
+
+Vertices are numbered by text, not by doc_id, so different texts under one doc_id stay apart.
 
 Defined results: empty texts are one class; a null text is a class of its own; rows that repeat a doc_id
-with its text get the same class; a null doc_id gets the class of its text if another document has it.
+with its text get the same class; a null doc_id gets the class of its text if another document has it. A doc_id that
+repeats with different texts may name several classes: class_key (the digest of the class's first text) tells them apart.
 An empty table gives no rows. Columns beside doc_id and text are not looked at.
 """
 
@@ -28,6 +32,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import by_texts, mapped, stored, table
+from .common import by_texts, mapped, renamed, stored, table
 from .decontamination import Lookup
 
 WORDS = 5
@@ -45,9 +51,10 @@ SAMPLES, ROWS = 48, 3
 #: Total weight from which a text's shingles are spread over bins; up to 1 / SIMILAR of it they also take all samples.
 HEAVY = 384.0
 _CELL_BITS, _SEGMENT_BITS = 22, 16
-#: Members of a band key that one task compares, partners it names for each in the first round, and how many times more
-#: in each further one.
-BLOCK, NEAREST, GROWTH = 4096, 1, 8
+#: Members of a band key, and bytes of their vectors, in one of the blocks that are compared with each other.
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
+#: Elements whose columns are in memory at once, and vertices outside the largest component.
+_COLUMNS, _ROWS = 1024, 256
 #: Ids of at most so many documents are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -227,14 +234,13 @@ def bands(sampled: np.ndarray, scheme: int) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def signatures(texts: tb.Texts, weights: Weights) -> tuple[list[np.ndarray], list[bytes]]:
-    """Band keys of each text, 16 for each scheme it takes part in, and the samples they are made of (32 bits of each)."""
+def signatures(texts: tb.Texts, weights: Weights) -> tuple[list[np.ndarray], np.ndarray]:
+    """Band keys of each text, 16 for each scheme it takes part in, and how many shingles it has with repeats."""
     shingle, tf, offsets = shingles(texts)
     weight = weights.of(shingle, tf)
     lengths = np.diff(offsets)
     totals = tb.segment_sums(weight, offsets[:-1], offsets[1:])
     keys: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
-    samples: list[bytes] = [b""] * len(texts)
     for scheme, picked in ((1, (lengths > 0) & (totals <= HEAVY / SIMILAR + 1)), (2, totals >= HEAVY - 1)):
         own = np.flatnonzero(picked)
         if not len(own):
@@ -243,15 +249,32 @@ def signatures(texts: tb.Texts, weights: Weights) -> tuple[list[np.ndarray], lis
         counts = lengths[own]
         starts = np.cumsum(counts) - counts
         sampled = samples_of_all(shingle[inside], weight[inside], starts, counts) if scheme == 1 else samples_of_bins(shingle[inside], weight[inside], counts)
-        for d, row, all_of in zip(own.tolist(), bands(sampled, scheme), sampled.astype(np.uint32), strict=True):
+        for d, row in zip(own.tolist(), bands(sampled, scheme), strict=True):
             keys[d].append(row)
-            samples[d] += all_of.tobytes()
-    return [np.concatenate(k) if len(k) > 1 else k[0] if k else np.zeros(0, np.int64) for k in keys], samples
+    sizes = tb.segment_sums(tf, offsets[:-1], offsets[1:]).astype(np.int64)
+    return [np.concatenate(k) if len(k) > 1 else k[0] if k else np.zeros(0, np.int64) for k in keys], sizes
 
 
-def similarity(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
-    """Weighted Jaccard similarity of two vectors (ascending shingles by 32 bits of their hash, their weights)."""
-    x, y, u, v = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), np.frombuffer(wa, np.float32), np.frombuffer(wb, np.float32)
+def vectors(texts: tb.Texts, weights: Weights) -> tuple[list[bytes], list[bytes]]:
+    """Each text's vector: an element for every occurrence of a shingle (32 bits of a hash, ascending) and the elements'
+    weights. A shingle that occurs n times has n elements, so the overlap of two vectors is a sum over common elements."""
+    shingle, tf, offsets = shingles(texts)
+    idf = (weights.of(shingle, tf) / tf).astype(np.float32)
+    at = np.repeat(np.arange(len(shingle)), tf)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(tf) - tf, tf)
+    element = (shingle[at] ^ np.where(nth > 0, tb.mix(nth.astype(np.uint64)), _U(0))).astype(np.uint32)
+    weight = idf[at]
+    bounds = np.append(0, np.cumsum(tf))[offsets].tolist()
+    elements, own = [], []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        order = np.argsort(element[a:b], kind="stable")
+        elements.append(element[a:b][order].tobytes())
+        own.append(weight[a:b][order].tobytes())
+    return elements, own
+
+
+def similarity(x: np.ndarray, u: np.ndarray, y: np.ndarray, v: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two vectors (ascending elements, their weights)."""
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     if len(x) > len(y):
@@ -263,15 +286,17 @@ def similarity(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
 
 
 def _answers(pairs: DataFrame, threshold: float) -> DataFrame:
-    """For rows of (vid, other, both vectors): the pair and whether it is similar enough."""
+    """For rows of (vid, other, both vectors): the pairs that are similar enough, and how similar they are."""
 
     def run(batches):
         for batch in batches:
             c = {n: batch.column(n) for n in batch.schema.names}
-            near = [similarity(*(c[n][i].as_buffer() for n in ("shingles", "weights", "other_shingles", "other_weights"))) >= threshold for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([c["vid"], c["other"], pa.array(near, pa.bool_())], names=["vid", "other", "near"])
+            own = [[np.frombuffer(c[n][i].as_buffer(), kind) for n, kind in (("elements", np.uint32), ("weights", np.float32), ("other_elements", np.uint32), ("other_weights", np.float32))] for i in range(batch.num_rows)]
+            alike = np.array([similarity(*v) for v in own])
+            near = np.flatnonzero(alike >= threshold)
+            yield pa.RecordBatch.from_arrays([c["vid"].take(near), c["other"].take(near), pa.array(alike[near])], names=["vid", "other", "similarity"])
 
-    return mapped(pairs.select("vid", "other", "shingles", "weights", "other_shingles", "other_weights"), run, "vid bigint, other bigint, near boolean")
+    return mapped(pairs.select("vid", "other", "elements", "weights", "other_elements", "other_weights"), run, "vid bigint, other bigint, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,143 +317,211 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _meetings(members: DataFrame) -> DataFrame:
-    """The members of a key of n in parts of BLOCK or so, once for each part that theirs meets: every other and itself."""
-    parts = F.ceil(F.col("n") / BLOCK)
-    met = members.withColumn("part", F.pmod(F.xxhash64("vid"), parts)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    return met.select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "vid", "component", "samples")
-
-
-def _nearest(members: DataFrame, most: int) -> DataFrame:
-    """For rows of (key, low, high, part, vid, component, samples): each vertex outside the group's largest component with
-    the `most` of other components that agree with it in most samples, larger id first (a pair of two components has
-    such a vertex). A group (key, low, high) holds two parts of a key, of BLOCK members or so each, which are
-    compared with each other, or one (low = high), which is compared with itself."""
-
-    def run(group: pa.Table) -> pa.Table:
-        vid, component, part = (group[n].to_numpy() for n in ("vid", "component", "part"))
-        crossed = group["low"][0] != group["high"][0]
-        drawn = np.frombuffer(b"".join(group["samples"].to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        names, sizes = np.unique(component, return_counts=True)
-        outside = np.flatnonzero(component != names[np.argmax(sizes)])
-        pairs: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
-        for i in range(0, len(outside), 256):
-            own = outside[i : i + 256]
-            agree = np.zeros((len(own), len(vid)), np.uint8)
-            for k in range(SAMPLES):
-                agree += drawn[own, k, None] == drawn[None, :, k]
-            agree[component[own, None] == component[None, :]] = 0
-            if crossed:
-                agree[part[own, None] == part[None, :]] = 0
-            if most < len(vid):
-                top = np.argpartition(agree, -most, axis=1)[:, -most:]
-                row, at = np.nonzero(np.take_along_axis(agree, top, 1) > 0)
-                col = top[row, at]
-            else:
-                row, col = np.nonzero(agree > 0)
-            pairs.append(np.stack([vid[own[row]], vid[col]]))
-        a, b = np.concatenate(pairs, axis=1)
-        return pa.table({"vid": np.maximum(a, b), "other": np.minimum(a, b)})
-
-    return members.groupBy("key", "low", "high").applyInArrow(run, "vid bigint, other bigint").distinct()
-
-
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
-    """docs joined with ids on a key; ids that are few (they are counted) are broadcast, others shuffled."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+    """The members of a key in its blocks (parts), once for each part that theirs meets: every other and itself."""
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") * 8 / BLOCK_BYTES))
+    met = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("vid"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    return met.select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "vid", "component")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILAR) -> DataFrame:
-    """One row per row of docs: doc_id, class_id."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    weights = document_frequencies(rows)
-
-    def sign():
-        def of(texts: tb.Texts, n: int) -> dict:
-            keys, samples = signatures(texts, weights)
-            return {"digest": [hashlib.md5(texts.raw(i)).digest() for i in range(n)], "bands": keys, "samples": samples}
-
-        return of
-
-    signed = by_texts(rows.withColumn("no_text", F.col("text").isNull()), ["doc_id", "no_text"], "text", "digest binary, bands array<bigint>, samples binary", sign)
-    signed = stored(signed, "signatures")
-    present = signed.where("not no_text")
-    vertices = stored(present.groupBy("digest").agg(F.min("doc_id").alias("vid"), F.first("bands").alias("bands"), F.first("samples").alias("samples")).where("vid is not null"), "vertices")
-    keys = vertices.select("vid", F.posexplode("bands").alias("at", "key"))
-    common = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "common")
-    shared = stored(keys.join(common, "key"), "shared")
-    degree = shared.groupBy("vid").agg(F.sum("n").alias("degree"))
-    leaders = shared.join(degree, "vid").groupBy("key").agg(F.max_by("vid", F.struct("degree", -F.col("vid"))).alias("leader"))
-    leaders = stored(leaders, "leaders")
-    pairs = stored(shared.join(leaders, "key").where("vid != leader").groupBy("vid", "leader").agg(F.count("*").alias("n")), "pairs")
-    best = pairs.groupBy("vid").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("other"))
-    heads = pairs.select(F.col("leader").alias("vid")).distinct().withColumn("head", F.lit(True))
-    wanted = stored(best.join(heads, "vid", "full").select(F.col("vid").alias("doc_id"), "other", F.coalesce("head", F.lit(False)).alias("head")), "wanted")
-    if not wanted.take(1):
-        return _classes(signed, vertices, None)
-
-    def vectors():
-        def of(texts: tb.Texts, n: int) -> dict:
-            shingle, tf, offsets = shingles(texts)
-            weight = weights.of(shingle, tf).astype(np.float32)
-            spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-            short = shingle.astype(np.uint32)
-            order = [a + np.argsort(short[a:b], kind="stable") for a, b in spans]
-            return {"shingles": [short[o].tobytes() for o in order], "weights": [weight[o].tobytes() for o in order]}
-
-        return of
-
-    found = _with_ids(rows.where("text is not null"), wanted, "inner")
-    vector = stored(by_texts(found, ["doc_id", "other", "head"], "text", "shingles binary, weights binary", vectors).withColumnRenamed("doc_id", "vid"), "vectors")
-    named = [F.col("vid").alias("other"), F.col("shingles").alias("other_shingles"), F.col("weights").alias("other_weights")]
-    first = vector.where("other is not null").join(vector.where("head").select(*named), "other")
-    answers = stored(_answers(first, threshold), "answers")
-    own = vector.select("vid", "shingles", "weights").dropDuplicates(["vid"])
-    joined = components(answers.where("near"))
-    size = SAMPLES * 4
-    drawn = F.expr(f"substring(samples, int(at div {SAMPLES // ROWS}) * {size} + 1, {size})")
-    most = NEAREST
-    while True:
-        members = shared.join(joined, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
-        several = stored(members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.first("n").alias("n")).where("a != b").select("key", "n"), "several")
-        largest = several.agg(F.max("n")).first()[0]
-        if largest is None:
-            break
-        # samples join last: only members of keys with several components need them
-        open_ = members.join(several.select("key"), "key", "left_semi").join(vertices.select("vid", "samples"), "vid")
-        todo = stored(_nearest(_meetings(open_.select("key", "n", "vid", "component", drawn.alias("samples"))), most).join(answers, ["vid", "other"], "left_anti"), "todo")
-        whole, most = most >= largest, most * GROWTH
-        if not todo.take(1):
-            if whole:
-                break
+def groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The runs of rows with equal values in these columns; only the last run of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        ids = todo.select("vid").union(todo.select("other")).distinct()
-        few = _with_ids(own, ids, "left_semi", "vid")
-        new = stored(_answers(todo.join(few, "vid").join(few.select(*named), "other"), threshold), "answers")
-        answers = answers.union(new)
-        if new.where("near").take(1):
-            joined = components(answers.where("near"))
-        if whole:
-            break
-    return _classes(signed, vertices, joined)
+        whole = pa.concat_batches([*held, batch])
+        key = np.stack([whole.column(n).to_numpy() for n in names])
+        starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield whole.slice(a, b - a)
+        held = [whole.slice(starts[-1])]
+    if held:
+        yield pa.concat_batches(held)
+
+
+class Block:
+    """Vectors of some vertices, for the similarity of each pair."""
+
+    def __init__(self, vector: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.vector, n = vector, len(vector)
+        self.totals = np.array([w.sum(dtype=np.float64) for _, w in vector])
+        if n <= 4:
+            return
+        element, weight = (np.concatenate([v[i] for v in vector]) for i in (0, 1))
+        owner = np.repeat(np.arange(n), [len(e) for e, _ in vector])
+        order = np.argsort(element, kind="stable")
+        element, self.weight, self.owner = element[order], weight[order], owner[order]
+        starts = np.flatnonzero(np.append(True, element[1:] != element[:-1])) if len(element) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(starts, len(element)))
+        several = np.repeat(counts > 1, counts)  # elements of one vertex only are in no overlap
+        self.weight, self.owner = self.weight[several], self.owner[several]
+        self.column = np.repeat(np.arange(np.count_nonzero(counts > 1)), counts[counts > 1])
+
+    def similarities(self, rows: np.ndarray) -> np.ndarray:
+        """Of each of these vertices with all; those next to a threshold have to be looked at by `similarity`."""
+        n = len(self.vector)
+        if n <= 4:
+            return np.array([[similarity(*self.vector[r], *self.vector[c]) for c in range(n)] for r in rows.tolist()])
+        overlap = np.zeros((len(rows), n))
+        for c in range(0, int(self.column[-1]) + 1 if len(self.column) else 0, _COLUMNS):
+            a, b = np.searchsorted(self.column, (c, c + _COLUMNS))
+            present = np.zeros((n, _COLUMNS), np.float32)
+            present[self.owner[a:b], self.column[a:b] - c] = 1
+            weight = np.zeros(_COLUMNS, np.float32)
+            weight[self.column[a:b] - c] = self.weight[a:b]
+            overlap += (present[rows] * weight) @ present.T
+        union = self.totals[rows, None] + self.totals[None, :] - overlap
+        return np.where(union > 0, overlap / np.maximum(union, 1e-9), 1.0)
+
+
+def joining(vids: np.ndarray, component: np.ndarray, part: np.ndarray, block: Block, threshold: float, crossed: bool) -> list[tuple[int, int, float]]:
+    """Links that join components of a group: for each vertex outside the largest component, all others of other
+    components (in the other part, if the group is of two) are compared, and a link for each component it is joined
+    with is given unless earlier links of the group have joined both. A pair of two components has such a vertex."""
+    names, root = np.unique(component, return_inverse=True)
+    outside = np.flatnonzero(root != np.argmax(np.bincount(root)))
+    out = []
+    for i in range(0, len(outside), _ROWS):
+        rows = outside[i : i + _ROWS]
+        alike = block.similarities(rows)
+        may = (alike >= threshold - 1e-4) & (component[rows, None] != component[None, :])
+        if crossed:
+            may &= part[rows, None] != part[None, :]
+        for k, r in enumerate(rows.tolist()):
+            others = np.flatnonzero(may[k])
+            while len(others := others[root[others] != root[r]]):
+                c = int(others[0])
+                exact = similarity(*block.vector[r], *block.vector[c])
+                if exact >= threshold:
+                    out.append((int(vids[r]), int(vids[c]), exact))
+                    root[root == root[c]] = root[r]
+                others = others[1:]
+    return out
+
+
+def _links(members: DataFrame, threshold: float) -> DataFrame:
+    """(vid, other, similarity) of the joining links under rows of (key, low, high, part, vid, component, elements, weights)."""
+    place = ("key", "low", "high")
+
+    def run(batches):
+        for group in groups(batches, place):
+            vids, component, part = (group.column(n).to_numpy() for n in ("vid", "component", "part"))
+            if (component == component[0]).all():
+                continue
+            vector = [(np.frombuffer(e.as_buffer(), np.uint32), np.frombuffer(w.as_buffer(), np.float32)) for e, w in zip(group.column("elements"), group.column("weights"), strict=True)]
+            found = joining(vids, component, part, Block(vector), threshold, group.column("low")[0] != group.column("high")[0])
+            if found:
+                a, b, alike = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())], names=["vid", "other", "similarity"])
+
+    return mapped(members.repartition(*place).sortWithinPartitions(*place), run, "vid bigint, other bigint, similarity double")
+
+
+def _with(rows: DataFrame, few: DataFrame, how: str, *keys: str) -> DataFrame:
+    """rows joined with others on keys (nulls are equal); others that are few (they are counted) are broadcast, else shuffled."""
+    own = few.toDF(*[f"__few_{c}" if c in keys else c for c in few.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__few_{k}")) for k in keys])
+    return rows.join(F.broadcast(own) if own.count() <= BROADCAST_IDS else own, on, how).drop(*[f"__few_{k}" for k in keys])
+
+
+class Graph:
+    """What is known of a corpus: `signed` (doc_id, no_text, digest) by row, `vertices` (vid, digest, doc_id: the smallest)
+    by text, the `links` (vid, other, similarity) that join them, and `joined` (vid, component)."""
+
+    def __init__(self, docs: DataFrame, text: str, doc_id: str, threshold: float) -> None:
+        rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+        weights = document_frequencies(rows)
+
+        def sign():
+            def of(texts: tb.Texts, n: int) -> dict:
+                keys, sizes = signatures(texts, weights)
+                return {"digest": [hashlib.md5(texts.raw(i)).hexdigest() for i in range(n)], "bands": keys, "size": sizes}
+
+            return of
+
+        signed = by_texts(rows.withColumn("no_text", F.col("text").isNull()), ["doc_id", "no_text"], "text", "digest string, bands array<bigint>, size bigint", sign)
+        self.signed = stored(signed, "signatures")
+        distinct = self.signed.where("not no_text").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("size").alias("size"))
+        # numbered as they are written, so the numbers are the same wherever the table is read
+        self.vertices = stored(distinct.withColumn("vid", F.monotonically_increasing_id()), "vertices")
+        self.links = self.joined = None
+        keys = self.vertices.select("vid", "size", F.explode("bands").alias("key"))
+        common = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "common")
+        shared = stored(keys.join(common, "key"), "shared")
+        degree = shared.groupBy("vid").agg(F.sum("n").alias("degree"))
+        leaders = stored(shared.join(degree, "vid").groupBy("key").agg(F.max_by("vid", F.struct("degree", -F.col("vid"))).alias("leader")), "leaders")
+        pairs = stored(shared.join(leaders, "key").where("vid != leader").groupBy("vid", "leader").agg(F.count("*").alias("n")), "pairs")
+        best = pairs.groupBy("vid").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("other"))
+        heads = pairs.select(F.col("leader").alias("vid")).distinct().withColumn("head", F.lit(True))
+        texts = self.vertices.select("vid", "doc_id", "digest")
+        wanted = stored(best.join(heads, "vid", "full").join(texts, "vid").select("vid", "doc_id", "digest", "other", F.coalesce("head", F.lit(False)).alias("head")), "wanted")
+        if not wanted.take(1):
+            return
+
+        def vector():
+            def of(texts: tb.Texts, n: int) -> dict:
+                return dict(zip(("elements", "weights"), vectors(texts, weights), strict=True))
+
+            return of
+
+        found = _with(rows.where("text is not null").withColumn("digest", F.md5("text")), wanted, "inner", "digest", "doc_id")
+        made = by_texts(found, ["vid", "other", "head"], "text", "elements binary, weights binary", vector)
+        if self.signed.where("not no_text").groupBy("doc_id", "digest").count().where("count > 1").take(1):
+            made = made.dropDuplicates(["vid"])
+        made = stored(made, "vectors")
+        named = [F.col("vid").alias("other"), F.col("elements").alias("other_elements"), F.col("weights").alias("other_weights")]
+        self.links = stored(_answers(made.where("other is not null").join(made.where("head").select(*named), "other"), threshold), "answers")
+        self.joined = components(self.links)
+        members = stored(shared.join(self.joined, "vid", "left").withColumn("component", F.coalesce("component", "vid")), "members")
+        several = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("vid")).alias("x"), F.bit_xor(F.xxhash64("vid", F.lit(1))).alias("y"))
+        several = stored(several.where("a != b").groupBy("n", "size", "x", "y").agg(F.min("key").alias("key")), "several")
+        if not several.take(1):
+            return
+        met = _meetings(members.select("key", "vid", "component").join(several.select("key", "n", "size"), "key"))
+        more = stored(_links(met.join(made.select("vid", "elements", "weights"), "vid"), threshold), "links")
+        if more.take(1):
+            self.links = self.links.union(more)
+            self.joined = components(self.links)
+
+    def classes(self) -> DataFrame:
+        """(digest, class_id, class_key) by text: the smallest doc_id of the class, and the first digest that has it."""
+        named = self.vertices.select("digest", "vid", "doc_id")
+        if self.joined is None:
+            return named.select("digest", F.col("doc_id").alias("class_id"), F.col("digest").alias("class_key"))
+        named = stored(named.join(self.joined, "vid", "left").select("digest", "doc_id", F.coalesce("component", "vid").alias("component")), "named")
+        first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("f"))
+        return stored(named.join(first, "component").select("digest", F.col("f.doc_id").alias("class_id"), F.col("f.digest").alias("class_key")), "classes")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILAR) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, class_key (null for a null text)."""
+    graph = Graph(docs, text, doc_id, threshold)
+    out = graph.signed.where("not no_text").select("doc_id", "digest").join(graph.classes(), "digest").select("doc_id", "class_id", "class_key")
+    return out.union(graph.signed.where("no_text").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("string").alias("class_key")))
 
 
-def _classes(signed: DataFrame, vertices: DataFrame, joined: DataFrame | None) -> DataFrame:
-    named = vertices.select("digest", "vid")
-    if joined is not None:
-        named = named.join(joined, "vid", "left").select("digest", F.coalesce("component", "vid").alias("vid"))
-    named = stored(named, "named")
-    out = signed.where("not no_text").select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.coalesce("vid", "doc_id").alias("class_id"))
-    return out.union(signed.where("no_text").select("doc_id", F.col("doc_id").alias("class_id")))
+def verified_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILAR) -> DataFrame:
+    """The links that join the classes, between the smallest doc_ids of two texts: doc_id, other_id, similarity. Equal
+    texts, and pairs that other links have joined already, have none."""
+    graph = Graph(docs, text, doc_id, threshold)
+    if graph.links is None:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, other_id bigint, similarity double")
+    names = graph.vertices.select("vid", "doc_id")
+    return graph.links.join(names, "vid").join(names.select(F.col("vid").alias("other"), F.col("doc_id").alias("other_id")), "other").select("doc_id", "other_id", "similarity")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their class, with all columns; a doc_id that repeats stays once."""
-    classes = stored(near_duplicates(docs), "classes")
-    gone = stored(classes.where("doc_id != class_id").select("doc_id").distinct(), "gone")
-    kept = _with_ids(docs, gone, "left_anti")
-    if classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").take(1):
-        kept = kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    """One row of each class, with all columns: its smallest doc_id (the first digest of several texts with that id). Rows
+    without a text all stay, but for repeats of a doc_id."""
+    graph = Graph(docs, "text", "doc_id", SIMILAR)
+    own, named = renamed(docs)
+    rows = own.withColumns({"doc_id": F.col(named["doc_id"]).cast("bigint"), "digest": F.md5(F.col(named["text"]).cast("string"))})
+    gone = graph.signed.where("not no_text").select("doc_id", "digest").join(graph.classes(), "digest")
+    gone = stored(gone.where("digest != class_key or not (doc_id <=> class_id)").select("doc_id", "digest").distinct(), "gone")
+    kept = _with(rows, gone, "left_anti", "doc_id", "digest")
+    if graph.signed.groupBy("doc_id", "digest").count().where("count > 1").take(1):
+        kept = kept.dropDuplicates(["doc_id", "digest"])
+    return kept.select(*[F.col(n).alias(c) for c, n in named.items()])
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:

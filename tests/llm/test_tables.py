@@ -108,17 +108,31 @@ def test_near_duplicates_with_few_equal_samples(spark):
     assert classes_of(spark, texts) == near_classes(texts)
 
 
-def test_near_duplicates_parts_of_a_key_all_meet(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
-    same = np.arange(near_duplicates.SAMPLES, dtype=np.uint32)
-    rows = []
-    for v in range(30):  # all agree in 45 samples and differ in those of one band
-        own = same.copy()
-        own[3:6] = 1000 + 3 * v + np.arange(3)
-        rows.append((7, 30, v, v, own.tobytes()))
-    members = spark.createDataFrame(rows, "key bigint, n bigint, vid bigint, component bigint, samples binary")
-    got = {(r["vid"], r["other"]) for r in near_duplicates._nearest(near_duplicates._meetings(members), 30).collect()}
-    assert got == {(a, b) for a in range(30) for b in range(a)}
+@pytest.mark.parametrize("block", [{"BLOCK": 4}, {"BLOCK_BYTES": 8000}])
+def test_near_duplicates_blocks_of_a_key_all_meet(spark, monkeypatch, block):
+    for name, value in block.items():
+        monkeypatch.setattr(near_duplicates, name, value)
+    texts = spread(9000, 6, 14)
+    assert classes_of(spark, texts) == near_classes(texts)
+
+
+def test_one_id_with_several_texts_keeps_them_apart(spark):
+    a, b = prose(61), prose(62)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, changed(b, 5, 1))], "doc_id bigint, text string")
+    rows = near_duplicates.near_duplicates(docs).collect()
+    assert len({r["class_key"] for r in rows}) == 2 and all(r["class_id"] == 1 for r in rows)
+    assert sorted((r["doc_id"], r["text"]) for r in near_duplicates.deduplicate(docs).collect()) == sorted([(1, a), (1, b)])
+    links = near_duplicates.verified_links(docs).collect()
+    assert [{r["doc_id"], r["other_id"]} for r in links] == [{1, 4}] and links[0]["similarity"] >= 0.8
+
+
+def test_similarities_of_a_block():
+    texts = tb.of([*spread(300, 1, 9).values(), "", "a b", "x y z " * 50])
+    weights = near_duplicates.Weights(12, np.zeros(0, np.uint64), np.zeros(0))
+    vector = [(np.frombuffer(e, np.uint32), np.frombuffer(w, np.float32)) for e, w in zip(*near_duplicates.vectors(texts, weights), strict=True)]
+    got = near_duplicates.Block(vector).similarities(np.arange(12))
+    want = [[near_duplicates.similarity(*x, *y) for y in vector] for x in vector]
+    assert np.abs(np.triu(got - want, 1)).max() < 1e-5  # a vertex is never compared with itself
 
 
 def test_components_of_chains_and_stars(spark):
