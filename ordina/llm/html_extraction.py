@@ -1,17 +1,24 @@
 """Operator 1: main text of web pages, by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block by where it stands
-(elements and class or id names that mean boilerplate or main content), its length, stop-word density
-and link density: good, bad, or undecided (short or mixed). In the second pass undecided blocks inherit
-the label of the nearest decided neighbours in their region. If the page marks its article, text outside
-is not part of it.
+A page is cut into blocks at block-level tags. The first pass decides each block by length, link density and
+stop-word density, with where it stands as a prior: elements and class or id names that always mean boilerplate
+make it bad; a page's mark of its article (article, main, their roles, articleBody: strong; names that end in
+content, post and the like: weak) turns verdicts that density would give against it into undecided ones. Long blocks
+of prose are good, blocks of links or without stop words bad, short and mixed ones undecided. In the second pass
+undecided blocks inherit the label of the nearest decided neighbours in their region, then on the page. Blocks outside
+of marks go if a strong mark holds a good block, or any marks hold most of what is kept.
+
+Stop words are those of four languages; where no block of a page has enough of them, its language is taken as
+another, and density is not used against long blocks.
 
 Character references are decoded; white space inside a block becomes one space; good blocks are joined
 by a newline in page order. Nothing is capped.
 
 Defined results: a null or empty page gives an empty text and n_chars 0; broken markup (unclosed tags,
-comments or quotes, stray end tags) is read as far as it goes; repeated rows get a row each; an empty
-table gives no rows. Extra columns are not looked at.
+comments or quotes, stray end tags) is read as far as it goes; of two neighbours at the same distance with different
+labels the good one wins; very long pages are read in time linear in their length; repeated rows get a row each; an
+empty table gives no rows. Columns beside the page's are only passed on if `keep` names them; one that clashes with
+text or n_chars is passed on under its name with `_in` at its end.
 """
 
 from __future__ import annotations
@@ -35,19 +42,23 @@ STOP_WORDS = frozenset(
     el los las y o un una del al se por con no su para como más lo pero sus le ya este porque cuando muy sin sobre también""".split()
 )
 # Elements (fixed values).
-_RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg math select object".split())
+_RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+# no text of the article in them; those of the first row end where a block begins
+_CLOSED_BY_BLOCK = frozenset("svg select button datalist".split())
+_SILENT = _CLOSED_BY_BLOCK | frozenset("noscript template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split())
 _CONTAINERS = frozenset("body div section article main aside nav header footer form td th table ul ol dl blockquote fieldset details dialog figure".split())
-_BAD_TAGS = frozenset("nav footer aside form menu dialog button fieldset head".split())
+_BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset head".split())
 _GOOD_TAGS = frozenset(("article", "main"))
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-# Parts of class and id names (fixed values).
+# First or last parts of class and id names (fixed values): always boilerplate; boilerplate outside of marks; marks if last.
 _BAD_NAMES = frozenset(
-    """nav navbar navigation menu menus breadcrumb breadcrumbs masthead header footer sidebar sidebars aside ad ads adv advert adverts advertisement advertising banner sponsor
-    sponsored promo promotion promoted cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended
-    comment comments disqus replies reply discussion respond widget widgets toolbar pagination pager skip copyright legal search form teaser""".split()
+    """nav navbar navigation menu menus breadcrumb breadcrumbs masthead header footer sidebar sidebars ad ads adv advert adverts advertisement advertising banner sponsor
+    sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social
+    comment comments disqus replies reply respond widget widgets toolbar pagination pager search copyright""".split()
 )
+_WEAK_BAD_NAMES = frozenset("aside promoted related recommended discussion skip legal form teaser".split())
 _GOOD_NAMES = frozenset("article content story post entry main maincontent bodytext articlebody".split())
 _WITH = frozenset("with has no without open is".split())
 
@@ -58,7 +69,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-class _Block:
+class Block:
     __slots__ = ("chars", "heading", "links", "region", "text", "zone")
 
     def __init__(self, text: str, links: int, zone: int, region: int, heading: bool) -> None:
@@ -66,10 +77,11 @@ class _Block:
 
 
 def zone_of(tag: str, attributes: str, inside: int) -> int:
-    """-1 for boilerplate, 1 for main content, 0 if the element says neither. `inside`: the zone around it."""
-    if tag in _BAD_TAGS or (tag == "header" and inside != 1):
+    """-1 for boilerplate, 2 for a strong mark of the article, 1 for a weak one, 0 if the element says neither.
+    `inside`: the zone around it."""
+    if tag in _BAD_TAGS or (tag == "header" and inside < 1):
         return -1
-    zone = 1 if tag in _GOOD_TAGS else 0
+    zone = 2 if tag in _GOOD_TAGS else 0
     if not attributes or attributes.isspace():
         return zone
     for m in _ATTRIBUTE.finditer(attributes):
@@ -79,26 +91,28 @@ def zone_of(tag: str, attributes: str, inside: int) -> int:
         if name == "role":
             if value in _BAD_ROLES:
                 return -1
-            zone = 1 if value in ("main", "article") else zone
+            zone = 2 if value in ("main", "article") else zone
         elif name in ("class", "id") and tag not in ("html", "body"):
             for token in value.split():
                 parts = [p for p in re.split(r"[-_]+", token) if p]
-                good = any(p in _GOOD_NAMES for p in parts)
-                if tag not in _GOOD_TAGS and parts and parts[0] not in _WITH and any(p in _BAD_NAMES for p in parts) and not (good and parts[-1] == "header"):
-                    return -1
-                if good and tag in ("div", "section", "td"):
-                    zone = 1
+                ends = {parts[0], parts[-1]} if parts else set()
+                good = bool(parts) and any(p in _GOOD_NAMES for p in parts)
+                if tag not in _GOOD_TAGS and parts and parts[0] not in _WITH and not (good and parts[-1] == "header"):
+                    if ends & _BAD_NAMES or (inside < 1 and ends & _WEAK_BAD_NAMES):
+                        return -1
+                if parts and parts[-1] in _GOOD_NAMES and tag in ("div", "section", "td"):
+                    zone = max(zone, 1)
         elif name == "itemprop" and value == "articlebody":
-            zone = 1
+            zone = 2
     return zone
 
 
-def blocks(page: str) -> list[_Block]:
-    out: list[_Block] = []
+def blocks(page: str) -> list[Block]:
+    out: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # element, its zone, its region
     opened: dict[str, int] = {}
     parts: list[str] = []
-    state = {"links": 0, "regions": 0, "breaks": 0, "heading": False}
+    state = {"links": 0, "regions": 0, "breaks": 0, "heading": False, "silent": 0}
 
     def here() -> tuple[int, int]:
         return (stack[-1][1], stack[-1][2]) if stack else (0, 0)
@@ -107,12 +121,12 @@ def blocks(page: str) -> list[_Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(_Block(text, state["links"], *here(), state["heading"]))
+                out.append(Block(text, state["links"], *here(), state["heading"]))
             parts.clear()
         state["links"], state["breaks"] = 0, 0
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and not state["silent"]:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if not text.isspace():
@@ -124,6 +138,8 @@ def blocks(page: str) -> list[_Block]:
         while len(stack) > n:
             name = stack.pop()[0]
             opened[name] -= 1
+        if 0 < n < state["silent"] or not n:
+            state["silent"] = 0
 
     def close_open(name: str) -> None:
         """Closes an open element of this name, unless a container stands between."""
@@ -163,7 +179,7 @@ def blocks(page: str) -> list[_Block]:
         at = m.end()
         end, tag, attributes = m[1] == "/", m[2].lower(), m[3]
         if end:
-            if tag in _BLOCK:
+            if tag in _BLOCK and not (state["silent"] and not opened.get(tag)):
                 flush()
                 if tag[0] == "h" and tag[1:].isdigit():
                     state["heading"] = False
@@ -186,7 +202,9 @@ def blocks(page: str) -> list[_Block]:
             if state["breaks"] > 1:
                 flush()
             continue
-        if tag in _BLOCK:
+        if tag in _BLOCK and state["silent"] and stack[state["silent"] - 1][0] in _CLOSED_BY_BLOCK:
+            cut(state["silent"] - 1)
+        if tag in _BLOCK and not state["silent"]:
             flush()
             close_open("p")
             if tag in ("li", "td", "th", "tr", "dd", "dt"):
@@ -196,77 +214,93 @@ def blocks(page: str) -> list[_Block]:
             continue
         zone, region = here()
         own = zone_of(tag, attributes, zone)
-        if zone != -1 and own and own != zone:
-            if tag not in _BLOCK and parts:
-                flush()
+        silent = tag in _SILENT or (own == -1 and tag not in _BLOCK)
+        if tag in _BLOCK and zone != -1 and own and own != zone and (own == -1 or own > zone):
             state["regions"] += 1
             zone, region = own, state["regions"]
         stack.append((tag, zone, region))
         opened[tag] = opened.get(tag, 0) + 1
+        if silent and not state["silent"]:
+            state["silent"] = len(stack)  # text is dropped until this element ends
     flush()
     return out
 
 
-def _first_pass(b: _Block) -> str:
-    links = b.links / b.chars
+def density(text: str) -> float:
+    """The share of stop words."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def first_pass(found: list[Block]) -> list[str]:
+    """good, bad, near (mixed) or short for each block."""
+    dense = [density(b.text) if b.zone >= 0 and b.chars >= SHORT_BLOCK else 0.0 for b in found]
+    known = any(d >= STOP_LOW for d in dense)
+    return [_label(b, d, known) for b, d in zip(found, dense, strict=True)]
+
+
+def _label(b: Block, dense: float, known: bool) -> str:
+    marked = b.zone > 0
     if b.zone < 0:
         return "bad"
-    if b.zone > 0:
-        if links > MAX_LINKS:
-            return "short"
-        return "good" if b.heading or b.chars >= SHORT_BLOCK else "short"
-    if links > MAX_LINKS or "©" in b.text:
-        return "bad"
+    if b.links > MAX_LINKS * b.chars:
+        return "short" if marked else "bad"
     if b.heading or b.chars < SHORT_BLOCK:
-        return "short"
-    words = _WORD.findall(b.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if density >= STOP_HIGH and b.chars >= LONG_BLOCK:
+        return "bad" if "©" in b.text and not marked else "short"
+    if dense >= STOP_HIGH and (marked or b.chars >= LONG_BLOCK):
         return "good"
-    return "near"
+    if dense >= STOP_LOW or not known:
+        return "near"
+    return "short" if marked else "bad"
+
+
+def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
+    """Whether each block is kept: undecided ones follow the nearest decided ones of their region, else of the page's
+    blocks that do not stand in boilerplate, else their place (and not a link)."""
+    n = len(found)
+    kept = [label == "good" for label in labels]
+
+    def nearest(same_region: bool) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in range(n)]
+        for order in (range(n), range(n - 1, -1, -1)):
+            last: dict[int, int] = {}
+            for i in order:
+                b = found[i]
+                place = b.region if same_region else 0
+                if place in last:
+                    out[i].append(last[place])
+                if labels[i] in ("good", "bad") and (same_region or b.zone >= 0):
+                    last[place] = i
+        return out
+
+    inside, anywhere = nearest(True), nearest(False)
+    for i, b in enumerate(found):
+        if labels[i] in ("good", "bad"):
+            continue
+        near = inside[i] or ([] if b.zone > 0 else anywhere[i])
+        if not near:
+            kept[i] = b.links <= MAX_LINKS * b.chars or b.zone > 0
+        elif labels[i] == "near":
+            kept[i] = any(labels[j] == "good" for j in near)
+        else:
+            kept[i] = labels[min(near, key=lambda j: (abs(j - i), labels[j] != "good"))] == "good"
+    return kept
+
+
+def decide(found: list[Block]) -> list[bool]:
+    """Whether each block is part of the main text."""
+    labels = first_pass(found)
+    kept = second_pass(found, labels)
+    size = lambda marked: sum(b.chars for b, k in zip(found, kept, strict=True) if k and (b.zone > 0) == marked)
+    if any(b.zone == 2 and label == "good" for b, label in zip(found, labels, strict=True)) or size(True) >= max(size(False), 1):
+        kept = [k and b.zone > 0 for k, b in zip(kept, found, strict=True)]
+    return kept
 
 
 def extract(page: str) -> str:
     """The main text of a page."""
     found = blocks(page)
-    if any(b.zone > 0 for b in found):
-        found = [b for b in found if b.zone > 0]
-    labels = [_first_pass(b) for b in found]
-    kept = []
-    n = len(found)
-    before: list[tuple[int, str] | None] = [None] * n
-    last: tuple[int, str] | None = None
-    for i in range(n):  # the nearest decided block before, in the same region
-        if i and found[i].region != found[i - 1].region:
-            last = None
-        before[i] = last
-        if labels[i] in ("good", "bad"):
-            last = (i, labels[i])
-    behind: tuple[int, str] | None = None
-    after: list[tuple[int, str] | None] = [None] * n
-    for i in range(n - 1, -1, -1):
-        if i < n - 1 and found[i].region != found[i + 1].region:
-            behind = None
-        after[i] = behind
-        if labels[i] in ("good", "bad"):
-            behind = (i, labels[i])
-    for i, b in enumerate(found):
-        label = labels[i]
-        if label in ("short", "near"):
-            p, q = before[i], after[i]
-            near = [x for x in (p, q) if x]
-            if not near:
-                good = b.zone > 0 or label == "near"
-            elif len({x[1] for x in near}) == 1:
-                good = near[0][1] == "good"
-            elif label == "near":
-                good = True
-            else:
-                good = min(near, key=lambda x: (abs(x[0] - i), x[1] != "good"))[1] == "good"
-            label = "good" if good else "bad"
-        if label == "good":
-            kept.append(b.text)
-    return "\n".join(kept)
+    return "\n".join(b.text for b, k in zip(found, decide(found), strict=True) if k)
 
 
 def main_text(pages: DataFrame, keep: list[str], column: str = "html") -> DataFrame:
@@ -279,7 +313,9 @@ def main_text(pages: DataFrame, keep: list[str], column: str = "html") -> DataFr
 
         return of
 
-    return by_texts(pages, keep, column, "text string, n_chars bigint", work)
+    clash = [c for c in keep if c in ("text", "n_chars")]
+    out = by_texts(pages.withColumnsRenamed({c: f"{c}_in" for c in clash}), [f"{c}_in" if c in clash else c for c in keep], f"{column}_in" if column in clash else column, "text string, n_chars bigint", work)
+    return out
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:
