@@ -7,6 +7,11 @@
 5. SentencePiece: texts become ids.
 
 The model of stage 1 learns from labelled documents of the stage's own input.
+
+Defined results: a null or empty text fails the counted rules and goes with stage 1; rows that repeat a doc_id and its
+text stay once after stage 2, rows of one doc_id with different texts are different documents; an empty table gives no
+rows. Other columns pass through every stage; input columns named n_ids, ids or round_trip come out with `_in` at the
+end of their names. Each stage is a table in the shared folder, so a lost executor only costs its own tasks.
 """
 
 from __future__ import annotations
@@ -34,8 +39,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = [c for c in docs.columns if c not in ("text", "n_ids", "ids", "round_trip")]
-    return sentencepieces.encode(docs, sentencepieces.Vocabulary.load(), keep)
+    return sentencepieces.encode(docs, sentencepieces.Vocabulary.load(), [c for c in docs.columns if c != "text"])
 
 
 STAGES = [

@@ -1,29 +1,32 @@
 """Operator 9: SentencePiece encoding and decoding by streaming Viterbi.
 
-The best segmentation of a text by the sum of the vocabulary's piece scores is found left to right. A
-window of open positions is kept; whenever all surviving backpointer paths pass one boundary, the ids up
-to it are committed and dropped from the window, so memory does not grow with the text. Characters that
-no piece covers become the vocabulary's byte pieces, at a price below every piece. Pieces that the model
-marks as hardly usable (a score below -1e6: runs of spaces) are priced between the others and bytes.
-
-Paths always converge where no piece of the vocabulary can cross: before a space that follows another
-character (pieces hold spaces only in front), and around characters that only byte pieces cover. What
-lies between two such points is encoded once and remembered (a bounded table), which gives the same ids.
+The best segmentation of a text by the sum of piece scores is found left to right. Open are only positions that a piece
+can still reach, at most the longest piece ahead; behind them a trail of back pointers is kept. Whenever all surviving
+paths pass one boundary, the ids up to it are committed and the trail up to it is dropped. Scores are integers, and of
+equally good paths the one with the shortest last piece wins: the rest of a run then always stands at its end, so the
+paths through long runs (of spaces, say) meet a few pieces back. Where nothing can be open (before a space that follows
+another character, as pieces hold spaces only in front, and around characters that only byte pieces cover), the stream
+has one open position and no trail, and what it does next depends only on the characters up to the next such place:
+the ids of short stretches are remembered (a bounded table) and others streamed. Memory therefore follows the distance
+between meetings, not the text; a vocabulary can be made whose paths never meet on some text, and then the trail grows.
 
 A space stands for the vocabulary's U+2581 and one is put in front of every text, as in the original
-format; a U+2581 that is really in a text becomes bytes, so decode(encode(t)) == t for every text. The
-vocabulary here was made for BPE; its scores are ranks, and the ids are those of the best path, not of
-BPE merges.
-
-Defined results: null and empty texts have no ids; repeated rows get a row each; an empty table gives no
-rows.
+format; a U+2581 that is really in a text becomes bytes, so decode(encode(t)) == t for every text. Characters that no
+piece covers become the vocabulary's byte pieces, at a price below every piece. A BPE vocabulary has ranks for scores
+(whole numbers): they are read as Zipf's law, log p = -ln(rank + 1) - ln(harmonic sum), which trains nothing; other
+scores are taken as they are. Ids are those of the best path, not of BPE merges. Pieces that the model marks as hardly
+usable (a score below -1e6: runs of spaces) follow the others in rank.
+
+Defined results: null and empty texts have no ids; ties are broken as above; repeated rows get a row each; an empty
+table gives no rows. Columns named by `keep` that clash with a result's are passed on with `_in` at the end of their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-import struct
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -37,35 +40,57 @@ from .common import by_texts, table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _REMEMBERED = 200_000
 _LONGEST_REMEMBERED = 64
+_CHUNK = 256
+
+
+#: Scores are rounded to this fraction, so that sums are exact.
+_UNIT = 1 << 16
+_NEVER = -(1 << 62)
+
+
+def log_probabilities(scores: list[float], usable: list[bool]) -> list[float]:
+    """The scores of pieces; ranks (whole numbers, descending) become log-probabilities by Zipf's law."""
+    own = [s for s, u in zip(scores, usable, strict=True) if u and s > -1e6]
+    ranks = len(own) > 2 and all(s == int(s) for s in own) and all(a >= b for a, b in zip(own[:-1], own[1:], strict=True))
+    if not ranks:
+        least = min(own, default=0.0)
+        return [max(s, least - 5) for s in scores]
+    order = sorted((i for i, u in enumerate(usable) if u), key=lambda i: (-scores[i], i))
+    total = math.log(sum(1 / k for k in range(1, len(order) + 1)))
+    out = [0.0] * len(scores)
+    for k, i in enumerate(order, 1):
+        out[i] = -math.log(k) - total
+    return out
 
 
 class Vocabulary:
-    """Pieces with a space for U+2581, their scores, and the ids of the 256 byte pieces."""
+    """Pieces with a space for U+2581, their scores (integers), and the ids of the 256 byte pieces."""
 
     def __init__(self, pieces: list[str], scores: list[float], special: set[int]) -> None:
         self.raw: list[bytes] = [b""] * len(pieces)
-        self.pieces: dict[str, tuple[int, float]] = {}
+        self.pieces: dict[str, tuple[int, int]] = {}
         self.bytes = [-1] * 256
-        least = min((s for s in scores if s > -1e6), default=0.0)
+        byte = [re.fullmatch(r"<0x([0-9A-F]{2})>", p) for p in pieces]
+        scores = log_probabilities(scores, [i not in special and not b for i, b in enumerate(byte)])
         for i, (p, s) in enumerate(zip(pieces, scores, strict=True)):
             if i in special:
                 continue
-            if m := re.fullmatch(r"<0x([0-9A-F]{2})>", p):
-                self.bytes[int(m[1], 16)] = i
-                self.raw[i] = bytes([int(m[1], 16)])
+            if byte[i]:
+                self.bytes[int(byte[i][1], 16)] = i
+                self.raw[i] = bytes([int(byte[i][1], 16)])
                 continue
-            plain, s = p.replace("▁", " "), max(s, least - 5)
+            plain, own = p.replace("▁", " "), round(s * _UNIT)
             self.raw[i] = plain.encode()
-            if plain and (plain not in self.pieces or s > self.pieces[plain][1]):
-                self.pieces[plain] = (i, s)
+            if plain and (plain not in self.pieces or own > self.pieces[plain][1]):
+                self.pieces[plain] = (i, own)
         # every beginning of a piece, with what the piece is if it is one
-        self.prefixes: dict[str, tuple[int, float, tuple[int]] | None] = {}
+        self.prefixes: dict[str, tuple[int, int, tuple[int]] | None] = {}
         for p, (i, s) in self.pieces.items():
             for k in range(1, len(p)):
                 self.prefixes.setdefault(p[:k])
             self.prefixes[p] = (i, s, (i,))
         self.longest = max(map(len, self.pieces), default=1)
-        self.byte_score = least - 10.0
+        self.byte_score = min((s for _, s in self.pieces.values()), default=0) - 10 * _UNIT
         # how long the pieces can be that begin with a character
         self.reach: dict[str, int] = {}
         for p in self.pieces:
@@ -74,30 +99,6 @@ class Vocabulary:
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.pieces))
         self.pattern = None if inner else rf" *[^ {alone}]+| +" + (f"|[{alone}]" if alone else "")
 
-    def within(self, text: str) -> bytes:
-        """The ids of a text no longer than a window: all its positions stay open, and the end commits them."""
-        get, n = self.prefixes.get, len(text)
-        score, start, ids = [0.0] + [-np.inf] * n, [0] * (n + 1), [None] * (n + 1)
-        for i in range(n):
-            base, j = score[i], i + 1
-            hit = get(text[i:j], 0)
-            if not hit:
-                raw = text[i].encode("utf-8", "surrogatepass")
-                if (s := base + len(raw) * self.byte_score) > score[j]:
-                    score[j], start[j], ids[j] = s, i, tuple(self.bytes[b] for b in raw)
-            while hit != 0:
-                if hit and (s := base + hit[1]) > score[j]:
-                    score[j], start[j], ids[j] = s, i, hit[2]
-                j += 1
-                if j > n:
-                    break
-                hit = get(text[i:j], 0)
-        out: list[int] = []
-        while n:
-            out += ids[n][::-1]
-            n = start[n]
-        return struct.pack(f"={len(out)}i", *reversed(out))
-
     @classmethod
     def load(cls, path: str = VOCABULARY) -> Vocabulary:
         import sentencepiece
@@ -109,84 +110,85 @@ class Vocabulary:
 
 
 class StreamingViterbi:
-    """Feeds characters in, gives committed ids out. `window` is the number of open positions now,
-    `widest` the most there ever were."""
+    """Feeds characters in, gives committed ids out. `widest` is the longest trail there ever was, in characters."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.text = ""  # characters from the last committed boundary on
         self.done = 0  # positions of `text` from which all pieces have been offered
-        self.score, self.back = [0.0], [None]
+        self.far = 0  # the last position that is reached
+        self.score, self.start, self.own = [0], [0], [()]  # by position: the best sum, where its last piece starts, its ids
         self.widest = 0
-        self.check_at = 4 * vocabulary.longest  # when paths are next searched for a common boundary
+        self.check_at = vocabulary.longest  # when paths are next searched for a common boundary
 
     def _advance(self, final: bool) -> list[int]:
         """Offers all pieces from the positions whose longest piece is in sight, committing where paths meet."""
         out: list[int] = []
-        v, get, text = self.v, self.v.prefixes.get, self.text
-        score, back, i, n = self.score, self.back, self.done, len(text)
+        v, get, reach = self.v, self.v.prefixes.get, self.v.reach.get
+        text, score, start, own, i, far = self.text, self.score, self.start, self.own, self.done, self.far
+        n = len(text)
         while i < n:
-            first = text[i]
-            if not final and i + max(v.reach.get(first, 0), 1) > n:
+            if not final and i + reach(text[i], 1) > n:
                 break
-            if back[i] is not None or not i:
-                base, j = score[i], i + 1
-                if not get(first):  # no piece for the character alone: its bytes
-                    raw = first.encode("utf-8", "surrogatepass")
-                    self._offer(j, base + len(raw) * v.byte_score, (i, tuple(v.bytes[b] for b in raw)))
-                while j <= n and (hit := get(text[i:j], 0)) != 0:
-                    if hit:
-                        s = base + hit[1]
-                        if j < len(score):
-                            if s > score[j]:
-                                score[j], back[j] = s, (i, hit[2])
-                        else:
-                            self._offer(j, s, (i, hit[2]))
+            base, j = score[i], i + 1
+            if base > _NEVER:
+                hit = get(text[i], 0)
+                if not hit:  # no piece for the character alone: its bytes
+                    raw = text[i].encode("utf-8", "surrogatepass")
+                    if (s := base + len(raw) * v.byte_score) >= score[j]:
+                        score[j], start[j], own[j] = s, i, tuple(v.bytes[b] for b in raw)
+                        far = max(far, j)
+                while hit != 0:
+                    if hit and (s := base + hit[1]) >= score[j]:
+                        score[j], start[j], own[j] = s, i, hit[2]
+                        if j > far:
+                            far = j
                     j += 1
+                    if j > n:
+                        break
+                    hit = get(text[i:j], 0)
             i += 1
-            if len(score) - 1 == i or i >= self.check_at:
-                self.done = i
-                self.widest = max(self.widest, len(score))
-                # nothing reaches beyond, so every path ends here; or paths may have met before
-                if b := i if len(score) - 1 == i else self._meeting():
+            if i >= self.check_at:
+                self.done, self.far = i, far
+                self.widest = max(self.widest, far)
+                if b := i if far == i else self._meeting():
                     out += self._commit(b)
-                    text, score, back, i, n = self.text, self.score, self.back, self.done, len(self.text)
-                    self.check_at = i + 4 * v.longest
+                    text, score, start, own, i, far = self.text, self.score, self.start, self.own, self.done, self.far
+                    n = len(text)
+                    self.check_at = i + v.longest
                 else:  # paths that stay apart are looked at ever more rarely, so the work stays linear
                     self.check_at = 2 * i
-        self.done = i
+        self.done, self.far = i, far
         return out
 
-    def _offer(self, at: int, score: float, back: tuple[int, tuple[int, ...]]) -> None:
-        while len(self.score) <= at:
-            self.score.append(-np.inf)
-            self.back.append(None)
-        if score > self.score[at]:
-            self.score[at], self.back[at] = score, back
-
     def _meeting(self) -> int:
         """The last boundary on the paths of all open positions, 0 if they only share the first."""
-        heads = {p for p in range(self.done, len(self.score)) if self.score[p] > -np.inf}
+        heads = {p for p in range(self.done, self.far + 1) if self.score[p] > _NEVER}
         while len(heads) > 1:
             latest = max(heads)
             heads.discard(latest)
-            heads.add(self.back[latest][0])
+            heads.add(self.start[latest])
         return heads.pop() if heads else 0
 
     def _commit(self, boundary: int) -> list[int]:
         ids: list[tuple[int, ...]] = []
         at = boundary
         while at:
-            at, own = self.back[at]
-            ids.append(own)
+            ids.append(self.own[at])
+            at = self.start[at]
         base = self.score[boundary]
-        self.text, self.done = self.text[boundary:], self.done - boundary
-        self.score = [s - base for s in self.score[boundary:]]
-        self.back = [None] + [b and (b[0] - boundary, b[1]) for b in self.back[boundary + 1 :]]
+        self.text, self.done, self.far = self.text[boundary:], self.done - boundary, self.far - boundary
+        self.score = [s - base if s > _NEVER else s for s in self.score[boundary:]]
+        self.start = [0] + [s - boundary for s in self.start[boundary + 1 :]]
+        self.own = [()] + self.own[boundary + 1 :]
         return [i for own in reversed(ids) for i in own]
 
     def feed(self, chunk: str) -> list[int]:
         self.text += chunk
+        more = len(chunk)
+        self.score += [_NEVER] * more
+        self.start += [0] * more
+        self.own += [()] * more
         return self._advance(False)
 
     def finish(self) -> list[int]:
@@ -204,13 +206,15 @@ class Coder(dict):
         self.find = re.compile(vocabulary.pattern).findall if vocabulary.pattern else None
 
     def __missing__(self, stretch: str) -> bytes:
+        out = self.old.get(stretch)
+        if out is None:
+            viterbi, ids = StreamingViterbi(self.v), array("i")
+            for k in range(0, len(stretch), _CHUNK):
+                ids.extend(viterbi.feed(stretch[k : k + _CHUNK]))
+            ids.extend(viterbi.finish())
+            out = ids.tobytes()
         if len(stretch) > _LONGEST_REMEMBERED:
-            viterbi = StreamingViterbi(self.v)
-            ids: list[int] = []
-            for k in range(0, len(stretch), 4096):
-                ids += viterbi.feed(stretch[k : k + 4096])
-            return np.array(ids + viterbi.finish(), np.int32).tobytes()
-        out = self.old.get(stretch) or self.v.within(stretch)
+            return out
         if len(self) >= _REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -255,7 +259,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str =
 
         return of
 
-    return by_texts(docs, keep, text, "n_ids bigint, ids array<int>, round_trip boolean", work)
+    clash = {c: f"{c}_in" for c in keep if c in ("n_ids", "ids", "round_trip")}
+    return by_texts(docs.withColumnsRenamed(clash), [clash.get(c, c) for c in keep], clash.get(text, text), "n_ids bigint, ids array<int>, round_trip boolean", work)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: list[str], ids: str = "ids") -> DataFrame:
