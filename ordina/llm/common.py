@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "/tmp/checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
@@ -105,6 +108,33 @@ def replaced(docs: DataFrame, out: DataFrame, named: dict[str, str], new: str) -
     return out.select(*[c.alias(n) for n, c in own.items()])
 
 
+class Taken:
+    """A set of spans that are joined where they overlap; tests a new one in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int]] | None = None) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans or ()):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+    def add(self, a: int, b: int) -> bool:
+        """Takes the span unless it overlaps one."""
+        if self.touches(a, b):
+            return False
+        i = bisect_left(self.starts, b)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, where: Callable | None = None) -> tuple[list[str], list[int]]:
     """Whole texts and 0/1 labels of at most `per_class` rows of each class, chosen by a hash of doc_id, so the
     sample is the same in every run. Labels other than 0 and 1, and documents with contradicting labels, are unused.
@@ -116,5 +146,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = F.xxhash64(F.col("__id"), F.lit(7))
     picks = [one.where(F.col("__y") == y).orderBy(order, "__id").limit(per_class) for y in (0, 1)]
     ids = picks[0].unionByName(picks[1]).select("__id", "__y")
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(ids), "__id").orderBy(order, "__id", "__text").toArrow()
+    # a doc_id that repeats in docs has one text in the sample (the smallest), so the bound holds for rows too
+    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(ids), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).orderBy(order, "__id").toArrow()
     return [t or "" for t in rows["__text"].to_pylist()], rows["__y"].to_pylist()

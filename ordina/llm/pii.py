@@ -11,8 +11,10 @@ What reaches the driver is bounded: the counts of vote patterns (3**6 a kind at
 TRAIN_SPANS candidates (by hash). Everything else runs once over every text, in slices.
 
 Defined results: null and empty texts have no spans (and the digest of the empty string); repeated rows
-get a row each; empty tables give no rows; without candidates no span is added. Spans are code points,
-end exclusive.
+get a row each; empty tables give no rows; without candidates no span is added. Of added candidates that overlap, the
+kind listed first wins, then the one further left; base spans that overlap all stay, and are redacted as one. Texts of
+any length are read whole, in time in proportion to it. Spans are code points, end exclusive. Columns named by `keep` that
+clash with a result's are passed on with `_in` at the end of their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import by_texts, mapped, renamed, replaced, stored, table
+from .common import Taken, by_texts, mapped, renamed, replaced, stored, table
 from .features import sigmoid
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -49,15 +51,22 @@ _MORE = {
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", re.A),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A),
     "email_at": re.compile(r"(?<![\w.])[A-Za-z0-9._-]{2,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]+)+", re.A),
-    "name": re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme)\.? ([A-Z][a-z]{2,20}(?: [A-Z][a-z]{2,20}){1,2})(?!\w)"),
+    "name": re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Sr|Sra|Srta|Mme|Mlle|M)\.? ((?:[^\W\d_a-zß-öø-ÿ][^\W\d_A-ZÀ-ÖØ-Þ]{1,20}(?:['’-][^\W\d_]{2,20})?)(?: (?:(?:van|von|de|del|da|di|la|le) )?[^\W\d_a-zß-öø-ÿ][^\W\d_A-ZÀ-ÖØ-Þ]{1,20}(?:['’-][^\W\d_]{2,20})?){1,2})(?!\w)"),
 }
-_CUES = (b"[at]", b"(at)", b"[ at", b"( at", b"Mr", b"Ms", b"Dr", b"Prof", b"Herr ", b"Frau ", b"Sr", b"Mme")
+_CUES = (b"[at]", b"(at)", b"[ at", b"( at", b"Mr", b"Ms", b"Miss", b"Dr", b"Prof", b"Herr ", b"Frau ", b"Sr", b"Mme", b"Mlle", b"M ", b"M. ")
 _FLAGGED = tb.byte_set(b"@", ((0x30, 0x39),))
 
-# Gazetteers (fixed values).
-_TLDS = frozenset("com org net edu gov int io de fr es it nl uk us eu ch at be info biz co".split())
+# Gazetteers (fixed values): top-level domains beside those of two letters, calling codes, common first names of four
+# languages, countries with IBANs.
+_TLDS = frozenset("com org net edu gov mil int info biz name pro mobi aero coop museum travel jobs app dev cloud online site store shop blog tech xyz agency email".split())
 _CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
-_NAMES = frozenset("james mary john anna peter maria paul laura david sarah thomas julia hans klaus ursula pierre jean marie luc sophie juan jose carmen pablo lucia carlos".split())
+_NAMES = frozenset(
+    """james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven andrew paul joshua kenneth kevin brian george timothy
+    mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy betty sandra margaret ashley emily donna michelle carol amanda melissa laura anna julia emma olivia
+    jean pierre michel andré philippe alain bernard jacques nicolas françois marie jeanne françoise monique catherine nathalie isabelle sylvie luc sophie claire camille hélène
+    hans peter klaus wolfgang jürgen dieter manfred uwe günther stefan andreas ursula monika petra elisabeth sabine renate helga karin brigitte ingrid jonas lukas felix
+    antonio josé manuel francisco juan javier carlos miguel luis pedro pablo maria carmen ana isabel dolores pilar teresa rosa lucía sofía elena marta raúl""".split()
+)
 _IBAN_LANDS = frozenset("DE FR ES IT NL GB CH AT BE LU PT IE PL SE DK NO FI CZ".split())
 # Context words (fixed values).
 _FOR = {
@@ -69,6 +78,16 @@ _FOR = {
 _AGAINST = ("version", "isbn", "issn", "release", "build", "order", "invoice", "serial", "chapter", "section", "doi", "example of")
 
 
+def _known_domain(name: str) -> bool:
+    return name in _TLDS or len(name) == 2 and name.isalpha()
+
+
+def _part(p: str) -> bool:
+    """A part of an IPv4 address; leading zeros may be many."""
+    own = p.lstrip("0")
+    return len(own) <= 3 and int(own or "0") <= 255
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -95,7 +114,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base spans, by start, then kind as listed."""
     out = [(a, b, "email") for a, b in emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(map(_part, m[0].split("."))):
             out.append((m.start(), m.end(), "ip"))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -111,10 +130,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def more_candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans of the other kinds that touch no base span and none before them."""
     out: list[tuple[int, int, str]] = []
+    taken = Taken([(a, b) for a, b, _ in base])
     for kind, pattern in _MORE.items():
         for m in pattern.finditer(text):
             a, b = m.span(1) if kind == "name" else m.span()
-            if all(b <= s or e <= a for s, e, _ in (*base, *out)):
+            if taken.add(a, b):
                 out.append((a, b, kind))
     return sorted(out)
 
@@ -132,7 +152,7 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     form = {
         "email": lambda: 1 if re.fullmatch(r"[A-Za-z0-9][\w.+-]*@[\w-]+(\.[\w-]+)*\.[A-Za-z]{2,10}", value, re.A) else -1,
         "email_at": lambda: 1 if re.search(r"[\])] ?[A-Za-z]{2,10}$", value) else -1,
-        "ip": lambda: 1 if all(str(int(p)) == p for p in value.split(".")) else -1,
+        "ip": lambda: 1 if all(p == "0" or p[0] != "0" for p in value.split(".")) else -1,
         "card": lambda: 1 if len(digits) in (13, 14, 15, 16, 19) else -1,
         "phone": lambda: 1 if 10 <= len(digits) <= 13 else -1,
         "tel": lambda: 1 if digits[0] not in "01" and digits[3] not in "01" else -1,
@@ -142,15 +162,15 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     }[kind]()
     # gazetteer
     known = {
-        "email": lambda: 1 if value.rpartition(".")[2].lower() in _TLDS else 0,
-        "email_at": lambda: 1 if re.split(r"\W+", value.lower())[-1] in _TLDS else 0,
+        "email": lambda: 1 if _known_domain(value.rpartition(".")[2].lower()) else 0,
+        "email_at": lambda: 1 if _known_domain(re.split(r"\W+", value.lower())[-1]) else 0,
         "ip": lambda: -1 if value.startswith(("0.", "127.", "255.")) else 0,
         "card": lambda: 1 if digits[0] in "3456" else -1,
         "phone": lambda: 1 if any(digits[:n] in _CALLING for n in (1, 2)) else -1,
         "tel": lambda: -1 if len(set(digits)) < 3 else 0,
         "ssn": lambda: -1 if digits in ("123456789", "078051120") else 0,
         "iban": lambda: 1 if value[:2] in _IBAN_LANDS else -1,
-        "name": lambda: 1 if value.split(" ")[0].lower() in _NAMES else 0,
+        "name": lambda: 1 if any(p in _NAMES for p in re.split(r"[ '’-]", value.lower())) else 0,
     }[kind]()
     near = 1 if any(w in before for w in _FOR[kind]) else 0
     against = -1 if any(w in before for w in _AGAINST) else 0
@@ -287,7 +307,8 @@ def find(docs: DataFrame, model: SpanClassifier, keep: list[str], text: str = "t
 
         return of
 
-    return by_texts(docs, keep, text, ", ".join(f"n_{k} bigint" for k in BASE_KINDS) + ", base_sha256 string, spans string, redacted string", work)
+    clash = {c: f"{c}_in" for c in keep if c in (*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "redacted")}
+    return by_texts(docs.withColumnsRenamed(clash), [clash.get(c, c) for c in keep], clash.get(text, text), ", ".join(f"n_{k} bigint" for k in BASE_KINDS) + ", base_sha256 string, spans string, redacted string", work)
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
