@@ -10,12 +10,18 @@ Streaming is skipped where it can only give short matches: a match of n words ne
 word pairs of the items, which is found for a whole slice of texts at once. The longest match of every
 run of such pairs is then tracked by the automaton alone.
 
-Items are a reference set, not corpus data: at most MAX_ITEM_WORDS words are taken to the driver, and
-more are refused (split the benchmark and run once per part).
+Items are a reference set, not corpus data, and may still be many: they are dealt by a hash of their id to as
+many parts as keep one part's words at MAX_PART_WORDS or so. An automaton is built for each part in turn, every part
+scans all documents, and what they flag is united; with one part this is a single scan. (One item is never split: a
+part holds at least that.)
+
+Removing a span joins what stood around it, so a text that was cut is scanned again until nothing is hit; all that was
+removed counts towards the limit of coverage.
 
 Defined results: null and empty texts have no words; items without a word are unused; several items
-with one id count once; items with a null id are unused; repeated documents get a row each; empty
-tables give no rows, or no hits. Extra columns are not looked at.
+with one id count once; items with a null id are unused; ids that are no integers are strings; repeated documents get a
+row each; texts of any length are read whole; empty tables give no rows, or no hits. Columns named by `keep` that clash
+with a result's are passed on with `_in` at the end of their names; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,12 +29,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .common import by_texts, renamed, replaced, table
+from .common import by_texts, renamed, replaced, stored, table
 
 WINDOW = 10
-MAX_ITEM_WORDS = 4_000_000
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what counts as a word of an item (after A-Z became a-z)
+MAX_PART_WORDS = 200_000
 #: Documents whose hit share is above this go; from others the hit spans go.
 MAX_COVERAGE = 0.5
 
@@ -91,14 +99,12 @@ class SuffixAutomaton:
 class Benchmark:
     """The automaton of the items, with what is needed to find where streaming is worth it."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[int | str, str]], window: int = WINDOW) -> None:
         self.window = window
         texts = tb.of([t for _, t in items])
         data = tb.LOWER[texts.data]
         words = tb.Texts(data, texts.offsets).words(tb.ALNUM)
         hashes = tb.word_hashes(data, words)
-        if len(hashes) > MAX_ITEM_WORDS:
-            raise ValueError(f"the items have {len(hashes)} words; the limit is {MAX_ITEM_WORDS}: split them")
         self.vocabulary, ids = np.unique(hashes, return_inverse=True)
         self.automaton = SuffixAutomaton()
         of_item = [ids[a:b].tolist() for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
@@ -215,14 +221,58 @@ class Lookup:
         return at
 
 
-def load(benchmark: DataFrame, window: int = WINDOW) -> Benchmark:
-    rows = benchmark.select(F.col("item_id"), F.col("text").cast("string")).where("item_id is not null and text is not null").limit(MAX_ITEM_WORDS + 1).toArrow()
-    return Benchmark(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)), window)
+class Items:
+    """The items of a benchmark table, in parts whose automata fit on one machine."""
+
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW) -> None:
+        self.whole = isinstance(benchmark.schema["item_id"].dataType, T.IntegralType)
+        kind = "bigint" if self.whole else "string"
+        self.id_type = f"array<{kind}>"
+        self.rows = benchmark.select(F.col("item_id").cast(kind).alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+        self.window = window
+        words = self.rows.agg(F.sum(F.regexp_count(F.lower("text"), F.lit(_WORD)))).first()[0] or 0
+        self.parts = max(1, -(-words // MAX_PART_WORDS))
+        self._one: Benchmark | None = None
 
+    def part(self, k: int) -> Benchmark:
+        if self._one is None or self.parts > 1:
+            own = self.rows.where(F.pmod(F.xxhash64("item_id"), F.lit(self.parts)) == k).toArrow()
+            self._one = Benchmark(list(zip(own["item_id"].to_pylist(), own["text"].to_pylist(), strict=True)), self.window)
+        return self._one
 
-def matches(docs: DataFrame, items: Benchmark, keep: list[str], text: str = "text") -> DataFrame:
-    """n_words, n_hit and the sorted ids of the items found, by document."""
 
+def load(benchmark: DataFrame, window: int = WINDOW) -> Items:
+    return Items(benchmark, window)
+
+
+def hit_runs(hit: np.ndarray) -> np.ndarray:
+    """First and next-to-last flagged positions of each run, flat."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+
+
+def matches(docs: DataFrame, items: Items, keep: list[str], text: str = "text") -> DataFrame:
+    """n_words, n_hit and the sorted ids of the items found, by document."""
+    clash = {c: f"{c}_in" for c in keep if c in ("n_words", "n_hit", "items")}
+    docs, keep, text = docs.withColumnsRenamed(clash), [clash.get(c, c) for c in keep], clash.get(text, text)
+    if items.parts == 1:
+        return by_texts(docs, keep, text, f"n_words bigint, n_hit bigint, items {items.id_type}", _counted(items.part(0)))
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__body"))
+    names = list(keep)
+    for k in range(items.parts):
+        out = by_texts(out, [*names, "__body"], "__body", f"__words_{k} bigint, __runs_{k} array<bigint>, __items_{k} {items.id_type}", _runs_of(items.part(k), k))
+        names += [f"__words_{k}", f"__runs_{k}", f"__items_{k}"]
+        out = stored(out, "matches")
+    pairs = [F.transform(F.sequence(F.lit(0), F.floor(F.size(f"__runs_{k}") / 2).cast("int") - 1), lambda i, k=k: F.struct(F.element_at(f"__runs_{k}", 2 * i + 1).alias("a"), F.element_at(f"__runs_{k}", 2 * i + 2).alias("b"))) for k in range(items.parts)]
+    pairs = [F.when(F.size(f"__runs_{k}") > 0, p).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")) for k, p in enumerate(pairs)]
+    union = F.aggregate(
+        F.array_sort(F.concat(*pairs)), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
+        lambda acc, r: F.struct((acc["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], acc["end"]))).cast("bigint").alias("n"), F.greatest(acc["end"], r["b"]).alias("end")),
+    )
+    found = F.array_sort(F.array_distinct(F.concat(*[F.col(f"__items_{k}") for k in range(items.parts)])))
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__words_0").alias("n_words"), union["n"].alias("n_hit"), found.alias("items"))
+
+
+def _counted(items: Benchmark):
     def work():
         own = items.ready()
 
@@ -232,40 +282,83 @@ def matches(docs: DataFrame, items: Benchmark, keep: list[str], text: str = "tex
 
         return of
 
-    return by_texts(docs, keep, text, "n_words bigint, n_hit bigint, items array<bigint>", work)
+    return work
+
+
+def _runs_of(items: Benchmark, k: int):
+    def work():
+        own = items.ready()
+
+        def of(texts: tb.Texts, n: int) -> dict:
+            words, hit, found = own.scan(texts)
+            runs = [hit_runs(hit[words.offsets[d] : words.offsets[d + 1]]) if d in found else np.zeros(0, np.int64) for d in range(n)]
+            return {f"__words_{k}": words.counts(), f"__runs_{k}": runs, f"__items_{k}": [sorted(found.get(d, ())) for d in range(n)]}
+
+        return of
+
+    return work
 
 
 def without(raw: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> str:
     """The text without its hit spans, each from the first hit word to the last in a row."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     parts, at = [], 0
-    for a, b in edges.reshape(-1, 2):
+    for a, b in hit_runs(hit).reshape(-1, 2):
         parts.append(raw[at : starts[a]])
         at = ends[b - 1]
     parts.append(raw[at:])
     return b"".join(parts).decode("utf-8", "replace")
 
 
-def decontaminate(docs: DataFrame, items: Benchmark, max_coverage: float = MAX_COVERAGE) -> DataFrame:
-    """All columns of docs without hit spans in `text` (n_chars follows) and without documents hit beyond the limit."""
+def cut(items: Benchmark, text: str) -> tuple[str, int]:
+    """The text without what the items hit, until nothing is hit, and how many words went."""
+    gone = 0
+    while True:
+        own = tb.of([text])
+        words, hit, _ = items.scan(own)
+        if not hit.any():
+            return text, gone
+        gone += int(hit.sum())
+        text = without(own.raw(0), words.starts, words.ends, hit)
 
-    def work():
-        own = items.ready()
-
-        def of(texts: tb.Texts, n: int) -> dict:
-            words, hit, found = own.scan(texts)
-            counts, hits = words.counts(), tb.flag_sums(hit, words.offsets)
-            clean: list[str | None] = [None] * n
-            for d in found:
-                a, b = words.offsets[d], words.offsets[d + 1]
-                at = texts.offsets[d]
-                clean[d] = without(texts.raw(d), words.starts[a:b] - at, words.ends[a:b] - at, hit[a:b])
-            return {"clean": clean, "over": hits > max_coverage * counts}
-
-        return of
 
+def decontaminate(docs: DataFrame, items: Items, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+    """All columns of docs without hit spans in `text` (n_chars follows) and without documents hit beyond the limit.
+    With several parts, they take turns until a whole turn has found nothing."""
     own, named = renamed(docs)
-    out = by_texts(own, own.columns, named["text"], "clean string, over boolean", work).where("not over")
+
+    def work_of(k: int):
+        part = items.part(k)
+
+        def work():
+            part.ready()
+
+            def of(texts: tb.Texts, n: int) -> dict:
+                words, hit, found = part.scan(texts)
+                total, hits = words.counts(), tb.flag_sums(hit, words.offsets)
+                clean: list[str | None] = [None] * n
+                for d in found:
+                    a, b = words.offsets[d], words.offsets[d + 1]
+                    at = texts.offsets[d]
+                    clean[d], more = cut(part, without(texts.raw(d), words.starts[a:b] - at, words.ends[a:b] - at, hit[a:b]))
+                    hits[d] += more
+                return {"now": clean, "words": total, "hits": hits}
+
+            return of
+
+        return work
+
+    names = own.columns
+    if items.parts == 1:
+        out = by_texts(own, names, named["text"], "now string, words bigint, hits bigint", work_of(0))
+        return replaced(docs, out.where(F.col("hits") <= max_coverage * F.col("words")), named, "now")
+    out = own.withColumns({"clean": F.lit(None).cast("string"), "all": F.lit(None).cast("bigint"), "gone": F.lit(0).cast("bigint"), "body": F.col(named["text"]).cast("string")})
+    quiet, k = 0, 0
+    while quiet < items.parts:
+        out = by_texts(out, [*names, "clean", "all", "gone", "body"], "body", "now string, words bigint, hits bigint", work_of(k % items.parts))
+        out = out.withColumns({"clean": F.coalesce("now", "clean"), "body": F.coalesce("now", "body"), "all": F.coalesce("all", "words"), "gone": F.col("gone") + F.col("hits")})
+        out = stored(out.where(F.col("gone") <= max_coverage * F.col("all")), "decontaminated")
+        quiet = 0 if out.where("now is not null").take(1) else quiet + 1
+        out, k = out.drop("now", "words", "hits"), k + 1
     return replaced(docs, out, named, "clean")
 
 
