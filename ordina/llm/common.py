@@ -72,18 +72,19 @@ def to_arrow(schema: T.StructType) -> pa.Schema:
 def by_texts(df: DataFrame, keep: list[str], text: str, schema: str, work: Callable[[], Callable[[tb.Texts, int], dict]]) -> DataFrame:
     """Adds columns made from a text column. `work()` is called once per task and gives a function from
     a slice of texts to its new columns (arrays or lists). Rows keep their order; `keep` columns pass through
-    (the text travels once, also if it is one of them)."""
+    (the text travels once, also if it is one of them), under their names with `_in` at the end if a new column has theirs."""
     new = T._parse_datatype_string(schema)
-    source = text if text in keep else "__text"
-    picked = df.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(f"`{text}`").cast("string").alias("__text")]))
-    full = T.StructType([*picked.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, *new.fields])
+    named = {c: f"{c}_in" if c in new.names else c for c in keep}
+    source = named[text] if text in keep else unused("__text", [*named.values(), *new.names])
+    picked = df.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], *([] if text in keep else [F.col(f"`{text}`").cast("string").alias(source)]))
+    full = T.StructType([f for f in picked.schema.fields if f.name != source or text in keep] + new.fields)
     arrow = to_arrow(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = work()
         for batch in batches:
             at = batch.schema.get_field_index(source)
-            others = [i for i in range(batch.num_columns) if i != at or source == text]
+            others = [i for i in range(batch.num_columns) if i != at or text in keep]
             for i, j, texts in tb.slices(batch.column(at)):
                 made = function(texts, j - i)
                 cols = [batch.column(k).slice(i, j - i) for k in others]
@@ -93,6 +94,13 @@ def by_texts(df: DataFrame, keep: list[str], text: str, schema: str, work: Calla
     return mapped(picked, run, full)
 
 
+def unused(name: str, others: list[str]) -> str:
+    """The name, with as many underscores behind it as make it none of the others."""
+    while name in others:
+        name += "_"
+    return name
+
+
 def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with names that clash with no result's, and the new name of each column."""
     named = {c: f"__column_{i}" for i, c in enumerate(docs.columns)}

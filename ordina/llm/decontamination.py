@@ -27,7 +27,7 @@ with a result's are passed on with `_in` at the end of their names; other column
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -252,24 +252,28 @@ def hit_runs(hit: np.ndarray) -> np.ndarray:
 
 def matches(docs: DataFrame, items: Items, keep: list[str], text: str = "text") -> DataFrame:
     """n_words, n_hit and the sorted ids of the items found, by document."""
-    clash = {c: f"{c}_in" for c in keep if c in ("n_words", "n_hit", "items")}
-    docs, keep, text = docs.withColumnsRenamed(clash), [clash.get(c, c) for c in keep], clash.get(text, text)
     if items.parts == 1:
         return by_texts(docs, keep, text, f"n_words bigint, n_hit bigint, items {items.id_type}", _counted(items.part(0)))
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__body"))
-    names = list(keep)
+    names = [f"{c}_in" if c in ("n_words", "n_hit", "items") else c for c in keep]
+    out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").cast("string").alias("__body"))
+    own = list(names)
     for k in range(items.parts):
         out = by_texts(out, [*names, "__body"], "__body", f"__words_{k} bigint, __runs_{k} array<bigint>, __items_{k} {items.id_type}", _runs_of(items.part(k), k))
         names += [f"__words_{k}", f"__runs_{k}", f"__items_{k}"]
         out = stored(out, "matches")
-    pairs = [F.transform(F.sequence(F.lit(0), F.floor(F.size(f"__runs_{k}") / 2).cast("int") - 1), lambda i, k=k: F.struct(F.element_at(f"__runs_{k}", 2 * i + 1).alias("a"), F.element_at(f"__runs_{k}", 2 * i + 2).alias("b"))) for k in range(items.parts)]
-    pairs = [F.when(F.size(f"__runs_{k}") > 0, p).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")) for k, p in enumerate(pairs)]
+    pairs = [_pairs(f"__runs_{k}") for k in range(items.parts)]
     union = F.aggregate(
         F.array_sort(F.concat(*pairs)), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
         lambda acc, r: F.struct((acc["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], acc["end"]))).cast("bigint").alias("n"), F.greatest(acc["end"], r["b"]).alias("end")),
     )
     found = F.array_sort(F.array_distinct(F.concat(*[F.col(f"__items_{k}") for k in range(items.parts)])))
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__words_0").alias("n_words"), union["n"].alias("n_hit"), found.alias("items"))
+    return out.select(*[F.col(f"`{c}`") for c in own], F.col("__words_0").alias("n_words"), union["n"].alias("n_hit"), found.alias("items"))
+
+
+def _pairs(runs: str) -> Column:
+    """The runs of a flat array as structs (a, b)."""
+    made = F.transform(F.sequence(F.lit(0), F.floor(F.size(runs) / 2).cast("int") - 1), lambda i: F.struct(F.element_at(runs, 2 * i + 1).alias("a"), F.element_at(runs, 2 * i + 2).alias("b")))
+    return F.when(F.size(runs) > 0, made).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
 
 
 def _counted(items: Benchmark):

@@ -179,15 +179,13 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         end, tag, attributes = m[1] == "/", m[2].lower(), m[3]
         if end:
-            if tag in _BLOCK and not (state["silent"] and not opened.get(tag)):
+            at_most = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1) if opened.get(tag) else -1
+            if tag in _BLOCK and (not state["silent"] or 0 <= at_most < state["silent"]):
                 flush()
                 if tag[0] == "h" and tag[1:].isdigit():
                     state["heading"] = False
-            if opened.get(tag):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        cut(i)
-                        break
+            if at_most >= 0:
+                cut(at_most)
             continue
         if tag in _RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -313,9 +311,7 @@ def main_text(pages: DataFrame, keep: list[str], column: str = "html") -> DataFr
 
         return of
 
-    clash = [c for c in keep if c in ("text", "n_chars")]
-    out = by_texts(pages.withColumnsRenamed({c: f"{c}_in" for c in clash}), [f"{c}_in" if c in clash else c for c in keep], f"{column}_in" if column in clash else column, "text string, n_chars bigint", work)
-    return out
+    return by_texts(pages, keep, column, "text string, n_chars bigint", work)
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:
