@@ -3,7 +3,7 @@
 The operators that read every word of a corpus work on the bytes of an Arrow string column: one
 lookup table says which bytes belong to words, and a polynomial hash over prefix sums gives the hash
 of every word without a Python loop over words. Nulls read as empty texts. Everything is done in
-slices of a few MB, so that a worker's memory does not depend on the size of a batch; a single long
+slices of about a MB, so that a worker's memory does not depend on the size of a batch; a single long
 text is one slice, and needs about ten times its own size.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _GROUP = 1 << 20
 _powers: list[np.ndarray] = []
 
