@@ -32,9 +32,10 @@ def centre_inside(a: str, b: str) -> str:
     return f"(({a}x0 + {a}x1) / 2 BETWEEN {b}x0 AND {b}x1 AND ({a}y0 + {a}y1) / 2 BETWEEN {b}y0 AND {b}y1)"
 
 
-def distance(a: str, b: str) -> str:
+def distance(a: str, b: str, kind: str = "'figure'") -> str:
     """From a visual to a caption: 10000 if they share too little width or lie too far apart; else the gap, plus a
-    little for misaligned sides, plus 12 if the caption is above."""
-    across = f"(greatest(0, least({a}x1, {b}x1) - greatest({a}x0, {b}x0)) / greatest(0.001, least({a}x1 - {a}x0, {b}x1 - {b}x0)))"
+    little for misaligned sides, plus 12 on the wrong side: a figure's caption above it, a table's below. `kind` is SQL."""
+    across = f"(greatest(0, least({a}x1, {b}x1) - greatest({a}x0, {b}x0)) / greatest(1, least({a}x1 - {a}x0, {b}x1 - {b}x0)))"
     gap = f"greatest(0, {b}y0 - {a}y1, {a}y0 - {b}y1)"
-    return f"(CASE WHEN {across} < 0.15 OR {gap} > 160 THEN 10000 ELSE {gap} + 0.03 * abs({a}x0 + {a}x1 - {b}x0 - {b}x1) + CASE WHEN {b}y0 < {a}y0 THEN 12 ELSE 0 END END)"
+    wrong = f"CASE WHEN {kind} = 'figure' THEN {a}y0 > {b}y1 ELSE {a}y1 < {b}y0 END"
+    return f"(CASE WHEN {across} < 0.15 OR {gap} > 160 THEN 10000 ELSE {gap} + 0.03 * abs({a}x0 + {a}x1 - {b}x0 - {b}x1) + CASE WHEN {wrong} THEN 12 ELSE 0 END END)"

@@ -118,10 +118,10 @@ def confidence_threshold(spark, d):
     return boxes(spark, d).groupBy("source", "name").agg(F.count("*").alias("n"), F.count_if((F.col("confidence") >= 0.05) | (F.col("name") == "F")).alias("usable"))
 
 
-@query("coordinate_scaling", f"{_W} SELECT page, round(least(greatest(x0 * 612 / 700, 0), 612), 4) AS x0, round(least(greatest(y1 * 792 / 600, 0), 792), 4) AS y1, count(*) AS n FROM boxes GROUP BY 1, 2, 3")
+@query("coordinate_scaling", f"{_W} SELECT page, round_even(least(greatest(x0 * 612 / 700, 0), 612), 4) AS x0, round_even(least(greatest(y1 * 792 / 600, 0), 792), 4) AS y1, count(*) AS n FROM boxes GROUP BY 1, 2, 3")
 def coordinate_scaling(spark, d):
     """Pixels to points along each axis, clipped to the page."""
-    scaled = lambda c, px, pt: F.round(F.least(F.greatest(F.col(c) * pt / px, F.lit(0.0)), F.lit(float(pt))), 4)
+    scaled = lambda c, px, pt: F.bround(F.least(F.greatest(F.col(c) * pt / px, F.lit(0.0)), F.lit(float(pt))), 4)
     return boxes(spark, d).groupBy("page", scaled("x0", 700, 612).alias("x0"), scaled("y1", 600, 792).alias("y1")).agg(F.count("*").alias("n"))
 
 
@@ -131,12 +131,12 @@ _P = "p AS (SELECT a.page, {_AS}, b.bx0, b.by0, b.bx1, b.by1 FROM (SELECT DISTIN
 @query(
     "region_fusion",
     f"""{_W}, {_P}, u AS (SELECT page, {_AS}, min(bx0) AS ux0, min(by0) AS uy0, max(bx1) AS ux1, max(by1) AS uy1, count(*) AS n FROM p GROUP BY page, {_AS})
- SELECT page, {_AS}, n, round({g.area('a')} / greatest(0.001, {g.area('u')}), 6) AS ratio,
- CASE WHEN {g.area('a')} / greatest(0.001, {g.area('u')}) BETWEEN 0.65 AND 1.5 THEN 'agreement' ELSE 'prefer_layout_bounds' END AS outcome FROM u""",
+ SELECT page, {_AS}, n, round({g.area('a')} / greatest(1, {g.area('u')}), 6) AS ratio,
+ CASE WHEN {g.area('a')} / greatest(1, {g.area('u')}) BETWEEN 0.65 AND 1.5 THEN 'agreement' ELSE 'prefer_layout_bounds' END AS outcome FROM u""",
 )
 def region_fusion(spark, d):
     """Each old region against the union of the detections that match it: similar areas agree, others take the union."""
     a, b = box_sides(spark, d)
     u = paired(a.select("page", *_A).distinct(), b, _MATCH).groupBy("page", *_A).agg(F.min("bx0").alias("ux0"), F.min("by0").alias("uy0"), F.max("bx1").alias("ux1"), F.max("by1").alias("uy1"), F.count("*").alias("n"))
-    ratio = F.expr(f"{g.area('a')} / greatest(0.001, {g.area('u')})")
+    ratio = F.expr(f"{g.area('a')} / greatest(1, {g.area('u')})")
     return u.select("page", *_A, "n", F.round(ratio, 6).alias("ratio"), F.when(ratio.between(0.65, 1.5), "agreement").otherwise("prefer_layout_bounds").alias("outcome"))

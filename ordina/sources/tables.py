@@ -7,7 +7,7 @@ sessions in order. Each mapping has its SQL beside it, for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATUS = {"F": "accepted", "O": "rejected", "P": "withdrawn"}
@@ -111,3 +111,46 @@ def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of sessions (users) in order of time; ids break ties."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "event_id", "ts", F.col("event_type").alias("method"), "value", "props")
+
+
+# A page holds the boxes of three orders: old regions, new detections and captions (which also stand for text).
+PAGE_WIDTH, PAGE_HEIGHT = 320.0, 270.0
+REGIONS_SQL = """
+regions AS (
+  SELECT DISTINCT CAST(floor(l_orderkey / 3) AS BIGINT) AS page, CASE l_returnflag WHEN 'A' THEN 'old' WHEN 'N' THEN 'det' ELSE 'cap' END AS role,
+         CASE l_linenumber % 3 WHEN 0 THEN 'Table' WHEN 1 THEN 'figure' ELSE 'FIGURE' END AS label,
+         CASE WHEN l_suppkey % 3 = 0 THEN 'unnumbered' ELSE CAST(l_suppkey % 3 AS VARCHAR) END AS name,
+         CAST(l_partkey % 12 * 10 AS DOUBLE) AS x0, CAST(l_suppkey % 12 * 15 AS DOUBLE) AS y0, l_partkey % 12 * 10 + l_quantity * 6 AS x1, l_suppkey % 12 * 15 + l_quantity * 5 AS y1,
+         round(l_discount * 8, 2) AS confidence, l_linestatus = 'F' AND l_linenumber = 1 AS forced, 6 + round(l_tax * 60, 1) AS size, CAST(l_quantity * 5 AS BIGINT) AS len, CAST(l_orderkey % 4 * 90 AS BIGINT) AS rotation
+  FROM lineitem),
+kinds AS (SELECT *, CASE WHEN lower(label) = 'table' THEN 'table' ELSE 'figure' END AS kind FROM regions),
+old AS (SELECT DISTINCT page, kind, name AS aname, x0 AS ax0, y0 AS ay0, x1 AS ax1, y1 AS ay1 FROM kinds WHERE role = 'old'),
+det AS (SELECT DISTINCT page, kind, x0 AS bx0, y0 AS by0, x1 AS bx1, y1 AS by1, confidence, forced, size FROM kinds WHERE role = 'det'),
+cap AS (SELECT DISTINCT page, kind, name AS cname, x0 AS cx0, y0 AS cy0, x1 AS cx1, y1 AS cy1, confidence AS cconf FROM kinds WHERE role = 'cap')
+"""
+
+
+def kind_of(label: Column) -> Column:
+    """table or figure, whatever the case of the label."""
+    return F.when(F.lower(label) == "table", "table").otherwise("figure")
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("l_partkey") % 12 * 10, F.col("l_suppkey") % 12 * 15
+    label = F.when(F.col("l_linenumber") % 3 == 0, "Table").when(F.col("l_linenumber") % 3 == 1, "figure").otherwise("FIGURE")
+    flag = F.col("l_returnflag")
+    out = table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 3).cast("bigint").alias("page"), F.when(flag == "A", "old").when(flag == "N", "det").otherwise("cap").alias("role"), label.alias("label"),
+        F.when(F.col("l_suppkey") % 3 == 0, "unnumbered").otherwise((F.col("l_suppkey") % 3).cast("string")).alias("name"),
+        x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + F.col("l_quantity") * 6).alias("x1"), (y + F.col("l_quantity") * 5).alias("y1"),
+        F.round(F.col("l_discount") * 8, 2).alias("confidence"), ((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1)).alias("forced"),
+        (6 + F.round(F.col("l_tax") * 60, 1)).alias("size"), (F.col("l_quantity") * 5).cast("bigint").alias("len"), (F.col("l_orderkey") % 4 * 90).cast("bigint").alias("rotation"),
+    )
+    return out.distinct().withColumn("kind", kind_of(F.col("label")))
+
+
+def region_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Old regions (a), detections (b) and captions (c), with prefixed columns."""
+    every = regions(spark, sf_dir)
+    side = lambda role, p, *more: every.where(F.col("role") == role).select("page", "kind", *[F.col(c).alias(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")], *more).distinct()
+    return side("old", "a", F.col("name").alias("aname")), side("det", "b", "confidence", "forced", "size"), side("cap", "c", F.col("name").alias("cname"), F.col("confidence").alias("cconf"))
