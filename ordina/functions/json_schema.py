@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Keywords (fixed values: the standard's names).
 _KNOWN = frozenset(
-    """$schema $defs $ref title description type properties required additionalProperties items enum const minimum maximum exclusiveMinimum
+    """$schema $id $defs definitions $ref title description type properties required additionalProperties items enum const minimum maximum exclusiveMinimum
     exclusiveMaximum minLength maxLength minItems maxItems anyOf oneOf allOf""".split()
 )
 _number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
@@ -35,13 +37,27 @@ def check_schema(schema: object) -> None:
         return
     if unknown := set(schema) - _KNOWN:
         raise ValueError(f"keywords that are not supported: {sorted(unknown)}")
-    for part in (*schema.get("properties", {}).values(), *schema.get("$defs", {}).values(), *(s for k in ("anyOf", "oneOf", "allOf") for s in schema.get(k, ()))):
+    for part in (*schema.get("properties", {}).values(), *schema.get("$defs", {}).values(), *schema.get("definitions", {}).values(), *(s for k in ("anyOf", "oneOf", "allOf") for s in schema.get(k, ()))):
         check_schema(part)
     for k in ("items", "additionalProperties"):
         if isinstance(schema.get(k), dict):
             check_schema(schema[k])
 
 
+def referred(ref: str, root: dict) -> object:
+    """What a local reference points to: steps from the root, in which ~1 stands for / and ~0 for ~."""
+    if ref != "#" and not ref.startswith("#/"):
+        raise ValueError(f"references must be local: {ref}")
+    target = root
+    for step in ref[2:].split("/") if len(ref) > 1 else ():
+        step = step.replace("~1", "/").replace("~0", "~")
+        try:
+            target = target[int(step)] if isinstance(target, list) else target[step]
+        except (KeyError, IndexError, ValueError):
+            raise ValueError(f"nothing is at {ref}") from None
+    return target
+
+
 def violations(value: object, schema: object, at: str = "$", root: dict | None = None) -> list[str]:
     """Paths and keywords that the value violates."""
     if isinstance(schema, bool):
@@ -49,10 +65,7 @@ def violations(value: object, schema: object, at: str = "$", root: dict | None =
     root = schema if root is None else root
     out: list[str] = []
     if ref := schema.get("$ref"):
-        target = root
-        for step in ref.removeprefix("#").strip("/").split("/"):
-            target = target[step] if step else target
-        out += violations(value, target, at, root)
+        out += violations(value, referred(ref, root), at, root)
     if kinds := schema.get("type"):
         if not any(_TYPES[k](value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
             return [*out, f"{at}: type"]
@@ -81,9 +94,110 @@ def violations(value: object, schema: object, at: str = "$", root: dict | None =
 
 
 def schema_violations(c: Column, schema: dict) -> Column:
-    """Violations of each JSON text, as an array; text that is no JSON violates `$: json`, null stays null."""
+    """Violations of each JSON text, as an array; text that is no JSON violates `$: json`, null stays null. Schemas are
+    compiled to built-in expressions over a variant; those that refer to themselves, or have an enum or const that is an
+    object or list, are checked in Python."""
     check_schema(schema)
+    v = F.try_parse_json(c)
+    try:
+        found = _compiled(v, schema, F.lit("$"), schema, ())
+    except _NotCompiled:
+        return _checked_in_python(c, schema)
+    return F.when(c.isNull(), None).when(v.isNull(), F.array(F.lit("$: json"))).otherwise(found)
+
+
+class _NotCompiled(Exception):  # noqa: N818
+    pass
+
+
+def _no_violations() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _one(wrong: Column, at: Column, keyword: str) -> Column:
+    return F.when(F.coalesce(wrong, F.lit(True)), F.array(F.concat(at, F.lit(f": {keyword}")))).otherwise(_no_violations())
+
+
+def _part(v: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def _is(v: Column, kind: str) -> Column:
+    """Whether a variant is of a JSON type; a number with a fraction part, even .0, is no integer."""
+    name = F.schema_of_variant(v)
+    if kind in ("integer", "number"):
+        # integers beyond 64 bits are decimals without a fraction, like 7.0 but longer
+        whole = (name == "BIGINT") | name.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")
+        return whole if kind == "integer" else whole | name.rlike("^(DECIMAL|DOUBLE|FLOAT)")
+    return {"object": name.startswith("OBJECT"), "array": name.startswith("ARRAY"), "string": name == "STRING", "boolean": name == "BOOLEAN", "null": name == "VOID"}[kind]
+
+
+def _same(v: Column, wanted: object) -> Column:
+    if isinstance(wanted, (dict, list)):
+        raise _NotCompiled
+    if wanted is None:
+        return _is(v, "null")
+    if isinstance(wanted, bool):
+        return _is(v, "boolean") & (_part(v, "$", "boolean") == wanted)
+    if isinstance(wanted, str):
+        return _is(v, "string") & (_part(v, "$", "string") == wanted)
+    return _is(v, "number") & (_part(v, "$", "double") == float(wanted))
+
+
+def _compiled(v: Column, schema: object, at: Column, root: dict, through: tuple[str, ...]) -> Column:
+    """The violations of a variant that is there, as built-in expressions."""
+    if isinstance(schema, bool):
+        return _no_violations() if schema else F.array(F.concat(at, F.lit(": false")))
+    first: list[Column] = []
+    if ref := schema.get("$ref"):
+        if ref in through:
+            raise _NotCompiled
+        first.append(_compiled(v, referred(ref, root), at, root, (*through, ref)))
+    out: list[Column] = []
+    if "const" in schema:
+        out.append(_one(~_same(v, schema["const"]), at, "const"))
+    if "enum" in schema:
+        out.append(_one(~reduce(lambda a, b: a | b, [_same(v, e) for e in schema["enum"]], F.lit(False)), at, "enum"))
+    number, items = _part(v, "$", "double"), _part(v, "$", "array<variant>")
+    sizes = {"Length": ("string", F.length(_part(v, "$", "string"))), "Items": ("array", F.size(items))}
+    for k in _BOUNDS:
+        if k in schema:
+            kind, size = sizes.get(k[3:], ("number", number))
+            holds = {"minimum": size >= schema[k], "maximum": size <= schema[k], "exclusiveMinimum": size > schema[k], "exclusiveMaximum": size < schema[k]}.get(k, size >= schema[k] if k.startswith("min") else size <= schema[k])
+            out.append(_one(~(_is(v, kind) & holds), at, k))
+    known, extra = schema.get("properties", {}), schema.get("additionalProperties", True)
+    for k in (*schema.get("required", ()), *known):
+        if "'" in k or "\\" in k:
+            raise _NotCompiled
+    there = F.json_object_keys(F.to_json(v))
+    when_object: list[Column] = [_one(~F.array_contains(there, k), F.concat(at, F.lit(f".{k}")), "required") for k in schema.get("required", ())]
+    for k, part in known.items():
+        inner = _compiled(_part(v, f"$['{k}']", "variant"), part, F.concat(at, F.lit(f".{k}")), root, through)
+        when_object.append(F.when(F.array_contains(there, k), inner).otherwise(_no_violations()))
+    if extra is not True:
+        others = F.array_except(there, F.array(*[F.lit(k) for k in known]).cast("array<string>"))
+        if extra is False:
+            when_object.append(F.transform(others, lambda k: F.concat(at, F.lit("."), k, F.lit(": false"))))
+        else:
+            values = _part(v, "$", "map<string,variant>")
+            when_object.append(F.flatten(F.transform(others, lambda k: _compiled(values[k], extra, F.concat(at, F.lit("."), k), root, through))))
+    if when_object:
+        out.append(F.when(_is(v, "object"), F.concat(*when_object)).otherwise(_no_violations()))
+    if "items" in schema:
+        each = F.transform(items, lambda x, i: _compiled(x, schema["items"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), root, through))
+        out.append(F.when(_is(v, "array"), F.flatten(each)).otherwise(_no_violations()))
+    for k, holds in (("allOf", lambda n, of: n == of), ("anyOf", lambda n, of: n > 0), ("oneOf", lambda n, of: n == 1)):
+        if k in schema:
+            passing = reduce(lambda a, b: a + b, [(F.size(_compiled(v, s, at, root, through)) == 0).cast("int") for s in schema[k]], F.lit(0))
+            out.append(_one(~holds(passing, len(schema[k])), at, k))
+    rest = F.concat(*out) if out else _no_violations()
+    if kinds := schema.get("type"):
+        right = reduce(lambda a, b: a | b, [_is(v, k) for k in ([kinds] if isinstance(kinds, str) else kinds)])
+        rest = F.when(F.coalesce(right, F.lit(False)), rest).otherwise(F.array(F.concat(at, F.lit(": type"))))
+    return F.concat(*first, rest) if first else rest
+
 
+def _checked_in_python(c: Column, schema: dict) -> Column:
     def of(text: str | None) -> list[str] | None:
         if text is None:
             return None

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +10,30 @@ from ..registry import query
 from ..sources.tables import SEQUENCE_SQL, sequence, table
 
 
+#: What an answer must be (fixed values of the contract): nothing may be missing or added.
+_NOTES = {"type": "array", "items": {"type": "string"}, "maxItems": 3}
+RESPONSE = {
+    "type": "object", "additionalProperties": False, "required": ["score", "confidence", "summary", "strengths", "weaknesses", "score_rationale"],
+    "properties": {"score": {"type": "integer", "minimum": 1, "maximum": 10}, "confidence": {"type": "integer", "minimum": 1, "maximum": 5}, "summary": {"type": "string"}, "strengths": _NOTES, "weaknesses": _NOTES, "score_rationale": {"type": "string"}},
+}
+
+
 @query(
     "response_contract",
-    """WITH r AS (SELECT l_orderkey, l_quantity / 4 AS score, l_linenumber AS confidence FROM lineitem)
- SELECT l_orderkey, count(*) AS responses, CAST(count_if(score = floor(score) AND score BETWEEN 1 AND 10 AND confidence BETWEEN 1 AND 5) AS BIGINT) AS valid FROM r GROUP BY 1""",
+    """SELECT event_id, concat_ws(',', CASE WHEN event_id % 4 = 2 THEN '$.confidence: type' END, CASE WHEN event_id % 11 = 3 THEN '$.rating: false' END, CASE WHEN event_id % 12 < 1 THEN '$.score: minimum' WHEN event_id % 12 > 10 THEN '$.score: maximum' END,
+ CASE WHEN event_id % 7 > 3 THEN '$.strengths: maxItems' END, CASE WHEN event_id % 5 = 4 THEN '$.summary: required' END, CASE WHEN event_id % 9 = 1 THEN '$.weaknesses[1]: type' END) AS violations FROM events""",
 )
 def response_contract(spark, d):
-    score = F.col("l_quantity") / 4
-    valid = (score == F.floor(score)) & score.between(1, 10) & F.col("l_linenumber").between(1, 5)
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("responses"), F.count_if(valid).alias("valid"))
+    """Answers as JSON against the whole contract; the check is built-in expressions over a variant."""
+    i = F.col("event_id")
+    text = lambda c: c.cast("string")
+    fields = [
+        F.concat(F.lit('"score":'), text(i % 12)), F.concat(F.lit('"confidence":'), F.when(i % 4 == 2, "3.0").otherwise(text(i % 4 + 1))), F.when(i % 5 != 4, '"summary":"s"'),
+        F.concat(F.lit('"strengths":['), F.array_join(F.array_repeat(F.lit('"a"'), (i % 7).cast("int")), ","), F.lit("]")), F.concat(F.lit('"weaknesses":["b"'), F.when(i % 9 == 1, ",7").otherwise(""), F.lit("]")),
+        F.lit('"score_rationale":"r"'), F.when(i % 11 == 3, '"rating":1'),
+    ]
+    answer = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    return table(spark, d, "events").select("event_id", F.array_join(F.array_sort(schema_violations(answer, RESPONSE)), ",").alias("violations"))
 
 
 #: Schema that event properties must meet.
@@ -96,11 +109,6 @@ def echo_equality(spark, d):
     return sequence(spark, d).groupBy("conv_id").agg((item(F.col("turn")) == item(turned)).alias("verified"))
 
 
-def audited(rules: dict[str, DataFrame]) -> DataFrame:
-    """One table of violations (rule, key) from named queries with a column `key`."""
-    return reduce(DataFrame.unionByName, [df.select(F.lit(rule).alias("rule"), F.col("key").cast("bigint").alias("key")) for rule, df in rules.items()])
-
-
 @query(
     "package_audit",
     f"""WITH {SEQUENCE_SQL}, w AS (SELECT conv_id, turn, type, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, lag(type) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM items)
@@ -109,15 +117,14 @@ def audited(rules: dict[str, DataFrame]) -> DataFrame:
  UNION ALL SELECT 'forbidden_word', conv_id FROM items WHERE regexp_matches(lower(text), '(^|[^a-z])(rating|decision|password)([^a-z]|$)')""",
 )
 def package_audit(spark, d):
-    items = sequence(spark, d)
+    """Item by item, all rules in one pass: an array of those that an item violates."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    placed = items.withColumn("i", F.row_number().over(w) - 1).withColumn("before", F.lag("type").over(w)).withColumn("key", F.col("conv_id"))
-    own = items.withColumn("key", F.col("conv_id"))
-    return audited({
-        "id_order": placed.where("i != turn"), "empty_text": own.where(F.trim("text") == ""), "repeated_type": placed.where("type = before"),
-        "ends_open": own.groupBy("key").agg(F.max_by("type", "turn").alias("t")).where("t = 'in'"),
-        "forbidden_word": own.where(F.lower("text").rlike("(^|[^a-z])(rating|decision|password)([^a-z]|$)")),
-    })
+    rules = {
+        "id_order": F.row_number().over(w) - 1 != F.col("turn"), "empty_text": F.trim("text") == "", "repeated_type": F.lag("type").over(w) == F.col("type"),
+        "ends_open": F.lead("turn").over(w).isNull() & (F.col("type") == "in"), "forbidden_word": F.lower("text").rlike("(^|[^a-z])(rating|decision|password)([^a-z]|$)"),
+    }
+    flagged = sequence(spark, d).withColumn("rules", F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()])))
+    return flagged.select(F.explode("rules").alias("rule"), F.col("conv_id").alias("key"))
 
 
 @query(

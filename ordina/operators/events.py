@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -10,6 +10,8 @@ from ..sources.tables import event_log
 
 #: Methods that may be kept (fixed values); everything is counted before this filter.
 SAFE = ("view", "click", "signup")
+
+
 def _order():
     return F.struct("ts", "event_id")
 
@@ -78,11 +80,11 @@ def terminal_status(spark, d):
  SELECT session, count(*) AS rounds, CAST(count_if(failed) AS BIGINT) AS failures FROM r WHERE coalesce(before, 0) = 0 GROUP BY session""",
 )
 def rounds_until_failure(spark, d):
-    """The rounds of a session up to its first failure: those with no failure before them."""
-    w = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    failed = (F.col("method") == "error").cast("int")
-    rows = event_log(spark, d).withColumn("before", F.coalesce(F.max(failed).over(w), F.lit(0))).where("before = 0")
-    return rows.groupBy("session").agg(F.count("*").alias("rounds"), F.count_if(failed == 1).alias("failures"))
+    """The rounds of a session up to its first failure. The first failure is a minimum, so nothing is sorted."""
+    rows = event_log(spark, d).select("session", _order().alias("at"), (F.col("method") == "error").alias("failed"))
+    first = rows.where("failed").groupBy("session").agg(F.min("at").alias("first"))
+    until = rows.join(first, "session", "left").where("first is null or at <= first")
+    return until.groupBy("session").agg(F.count("*").alias("rounds"), F.count_if("failed").alias("failures"))
 
 
 @query(
@@ -91,6 +93,7 @@ def rounds_until_failure(spark, d):
 )
 def session_timeouts(spark, d):
     """Sessions that have been silent for longer than their deadline, by event time: the end of the log is one row."""
-    last = event_log(spark, d).groupBy("session").agg(F.max("ts").alias("last"))
-    end = last.agg(F.max("last").alias("end")).first()["end"]
-    return last.select("session", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last_event"), (F.col("last") < F.lit(end) - F.expr("INTERVAL 12 HOURS")).alias("timed_out"))
+    last = event_log(spark, d).groupBy("session").agg(F.max("ts").alias("last")).withColumn("one", F.lit(1))
+    end = last.groupBy("one").agg(F.max("last").alias("end"))
+    late = F.col("last") < F.col("end") - F.expr("INTERVAL 12 HOURS")
+    return last.join(F.broadcast(end), "one").select("session", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last_event"), late.alias("timed_out"))

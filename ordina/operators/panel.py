@@ -112,8 +112,8 @@ def pearson(spark, d):
  rank() OVER (ORDER BY human_mean) + (count(*) OVER (PARTITION BY human_mean) - 1) / 2.0 AS rh FROM units) SELECT round(corr(ra, rh), 6) AS spearman FROM r""",
 )
 def spearman_avg_rank(spark, d):
-    """Pearson of average ranks. The panel is read once: cut points, sizes and ranks all come from the kept means."""
-    means = units(spark, d).select("ai_mean", "human_mean").persist()
+    """Pearson of average ranks."""
+    means = units(spark, d).select("ai_mean", "human_mean")
     ranked = average_ranks(average_ranks(means, "ai_mean", "ra"), "human_mean", "rh")
     return ranked.agg(rnd(F.corr("ra", "rh")).alias("spearman"))
 
@@ -211,34 +211,84 @@ def stratified(df: DataFrame, strata: list[str], key: str, size: int, seed: int
     place = F.row_number().over(every.orderBy((F.col("exact") - F.col("floor")).desc(), *strata))
     quota = cells.select(*strata, (F.col("floor") + F.when(place <= size - F.sum("floor").over(every), 1).otherwise(0)).alias("quota"))
     order = Window.partitionBy(*strata).orderBy((F.col(key) * 7919 + seed) % 104729, key)
-    return df.join(quota, strata).withColumn("i", F.row_number().over(order)).where("i <= quota").select(*df.columns)
+    # the constant limit lets each task keep only its first members of a stratum before the shuffle
+    first = df.withColumn("i", F.row_number().over(order)).where(F.col("i") <= size)
+    return first.join(F.broadcast(quota), strata).where("i <= quota").select(*df.columns)  # one row a stratum
 
 
 _DRAWS = 200
 
 
+# Poisson(1): a hash in a million from which on a unit counts once, twice, ... in a draw.
+_POISSON = (367879, 735759, 919699, 981012, 996340, 999406, 999917, 999990)
+_HASH = "((b * 7919 + paper_id * 104729 + 12345) % 1000003 * 9973 + paper_id * 31) % 1000000"
+_WEIGHT = " + ".join(f"CASE WHEN {_HASH} >= {p} THEN 1 ELSE 0 END" for p in _POISSON)
+_MOMENTS = "sum(w) AS n, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * y * y) AS yy, sum(w * x * y) AS xy"
+_CORR = "(xy / n - x / n * (y / n)) / sqrt((xx / n - x / n * (x / n)) * (yy / n - y / n * (y / n)))"
+
+
 @query(
     "bootstrap_ci",
-    f"""WITH {PANEL_SQL}, u AS (SELECT row_number() OVER (ORDER BY paper_id) - 1 AS i, ai_mean - human_mean AS gap, count(*) OVER () AS n FROM units),
- r AS (SELECT b.range AS b, ((b.range * 7919 + u.i * 104729 + 12345) % 1000003 * 9973 + u.i * 31) % u.n AS pick FROM range({_DRAWS}) b, u),
- m AS (SELECT b, avg(gap) AS m FROM r JOIN u ON u.i = r.pick GROUP BY b)
- SELECT count(*) AS draws, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
+    f"""WITH {PANEL_SQL}, d AS (SELECT b.range AS b, u.* FROM range({_DRAWS}) b, (SELECT paper_id, ai_mean AS x, human_mean AS y FROM units) u), m AS (SELECT b, {_MOMENTS} FROM (SELECT *, {_WEIGHT} AS w FROM d) GROUP BY b),
+ s AS (SELECT 'mean_gap' AS statistic, x / n - y / n AS v FROM m UNION ALL SELECT 'pearson', {_CORR} FROM m)
+ SELECT statistic, count(*) AS draws, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM s GROUP BY statistic""",
 )
 def bootstrap_ci(spark, d):
-    """95 % interval of the mean gap by resampling units: draw b takes unit (hash of b and i) mod n for every i.
-    The draws are a fixed number of rows beside each unit, and the join is on the unit's ordinal."""
-    from ..plans.ranking import ordinals
-
-    u = ordinals(units(spark, d).select("paper_id", (F.col("ai_mean") - F.col("human_mean")).alias("gap")), "paper_id", "i", 0)
-    return bootstrap_mean(u, "gap", _DRAWS)
-
-
-def bootstrap_mean(u: DataFrame, value: str, draws: int) -> DataFrame:
-    """Means of `draws` resamples of the rows, numbered by i from 0: their 2.5 and 97.5 % points. The draws are made
-    beside each row; partial sums by draw come before the last shuffle."""
-    n = u.count()
-    rows = u.select("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    pick = ((F.col("b") * 7919 + F.col("i") * 104729 + 12345) % 1000003 * 9973 + F.col("i") * 31) % F.lit(max(n, 1))
-    means = rows.select("b", pick.alias("pick")).join(u.select(F.col("i").alias("pick"), value), "pick").groupBy("b").agg(F.avg(value).alias("m"))
-    low, high = (rnd(F.percentile("m", F.lit(q))) for q in (0.025, 0.975))
-    return means.agg(F.count("*").alias("draws"), low.alias("low"), high.alias("high"))
+    """95 % intervals of the mean gap and of Pearson's correlation, by resampling units."""
+    return bootstrap(units(spark, d).select("paper_id", F.col("ai_mean").alias("x"), F.col("human_mean").alias("y")), {"mean_gap": "x / n - y / n", "pearson": _CORR})
+
+
+@query(
+    "bootstrap_spearman",
+    f"""WITH {PANEL_SQL}, r AS (SELECT paper_id, rank() OVER (ORDER BY ai_mean) + (count(*) OVER (PARTITION BY ai_mean) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY human_mean) + (count(*) OVER (PARTITION BY human_mean) - 1) / 2.0::DOUBLE AS y FROM units),
+ d AS (SELECT b.range AS b, r.* FROM range({_DRAWS}) b, r), m AS (SELECT b, {_MOMENTS} FROM (SELECT *, {_WEIGHT} AS w FROM d) GROUP BY b)
+ SELECT 'spearman' AS statistic, count(*) AS draws, round(quantile_cont({_CORR}, 0.025), 6) AS low, round(quantile_cont({_CORR}, 0.975), 6) AS high FROM m""",
+)
+def bootstrap_spearman(spark, d):
+    """The interval of Spearman's correlation: draws weigh the units' ranks in the whole panel, which are not ranked anew."""
+    u = units(spark, d).select("paper_id", "ai_mean", "human_mean")
+    ranked = average_ranks(average_ranks(u, "ai_mean", "x"), "human_mean", "y")
+    return bootstrap(ranked, {"spearman": _CORR})
+
+
+def bootstrap(u: DataFrame, statistics: dict[str, str], draws: int = _DRAWS) -> DataFrame:
+    """2.5 and 97.5 % points of statistics over `draws` resamples of the rows (paper_id, x, y). A unit's count in a draw is a
+    Poisson number from a hash of both, so a draw needs no other rows: one scan, sums by draw in each task, no join."""
+    drawn = u.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))).alias("b")).withColumn("w", F.expr(_WEIGHT))
+    moments = drawn.groupBy("b").agg(*[F.expr(m.strip().rpartition(" AS ")[0]).alias(m.strip().rpartition(" AS ")[2]) for m in _MOMENTS.split(", ")])
+    each = moments.select(F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.expr(e).alias("v")) for n, e in statistics.items()])).alias("s")).select("s.*")
+    low, high = (rnd(F.percentile("v", F.lit(q))) for q in (0.025, 0.975))
+    return each.groupBy("statistic").agg(F.count("*").alias("draws"), low.alias("low"), high.alias("high"))
+
+
+_SEEDS, _TOLERANCE = (17, 43, 71), 0.02
+
+
+@query(
+    "balanced_sample",
+    f"""WITH {PANEL_SQL}, u AS (SELECT paper_id, area, status, CAST(least(floor(human_mean), 9) AS BIGINT) AS band FROM units), s AS (SELECT area, band, count(*) AS n FROM u GROUP BY area, band), q AS (SELECT *, n * 100.0 / sum(n) OVER () AS exact FROM s),
+ r AS (SELECT *, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, area, band) <= 100 - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS quota FROM q),
+ k AS (SELECT u.*, seed, quota, row_number() OVER (PARTITION BY seed, u.area, u.band ORDER BY (u.paper_id * 7919 + seed) % 104729, u.paper_id) AS i FROM u JOIN r ON u.area = r.area AND u.band = r.band, (SELECT unnest([{', '.join(map(str, _SEEDS))}]) AS seed)),
+ p AS (SELECT * FROM k WHERE i <= quota), g AS (SELECT seed, abs(avg(CASE WHEN status = 'accepted' THEN 1.0 ELSE 0 END) - (SELECT avg(CASE WHEN status = 'accepted' THEN 1.0 ELSE 0 END) FROM u)) AS gap FROM p GROUP BY seed),
+ b AS (SELECT seed FROM g ORDER BY gap > {_TOLERANCE}, CASE WHEN gap > {_TOLERANCE} THEN round(gap, 9) END, seed LIMIT 1) SELECT seed, paper_id, area, band, status FROM p WHERE seed = (SELECT seed FROM b)""",
+)
+def balanced_sample(spark, d):
+    """A stratified sample that is drawn again while its acceptance differs from that of all by more than the tolerance."""
+    u = units(spark, d).select("paper_id", "area", "status", F.least(F.floor("human_mean"), F.lit(9)).cast("bigint").alias("band"))
+    return balanced(u, ["area", "band"], "paper_id", 100)
+
+
+def balanced(u: DataFrame, strata: list[str], key: str, size: int, seeds: tuple[int, ...] = _SEEDS, tolerance: float = _TOLERANCE) -> DataFrame:
+    """The sample of the first seed whose acceptance is within the tolerance, else of the nearest. Only rates reach the driver."""
+    rate = F.avg((F.col("status") == "accepted").cast("double"))
+    every = u.agg(rate).first()[0] or 0.0
+    best = None
+    for seed in seeds:
+        sample = stratified(u, strata, key, size, seed).withColumn("seed", F.lit(seed))
+        gap = abs((sample.agg(rate).first()[0] or 0.0) - every)
+        if best is None or round(gap, 9) < best[0]:
+            best = round(gap, 9), sample
+        if gap <= tolerance:
+            best = gap, sample
+            break
+    return best[1].select("seed", *u.columns)

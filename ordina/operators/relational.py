@@ -178,10 +178,11 @@ def monotonic_violations(spark, d):
     return event_log(spark, d).withColumn("bad", F.col("value") < before).where("bad").select("session", "event_id")
 
 
-@query("contiguity_violations", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) WHERE i <> turn")
+@query("contiguity_violations", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE NOT (conv_id % 10 = 4 AND turn = 1)) WHERE i <> turn")
 def contiguity_violations(spark, d):
+    """Parts whose number is not their place (in some conversations the second part is missing)."""
     i = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return sequence(spark, d).withColumn("i", i).where("i != turn").select("conv_id", "turn")
+    return sequence(spark, d).where("not (conv_id % 10 = 4 and turn = 1)").withColumn("i", i).where("i != turn").select("conv_id", "turn")
 
 
 @query(
@@ -212,9 +213,9 @@ def set_operations(spark, d):
     return count("union", c.select("c_nationkey").union(s.select("s_nationkey")).distinct()).union(count("except", ids[0].subtract(ids[1]))).union(count("intersect", ids[0].intersect(ids[1])))
 
 
-@query("orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def orphans(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("map_right_wins", "SELECT l_orderkey AS k, max_by(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS v FROM lineitem GROUP BY 1")

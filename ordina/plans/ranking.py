@@ -14,8 +14,9 @@ RANGES = 64
 
 
 def _with_range(df: DataFrame, value: Column) -> DataFrame:
-    """Adds __v (the value as double) and __r, the number of its range."""
-    df = df.withColumn("__v", value.cast("double"))
+    """Adds __k (the value itself, which orders), __v (as double, which only tells the range) and __r, the number of its range.
+    Values that are one double are in one range, so ids of any size are told apart."""
+    df = df.withColumns({"__k": value, "__v": value.cast("double")})
     cuts = df.agg(F.percentile_approx("__v", [i / RANGES for i in range(1, RANGES)], 10_000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     below = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
@@ -30,8 +31,8 @@ def _offsets(df: DataFrame, rows: Column) -> DataFrame:
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """Adds the rank of a value among all rows, ties sharing the mean of their ranks."""
-    counts = _with_range(df.groupBy(value).agg(F.count("*").alias("__ties")).persist(), F.col(value))
-    inside = F.sum("__ties").over(Window.partitionBy("__r").orderBy("__v"))
+    counts = _with_range(df.groupBy(value).agg(F.count("*").alias("__ties")), F.col(value))
+    inside = F.sum("__ties").over(Window.partitionBy("__r").orderBy("__k"))
     ranked = counts.join(F.broadcast(_offsets(counts, F.sum("__ties"))), "__r")
     ranked = ranked.select(value, (F.col("__before") + inside - F.col("__ties") + (F.col("__ties") + 1) / 2).alias(name))
     return df.join(ranked, value)
@@ -40,6 +41,6 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
 def ordinals(df: DataFrame, key: str, name: str, start: int = 1) -> DataFrame:
     """Adds dense ordinals in the order of a numeric key without ties."""
     ranged = _with_range(df, F.col(key))
-    inside = F.row_number().over(Window.partitionBy("__r").orderBy("__v"))
+    inside = F.row_number().over(Window.partitionBy("__r").orderBy("__k"))
     out = ranged.withColumn("__i", inside).join(F.broadcast(_offsets(ranged, F.count("*"))), "__r")
-    return out.withColumn(name, (F.col("__before") + F.col("__i") + (start - 1)).cast("bigint")).drop("__v", "__r", "__i", "__before")
+    return out.withColumn(name, (F.col("__before") + F.col("__i") + (start - 1)).cast("bigint")).drop("__k", "__v", "__r", "__i", "__before")

