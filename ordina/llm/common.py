@@ -143,8 +143,12 @@ class Taken:
         return True
 
 
+#: Longer texts are not learnt from, so that a sample has a bound in characters too (every text is scored, whatever its length).
+LONGEST_LEARNT = 200_000
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, where: Callable | None = None) -> tuple[list[str], list[int]]:
-    """Whole texts and 0/1 labels of at most `per_class` rows of each class, chosen by a hash of doc_id, so the
+    """Whole texts (of LONGEST_LEARNT characters at most) and 0/1 labels of at most `per_class` rows of each class, chosen by a hash of doc_id, so the
     sample is the same in every run. Labels other than 0 and 1, and documents with contradicting labels, are unused.
     The sample's ids are few by construction, so they are broadcast and `documents` is only scanned."""
     one = labels.select(F.col("doc_id").alias("__id"), F.col(f"`{label}`").cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
@@ -155,5 +159,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     picks = [one.where(F.col("__y") == y).orderBy(order, "__id").limit(per_class) for y in (0, 1)]
     ids = picks[0].unionByName(picks[1]).select("__id", "__y")
     # a doc_id that repeats in docs has one text in the sample (the smallest), so the bound holds for rows too
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(ids), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).orderBy(order, "__id").toArrow()
+    texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).where(F.coalesce(F.length("__text"), F.lit(0)) <= LONGEST_LEARNT)
+    rows = texts.join(F.broadcast(ids), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).orderBy(order, "__id").toArrow()
     return [t or "" for t in rows["__text"].to_pylist()], rows["__y"].to_pylist()

@@ -397,3 +397,90 @@ def test_models_on_repeated_ids(spark):
     assert len(labelled_sample(docs, labels, "quality", 10)[0]) == 2
     assert quality_rules.score(docs, quality_rules.fit(docs, labels), ["doc_id"]).count() == 51
     assert quality_classifier.score(docs, quality_classifier.fit(docs, labels), ["doc_id"]).count() == 51
+
+
+# operators 3 and 7: what Spark scores in slices is what each text scores by itself
+
+
+def test_scores_are_those_of_each_text_alone(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    svm, rules = quality_classifier.fit(docs, labels), quality_rules.fit(docs, labels)
+    got = {(r["doc_id"], r["text"]): r["score"] for r in quality_classifier.score(docs, svm, ["doc_id", "text"]).collect()}
+    verdicts = {(r["doc_id"], r["text"]): r for r in quality_rules.score(docs, rules, ["doc_id", "text"]).collect()}
+    svm.ready()
+    flags = np.zeros(1 << svm.bits, bool)
+    for (i, t), score in got.items():
+        one = tb.of([t])
+        words = one.words(tb.NON_SPACE)
+        hashes = tb.word_hashes(one.data, words)
+        assert score == pytest.approx(svm.probability(quality_classifier.features.hashed(one, words, hashes, svm.bits), flags)[0], abs=1e-8)
+        alone, row = quality_rules.measured(one, rules), verdicts[i, t]
+        assert row["quality_p"] == pytest.approx(alone["quality_p"][0], abs=1e-8)
+        failed = row["n_words"] < 10 or 100 * row["n_repeat_words"] > 20 * row["n_words"]
+        assert (row["base_failed"], row["kept"]) == (failed, not failed and row["quality_p"] >= quality_rules.THRESHOLD)
+
+
+def test_dual_coordinate_descent_finds_the_optimum():
+    from ordina.llm.features import _SHORT, dual_coordinate_descent
+
+    r = np.random.default_rng(8)
+    rows = [np.sort(r.choice(40, r.integers(3, 12), replace=False)) for _ in range(60)]
+    signs, ratio = r.choice([-1, 1], 60), r.normal(0, 6, 40)
+    w, bias = dual_coordinate_descent(rows, signs, ratio, 1.0, 400)
+    x = np.zeros((60, 41))
+    for k, own in enumerate(rows):
+        x[k, own] = ratio[own] / (float(ratio[own] @ ratio[own]) + _SHORT) ** 0.5
+    x[:, 40] = 1
+    loss = lambda v: v @ v / 2 + np.maximum(0, 1 - signs * (x @ v)).sum()
+    own = np.append(w, bias)
+    best = own.copy()
+    for step in range(1, 4000):  # plain subgradient descent from elsewhere comes no lower
+        best = best - (best - x.T @ (signs * (signs * (x @ best) < 1))) / (10 + step)
+        assert loss(own) <= loss(best) + 1e-2 * max(1, abs(loss(best)))
+
+
+# the pipeline, stage by stage, against plain loops
+
+
+def test_pipeline_against_plain_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = quality_rules.fit(docs, labels)
+    rows = [r.asDict() for r in docs.collect()]
+    kept = []
+    for r in rows:
+        m = quality_rules.measured(tb.of([r["text"]]), rules)
+        if m["n_words"][0] >= 10 and 100 * m["n_repeat_words"][0] <= 20 * m["n_words"][0] and m["quality_p"][0] >= quality_rules.THRESHOLD:
+            kept.append(r)
+    texts = tb.of([r["text"] for r in kept])
+    found, _, offsets = near_duplicates.shingles(texts)
+    at, df = np.unique(found, return_counts=True)
+    often = df > max(near_duplicates.RATE * len(kept), near_duplicates.LEAST)
+    weights = near_duplicates.Weights(len(kept), at[often], df[often])
+    vectors = [(np.frombuffer(e, np.uint32), np.frombuffer(w, np.float32)) for e, w in zip(*near_duplicates.vectors(texts, weights), strict=True)]
+    group = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if min(len(vectors[i][0]), len(vectors[j][0])) >= 0.3 * max(len(vectors[i][0]), len(vectors[j][0])) and near_duplicates.similarity(*vectors[i], *vectors[j]) >= near_duplicates.SIMILAR:
+                a, b = group[i], group[j]
+                group = [a if g == b else g for g in group]
+    first = {}
+    for r, g in zip(kept, group, strict=True):
+        if g not in first or r["doc_id"] < first[g]["doc_id"]:
+            first[g] = r
+    bench = decontamination.load(spark.read.parquet(f"{sf}/benchmark.parquet")).part(0).ready()
+    clean = []
+    for r in first.values():
+        n = len(bench.scan(tb.of([r["text"]]))[1])
+        text, gone = decontamination.cut(bench, r["text"])
+        if gone <= decontamination.MAX_COVERAGE * n:
+            clean.append((r["doc_id"], text))
+    spans = pii.fit(spark.createDataFrame(clean, "doc_id bigint, text string"))
+    coder, want = sentencepieces.Coder(VOCABULARY), {}
+    for i, t in clean:
+        base = pii.base_spans(t)
+        every = sorted([*base, *(s for s in pii.more_candidates(t, base) if spans.accepts(t, *s))], key=lambda s: (s[0], pii.KINDS.index(s[2])))
+        want[i] = np.frombuffer(coder.encode(pii.redact(t, every)), np.int32).tolist()
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == want
