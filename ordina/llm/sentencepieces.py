@@ -83,12 +83,17 @@ class Vocabulary:
             self.raw[i] = plain.encode()
             if plain and (plain not in self.pieces or own > self.pieces[plain][1]):
                 self.pieces[plain] = (i, own)
-        # every beginning of a piece, with what the piece is if it is one
-        self.prefixes: dict[str, tuple[int, int, tuple[int]] | None] = {}
+        # a tree of characters: a node is what its piece is (or None) and its children (or None)
+        self.tree: dict[str, list] = {}
         for p, (i, s) in self.pieces.items():
-            for k in range(1, len(p)):
-                self.prefixes.setdefault(p[:k])
-            self.prefixes[p] = (i, s, (i,))
+            children, node = self.tree, None
+            for c in p:
+                if node is not None:
+                    if node[1] is None:
+                        node[1] = {}
+                    children = node[1]
+                node = children.setdefault(c, [None, None])
+            node[0] = (s, (i,))
         self.longest = max(map(len, self.pieces), default=1)
         self.byte_score = min((s for _, s in self.pieces.values()), default=0) - 10 * _UNIT
         # how long the pieces can be that begin with a character
@@ -124,29 +129,31 @@ class StreamingViterbi:
     def _advance(self, final: bool) -> list[int]:
         """Offers all pieces from the positions whose longest piece is in sight, committing where paths meet."""
         out: list[int] = []
-        v, get, reach = self.v, self.v.prefixes.get, self.v.reach.get
+        v, first, reach = self.v, self.v.tree.get, self.v.reach.get
         text, score, start, own, i, far = self.text, self.score, self.start, self.own, self.done, self.far
         n = len(text)
         while i < n:
             if not final and i + reach(text[i], 1) > n:
                 break
-            base, j = score[i], i + 1
+            base = score[i]
             if base > _NEVER:
-                hit = get(text[i], 0)
-                if not hit:  # no piece for the character alone: its bytes
+                node, j = first(text[i]), i + 1
+                if node is None or node[0] is None:  # no piece for the character alone: its bytes
                     raw = text[i].encode("utf-8", "surrogatepass")
                     if (s := base + len(raw) * v.byte_score) >= score[j]:
-                        score[j], start[j], own[j] = s, i, tuple(v.bytes[b] for b in raw)
-                        far = max(far, j)
-                while hit != 0:
-                    if hit and (s := base + hit[1]) >= score[j]:
-                        score[j], start[j], own[j] = s, i, hit[2]
+                        score[j], start[j], own[j] = s, i, tuple([v.bytes[b] for b in raw])
                         if j > far:
                             far = j
-                    j += 1
-                    if j > n:
+                while node is not None:
+                    hit, children = node
+                    if hit is not None and (s := base + hit[0]) >= score[j]:
+                        score[j], start[j], own[j] = s, i, hit[1]
+                        if j > far:
+                            far = j
+                    if children is None or j >= n:
                         break
-                    hit = get(text[i:j], 0)
+                    node = children.get(text[j])
+                    j += 1
             i += 1
             if i >= self.check_at:
                 self.done, self.far = i, far
@@ -193,7 +200,30 @@ class StreamingViterbi:
 
     def finish(self) -> list[int]:
         out = self._advance(True)
-        return out + (self._commit(len(self.text)) if self.text else [])
+        return out + self._end()
+
+    def _end(self) -> list[int]:
+        """What is left when the text has ended; the stream is as new."""
+        ids: list[int] = []
+        at, start, own = len(self.text), self.start, self.own
+        while at:
+            piece = own[at]
+            if len(piece) == 1:
+                ids.append(piece[0])
+            else:
+                ids += piece[::-1]
+            at = start[at]
+        ids.reverse()
+        self.text, self.done, self.far, self.score, self.start, self.own = "", 0, 0, [0], [0], [()]
+        self.check_at = self.v.longest
+        return ids
+
+    def whole(self, text: str) -> list[int]:
+        """The ids of a short text: fed and finished at once."""
+        n = len(text)
+        self.text, self.score, self.start, self.own = text, [0] + [_NEVER] * n, [0] * (n + 1), [()] * (n + 1)
+        out = self._advance(True)
+        return out + self._end() if out else self._end()
 
 
 class Coder(dict):
@@ -202,19 +232,20 @@ class Coder(dict):
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
+        self.viterbi = StreamingViterbi(vocabulary)
         self.old: dict[str, bytes] = {}
         self.find = re.compile(vocabulary.pattern).findall if vocabulary.pattern else None
 
     def __missing__(self, stretch: str) -> bytes:
         out = self.old.get(stretch)
-        if out is None:
-            viterbi, ids = StreamingViterbi(self.v), array("i")
-            for k in range(0, len(stretch), _CHUNK):
-                ids.extend(viterbi.feed(stretch[k : k + _CHUNK]))
-            ids.extend(viterbi.finish())
-            out = ids.tobytes()
         if len(stretch) > _LONGEST_REMEMBERED:
-            return out
+            ids = array("i")
+            for k in range(0, len(stretch), _CHUNK):
+                ids.extend(self.viterbi.feed(stretch[k : k + _CHUNK]))
+            ids.extend(self.viterbi.finish())
+            return ids.tobytes()
+        if out is None:
+            out = array("i", self.viterbi.whole(stretch)).tobytes()
         if len(self) >= _REMEMBERED:
             self.old = dict(self)
             self.clear()
