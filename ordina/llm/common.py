@@ -83,6 +83,7 @@ def by_texts(df: DataFrame, keep: list[str], text: str, schema: str, work: Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = work()
         for batch in batches:
+            pa.default_memory_pool().release_unused()  # workers live on: what the last batch took goes back
             at = batch.schema.get_field_index(source)
             others = [i for i in range(batch.num_columns) if i != at or text in keep]
             for i, j, texts in tb.slices(batch.column(at)):

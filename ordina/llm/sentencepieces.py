@@ -38,7 +38,7 @@ from . import textbytes as tb
 from .common import by_texts, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-_REMEMBERED = 200_000
+_REMEMBERED = 120_000
 _LONGEST_REMEMBERED = 64
 _CHUNK = 256
 
