@@ -98,12 +98,17 @@ def schema_violations(c: Column, schema: dict) -> Column:
     compiled to built-in expressions over a variant; those that refer to themselves, or have an enum or const that is an
     object or list, are checked in Python."""
     check_schema(schema)
-    v = F.try_parse_json(c)
+    whole = lambda v: F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(_compiled(v, schema, F.lit("$"), schema, ()))
     try:
-        found = _compiled(v, schema, F.lit("$"), schema, ())
+        found = _let(F.try_parse_json(c), whole)
     except _NotCompiled:
         return _checked_in_python(c, schema)
-    return F.when(c.isNull(), None).when(v.isNull(), F.array(F.lit("$: json"))).otherwise(found)
+    return F.when(c.isNull(), None).otherwise(found)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is made once, however often the expression names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 class _NotCompiled(Exception):  # noqa: N818
@@ -122,9 +127,8 @@ def _part(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _is(v: Column, kind: str) -> Column:
-    """Whether a variant is of a JSON type; a number with a fraction part, even .0, is no integer."""
-    name = F.schema_of_variant(v)
+def _is(name: Column, kind: str) -> Column:
+    """Whether a variant (by the name of its type) is of a JSON type; a number with a fraction part, even .0, is no integer."""
     if kind in ("integer", "number"):
         # integers beyond 64 bits are decimals without a fraction, like 7.0 but longer
         whole = (name == "BIGINT") | name.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")
@@ -132,22 +136,26 @@ def _is(v: Column, kind: str) -> Column:
     return {"object": name.startswith("OBJECT"), "array": name.startswith("ARRAY"), "string": name == "STRING", "boolean": name == "BOOLEAN", "null": name == "VOID"}[kind]
 
 
-def _same(v: Column, wanted: object) -> Column:
+def _same(v: Column, name: Column, wanted: object) -> Column:
     if isinstance(wanted, (dict, list)):
         raise _NotCompiled
     if wanted is None:
-        return _is(v, "null")
+        return _is(name, "null")
     if isinstance(wanted, bool):
-        return _is(v, "boolean") & (_part(v, "$", "boolean") == wanted)
+        return _is(name, "boolean") & (_part(v, "$", "boolean") == wanted)
     if isinstance(wanted, str):
-        return _is(v, "string") & (_part(v, "$", "string") == wanted)
-    return _is(v, "number") & (_part(v, "$", "double") == float(wanted))
+        return _is(name, "string") & (_part(v, "$", "string") == wanted)
+    return _is(name, "number") & (_part(v, "$", "double") == float(wanted))
 
 
 def _compiled(v: Column, schema: object, at: Column, root: dict, through: tuple[str, ...]) -> Column:
     """The violations of a variant that is there, as built-in expressions."""
     if isinstance(schema, bool):
         return _no_violations() if schema else F.array(F.concat(at, F.lit(": false")))
+    return _let(F.struct(v.alias("v"), F.schema_of_variant(v).alias("name")), lambda t: _rules(t["v"], t["name"], schema, at, root, through))
+
+
+def _rules(v: Column, name: Column, schema: dict, at: Column, root: dict, through: tuple[str, ...]) -> Column:
     first: list[Column] = []
     if ref := schema.get("$ref"):
         if ref in through:
@@ -155,44 +163,47 @@ def _compiled(v: Column, schema: object, at: Column, root: dict, through: tuple[
         first.append(_compiled(v, referred(ref, root), at, root, (*through, ref)))
     out: list[Column] = []
     if "const" in schema:
-        out.append(_one(~_same(v, schema["const"]), at, "const"))
+        out.append(_one(~_same(v, name, schema["const"]), at, "const"))
     if "enum" in schema:
-        out.append(_one(~reduce(lambda a, b: a | b, [_same(v, e) for e in schema["enum"]], F.lit(False)), at, "enum"))
+        out.append(_one(~reduce(lambda a, b: a | b, [_same(v, name, e) for e in schema["enum"]], F.lit(False)), at, "enum"))
     number, items = _part(v, "$", "double"), _part(v, "$", "array<variant>")
     sizes = {"Length": ("string", F.length(_part(v, "$", "string"))), "Items": ("array", F.size(items))}
     for k in _BOUNDS:
         if k in schema:
             kind, size = sizes.get(k[3:], ("number", number))
             holds = {"minimum": size >= schema[k], "maximum": size <= schema[k], "exclusiveMinimum": size > schema[k], "exclusiveMaximum": size < schema[k]}.get(k, size >= schema[k] if k.startswith("min") else size <= schema[k])
-            out.append(_one(~(_is(v, kind) & holds), at, k))
+            out.append(_one(~(_is(name, kind) & holds), at, k))
     known, extra = schema.get("properties", {}), schema.get("additionalProperties", True)
     for k in (*schema.get("required", ()), *known):
         if "'" in k or "\\" in k:
             raise _NotCompiled
-    there = F.json_object_keys(F.to_json(v))
-    when_object: list[Column] = [_one(~F.array_contains(there, k), F.concat(at, F.lit(f".{k}")), "required") for k in schema.get("required", ())]
-    for k, part in known.items():
-        inner = _compiled(_part(v, f"$['{k}']", "variant"), part, F.concat(at, F.lit(f".{k}")), root, through)
-        when_object.append(F.when(F.array_contains(there, k), inner).otherwise(_no_violations()))
-    if extra is not True:
-        others = F.array_except(there, F.array(*[F.lit(k) for k in known]).cast("array<string>"))
-        if extra is False:
-            when_object.append(F.transform(others, lambda k: F.concat(at, F.lit("."), k, F.lit(": false"))))
-        else:
-            values = _part(v, "$", "map<string,variant>")
-            when_object.append(F.flatten(F.transform(others, lambda k: _compiled(values[k], extra, F.concat(at, F.lit("."), k), root, through))))
-    if when_object:
-        out.append(F.when(_is(v, "object"), F.concat(*when_object)).otherwise(_no_violations()))
+    if schema.get("required") or known or extra is not True:
+
+        def of_object(there: Column) -> Column:
+            parts = [_one(~F.array_contains(there, k), F.concat(at, F.lit(f".{k}")), "required") for k in schema.get("required", ())]
+            for k, part in known.items():
+                inner = _compiled(_part(v, f"$['{k}']", "variant"), part, F.concat(at, F.lit(f".{k}")), root, through)
+                parts.append(F.when(F.array_contains(there, k), inner).otherwise(_no_violations()))
+            if extra is not True:
+                others = F.array_except(there, F.array(*[F.lit(k) for k in known]).cast("array<string>"))
+                if extra is False:
+                    parts.append(F.transform(others, lambda k: F.concat(at, F.lit("."), k, F.lit(": false"))))
+                else:
+                    values = _part(v, "$", "map<string,variant>")
+                    parts.append(F.flatten(F.transform(others, lambda k: _compiled(values[k], extra, F.concat(at, F.lit("."), k), root, through))))
+            return F.concat(*parts)
+
+        out.append(F.when(_is(name, "object"), _let(F.json_object_keys(F.to_json(v)), of_object)).otherwise(_no_violations()))
     if "items" in schema:
         each = F.transform(items, lambda x, i: _compiled(x, schema["items"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), root, through))
-        out.append(F.when(_is(v, "array"), F.flatten(each)).otherwise(_no_violations()))
+        out.append(F.when(_is(name, "array"), F.flatten(each)).otherwise(_no_violations()))
     for k, holds in (("allOf", lambda n, of: n == of), ("anyOf", lambda n, of: n > 0), ("oneOf", lambda n, of: n == 1)):
         if k in schema:
             passing = reduce(lambda a, b: a + b, [(F.size(_compiled(v, s, at, root, through)) == 0).cast("int") for s in schema[k]], F.lit(0))
             out.append(_one(~holds(passing, len(schema[k])), at, k))
     rest = F.concat(*out) if out else _no_violations()
     if kinds := schema.get("type"):
-        right = reduce(lambda a, b: a | b, [_is(v, k) for k in ([kinds] if isinstance(kinds, str) else kinds)])
+        right = reduce(lambda a, b: a | b, [_is(name, k) for k in ([kinds] if isinstance(kinds, str) else kinds)])
         rest = F.when(F.coalesce(right, F.lit(False)), rest).otherwise(F.array(F.concat(at, F.lit(": type"))))
     return F.concat(*first, rest) if first else rest
 

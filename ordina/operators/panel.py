@@ -112,8 +112,9 @@ def pearson(spark, d):
  rank() OVER (ORDER BY human_mean) + (count(*) OVER (PARTITION BY human_mean) - 1) / 2.0 AS rh FROM units) SELECT round(corr(ra, rh), 6) AS spearman FROM r""",
 )
 def spearman_avg_rank(spark, d):
-    """Pearson of average ranks."""
-    means = units(spark, d).select("ai_mean", "human_mean")
+    """Pearson of average ranks. The panel is read once: cut points, sizes and ranks all come from the kept means (two
+    numbers a unit, on disk where memory is short; Spark drops them when the session needs the room)."""
+    means = units(spark, d).select("ai_mean", "human_mean").persist()
     ranked = average_ranks(average_ranks(means, "ai_mean", "ra"), "human_mean", "rh")
     return ranked.agg(rnd(F.corr("ra", "rh")).alias("spearman"))
 
@@ -246,7 +247,7 @@ def bootstrap_ci(spark, d):
 )
 def bootstrap_spearman(spark, d):
     """The interval of Spearman's correlation: draws weigh the units' ranks in the whole panel, which are not ranked anew."""
-    u = units(spark, d).select("paper_id", "ai_mean", "human_mean")
+    u = units(spark, d).select("paper_id", "ai_mean", "human_mean").persist()
     ranked = average_ranks(average_ranks(u, "ai_mean", "x"), "human_mean", "y")
     return bootstrap(ranked, {"spearman": _CORR})
 
