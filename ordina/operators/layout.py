@@ -225,7 +225,7 @@ _LEFT_OUT = f"{g.overlap('c', 'a')} > 0.6 AND {g.overlap('c', 'u')} < 0.3"
     f"""{_W}, {_VISUAL}, v AS (SELECT * FROM vis WHERE kind = 'table' OR forced OR NOT EXISTS (SELECT 1 FROM old WHERE old.page = vis.page AND old.kind = 'table' AND {_COPY})),
  o AS (SELECT DISTINCT page, kind, {_AS} FROM old), u AS (SELECT o.page, o.kind, {_AS}, {_UNION}, bool_or(size > 10) AS manual FROM o JOIN v ON o.page = v.page AND o.kind = v.kind AND ({_SAME}) GROUP BY o.page, o.kind, {_AS}),
  t AS (SELECT DISTINCT page, {_CS} FROM cap WHERE cconf > {PROSE}), p AS (SELECT u.page, u.kind, {_AS}, count(*) AS prose FROM u JOIN t ON u.page = t.page AND {_LEFT_OUT} GROUP BY u.page, u.kind, {_AS})
- SELECT o.page, o.kind, {', '.join(f'o.{c}' for c in _A)}, coalesce(prose, 0) AS prose, CASE WHEN u.page IS NULL THEN 'pdffigures2_only' WHEN manual THEN 'manually_verified_layout_bounds'
+ SELECT o.page, o.kind, {', '.join(f'o.{c}' for c in _A)}, coalesce(prose, 0) AS prose, CASE WHEN u.page IS NULL THEN 'caption_detector_only' WHEN manual THEN 'manually_verified_layout_bounds'
  WHEN {_RATIO.replace('ax', 'o.ax').replace('ay', 'o.ay')} BETWEEN 0.65 AND 1.5 AND prose IS NULL THEN 'agreement' ELSE 'prefer_layout_bounds' END AS outcome
  FROM o LEFT JOIN u ON o.page = u.page AND o.kind = u.kind AND {' AND '.join(f'o.{c} = u.{c}' for c in _A)} LEFT JOIN p ON o.page = p.page AND o.kind = p.kind AND {' AND '.join(f'o.{c} = p.{c}' for c in _A)}""",
 )
@@ -244,7 +244,7 @@ def outcomes(old: DataFrame, seen: DataFrame, prose: DataFrame) -> DataFrame:
     left_out = on(union, prose, _LEFT_OUT, ("page",)).groupBy(*key).agg(F.count("*").alias("prose"))
     every = old.join(union, key, "left").join(left_out, key, "left").withColumn("prose", F.coalesce("prose", F.lit(0)))
     agree = F.expr(_RATIO).between(0.65, 1.5) & (F.col("prose") == 0)
-    outcome = F.when(F.col("manual").isNull(), "pdffigures2_only").when(F.col("manual"), "manually_verified_layout_bounds").when(agree, "agreement").otherwise("prefer_layout_bounds")
+    outcome = F.when(F.col("manual").isNull(), "caption_detector_only").when(F.col("manual"), "manually_verified_layout_bounds").when(agree, "agreement").otherwise("prefer_layout_bounds")
     return every.select(*key, "prose", outcome.alias("outcome"))
 
 

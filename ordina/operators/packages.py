@@ -347,6 +347,7 @@ def wrapped_match_labels(spark, d):
 
 
 INDEX = "schema string, package_id string, pages int, text_records_path string, sequence array<struct<type:string,path:string,record:int,page:int,sha256:string>>"
+# The format that a package names (fixed value).
 SCHEMA_NAME = "paper-text-figures/v2"
 
 
