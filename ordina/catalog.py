@@ -1,4 +1,4 @@
 """Imports the modules that register queries."""
 
-from .operators import contracts, events, geometry, layout, packages, panel, relational, review, sequences, text  # noqa: F401
+from .operators import contracts, events, geometry, layout, packages, panel, relational, review, scans, sequences, text  # noqa: F401
 from .streaming import sessions  # noqa: F401
