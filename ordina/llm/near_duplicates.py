@@ -15,10 +15,11 @@ more; classes are the connected components of links, named by their smallest doc
 3. Equal texts are one vertex. The vertex of a band key that shares most keys with others is its leader; every
    vertex is verified against the leader it meets most often, which joins most groups at once, at one pair
    a member. Keys that then still hold several components (of keys with the same members, one) are answered
-   exactly: their members' vectors meet in blocks of BLOCK members or BLOCK_BYTES, every block with every other of its
-   key, and a product of matrices gives the weighted overlap of all vertices outside the block's largest component
-   with all others. Only links that join two components leave a block. So every pair that shares a key has been
-   verified or lies inside one component; no partner, candidate or key is capped, and one round is enough.
+   exactly: all members outside a key's largest component (usually few), in blocks of BLOCK members or BLOCK_BYTES, meet all
+   members of the key, in blocks of AGAINST, and a product of matrices gives their weighted overlaps. So a key costs its
+   size times what is outside, and a large group is dealt to many tasks. Only links that join two components leave a
+   block. Every pair that shares a key has been verified or lies inside one component; no partner, candidate or key
+   is capped, and one round is enough.
 
 Vertices are numbered by text, not by doc_id, so different texts under one doc_id stay apart.
 
@@ -51,8 +52,10 @@ SAMPLES, ROWS = 48, 3
 #: Total weight from which a text's shingles are spread over bins; up to 1 / SIMILAR of it they also take all samples.
 HEAVY = 384.0
 _CELL_BITS, _SEGMENT_BITS = 22, 16
-#: Members of a band key, and bytes of their vectors, in one of the blocks that are compared with each other.
+#: Members of a band key outside its largest component, and bytes of their vectors, in one of the blocks that are compared
+#: with all members of the key, which are in blocks of so many members or bytes.
 BLOCK, BLOCK_BYTES = 4096, 32 << 20
+AGAINST, AGAINST_BYTES = 1024, 8 << 20
 #: Elements whose columns are in memory at once, and vertices outside the largest component.
 _COLUMNS, _ROWS = 1024, 256
 #: Ids of at most so many documents are broadcast; more are joined by a shuffle.
@@ -317,10 +320,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _meetings(members: DataFrame) -> DataFrame:
-    """The members of a key in its blocks (parts), once for each part that theirs meets: every other and itself."""
-    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") * 8 / BLOCK_BYTES))
-    met = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("vid"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    return met.select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "vid", "component")
+    """Rows of (key, vid, component, size) as they meet: those outside their key's largest component, in blocks of BLOCK
+    members or BLOCK_BYTES (`low`), with all members of the key, in blocks of AGAINST or AGAINST_BYTES (`high`)."""
+    own = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sides = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("all_size"), F.max_by(F.struct("component", "n", "size"), F.struct("n", -F.col("component"))).alias("main"))
+    lows = F.greatest(F.ceil((F.col("n") - F.col("main.n")) / BLOCK), F.ceil((F.col("all_size") - F.col("main.size")) * 8 / BLOCK_BYTES))
+    highs = F.greatest(F.ceil(F.col("n") / AGAINST), F.ceil(F.col("all_size") * 8 / AGAINST_BYTES))
+    met = _with(members, sides.select("key", F.col("main.component").alias("main"), lows.alias("lows"), highs.alias("highs")), "inner", "key")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    outside = met.where("component != main").select("key", F.expr("pmod(xxhash64(vid, 1), lows)").alias("low"), every("highs").alias("high"), F.lit(True).alias("outside"), "vid", "component")
+    return outside.union(met.select("key", every("lows").alias("low"), F.expr("pmod(xxhash64(vid), highs)").alias("high"), F.lit(False), "vid", "component"))
 
 
 def groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -357,38 +366,34 @@ class Block:
         self.weight, self.owner = self.weight[several], self.owner[several]
         self.column = np.repeat(np.arange(np.count_nonzero(counts > 1)), counts[counts > 1])
 
-    def similarities(self, rows: np.ndarray) -> np.ndarray:
-        """Of each of these vertices with all; those next to a threshold have to be looked at by `similarity`."""
+    def similarities(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Of each of these vertices with each of those; what is next to a threshold has to be looked at by `similarity`."""
         n = len(self.vector)
         if n <= 4:
-            return np.array([[similarity(*self.vector[r], *self.vector[c]) for c in range(n)] for r in rows.tolist()])
-        overlap = np.zeros((len(rows), n))
+            return np.array([[similarity(*self.vector[r], *self.vector[c]) for c in columns.tolist()] for r in rows.tolist()])
+        overlap = np.zeros((len(rows), len(columns)))
         for c in range(0, int(self.column[-1]) + 1 if len(self.column) else 0, _COLUMNS):
             a, b = np.searchsorted(self.column, (c, c + _COLUMNS))
             present = np.zeros((n, _COLUMNS), np.float32)
             present[self.owner[a:b], self.column[a:b] - c] = 1
             weight = np.zeros(_COLUMNS, np.float32)
             weight[self.column[a:b] - c] = self.weight[a:b]
-            overlap += (present[rows] * weight) @ present.T
-        union = self.totals[rows, None] + self.totals[None, :] - overlap
+            overlap += (present[rows] * weight) @ present[columns].T
+        union = self.totals[rows, None] + self.totals[None, columns] - overlap
         return np.where(union > 0, overlap / np.maximum(union, 1e-9), 1.0)
 
 
-def joining(vids: np.ndarray, component: np.ndarray, part: np.ndarray, block: Block, threshold: float, crossed: bool) -> list[tuple[int, int, float]]:
-    """Links that join components of a group: for each vertex outside the largest component, all others of other
-    components (in the other part, if the group is of two) are compared, and a link for each component it is joined
-    with is given unless earlier links of the group have joined both. A pair of two components has such a vertex."""
-    names, root = np.unique(component, return_inverse=True)
-    outside = np.flatnonzero(root != np.argmax(np.bincount(root)))
+def joining(vids: np.ndarray, component: np.ndarray, outside: np.ndarray, block: Block, threshold: float) -> list[tuple[int, int, float]]:
+    """Links that join components of a group: each row that is outside is compared with all others that are not and have
+    another component, and a link for each component it is joined with is given unless earlier links of the group have
+    joined both. Over all groups of a key, a pair of two components meets: one of them is not the largest."""
+    root = np.unique(component, return_inverse=True)[1]
+    columns = np.flatnonzero(~outside)
     out = []
-    for i in range(0, len(outside), _ROWS):
-        rows = outside[i : i + _ROWS]
-        alike = block.similarities(rows)
-        may = (alike >= threshold - 1e-4) & (component[rows, None] != component[None, :])
-        if crossed:
-            may &= part[rows, None] != part[None, :]
+    for rows in np.split(np.flatnonzero(outside), np.arange(_ROWS, np.count_nonzero(outside), _ROWS)):
+        may = (block.similarities(rows, columns) >= threshold - 1e-4) & (component[rows, None] != component[None, columns])
         for k, r in enumerate(rows.tolist()):
-            others = np.flatnonzero(may[k])
+            others = columns[may[k]]
             while len(others := others[root[others] != root[r]]):
                 c = int(others[0])
                 exact = similarity(*block.vector[r], *block.vector[c])
@@ -400,16 +405,17 @@ def joining(vids: np.ndarray, component: np.ndarray, part: np.ndarray, block: Bl
 
 
 def _links(members: DataFrame, threshold: float) -> DataFrame:
-    """(vid, other, similarity) of the joining links under rows of (key, low, high, part, vid, component, elements, weights)."""
+    """(vid, other, similarity) of the joining links under rows of (key, low, high, outside, vid, component, elements, weights)."""
     place = ("key", "low", "high")
 
     def run(batches):
         for group in groups(batches, place):
-            vids, component, part = (group.column(n).to_numpy() for n in ("vid", "component", "part"))
-            if (component == component[0]).all():
+            vids, component = (group.column(n).to_numpy() for n in ("vid", "component"))
+            outside = group.column("outside").to_numpy(zero_copy_only=False)
+            if outside.all() or not outside.any() or (component == component[0]).all():
                 continue
             vector = [(np.frombuffer(e.as_buffer(), np.uint32), np.frombuffer(w.as_buffer(), np.float32)) for e, w in zip(group.column("elements"), group.column("weights"), strict=True)]
-            found = joining(vids, component, part, Block(vector), threshold, group.column("low")[0] != group.column("high")[0])
+            found = joining(vids, component, outside, Block(vector), threshold)
             if found:
                 a, b, alike = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())], names=["vid", "other", "similarity"])
@@ -477,7 +483,7 @@ class Graph:
         several = stored(several.where("a != b").groupBy("n", "size", "x", "y").agg(F.min("key").alias("key")), "several")
         if not several.take(1):
             return
-        met = _meetings(members.select("key", "vid", "component").join(several.select("key", "n", "size"), "key"))
+        met = _meetings(stored(_with(members.select("key", "vid", "component", "size"), several.select("key"), "left_semi", "key"), "open"))
         more = stored(_links(met.join(made.select("vid", "elements", "weights"), "vid"), threshold), "links")
         if more.take(1):
             self.links = self.links.union(more)

@@ -108,7 +108,7 @@ def test_near_duplicates_with_few_equal_samples(spark):
     assert classes_of(spark, texts) == near_classes(texts)
 
 
-@pytest.mark.parametrize("block", [{"BLOCK": 4}, {"BLOCK_BYTES": 8000}])
+@pytest.mark.parametrize("block", [{"BLOCK": 4}, {"BLOCK_BYTES": 8000}, {"AGAINST": 3}, {"AGAINST_BYTES": 8000}, {"BLOCK": 2, "AGAINST": 5}])
 def test_near_duplicates_blocks_of_a_key_all_meet(spark, monkeypatch, block):
     for name, value in block.items():
         monkeypatch.setattr(near_duplicates, name, value)
@@ -130,7 +130,7 @@ def test_similarities_of_a_block():
     texts = tb.of([*spread(300, 1, 9).values(), "", "a b", "x y z " * 50])
     weights = near_duplicates.Weights(12, np.zeros(0, np.uint64), np.zeros(0))
     vector = [(np.frombuffer(e, np.uint32), np.frombuffer(w, np.float32)) for e, w in zip(*near_duplicates.vectors(texts, weights), strict=True)]
-    got = near_duplicates.Block(vector).similarities(np.arange(12))
+    got = near_duplicates.Block(vector).similarities(np.arange(12), np.arange(12))
     want = [[near_duplicates.similarity(*x, *y) for y in vector] for x in vector]
     assert np.abs(np.triu(got - want, 1)).max() < 1e-5  # a vertex is never compared with itself
 
