@@ -16,7 +16,7 @@ more; classes are the connected components of links, named by their smallest doc
    vertex is verified against the leader it meets most often, which joins most groups at once, at one pair
    a member. Keys that then still hold several components (of keys with the same members, one) are answered
    exactly: all members outside a key's largest component (usually few), in blocks of BLOCK members or BLOCK_BYTES, meet all
-   members of the key, in blocks of AGAINST, and a product of matrices gives their weighted overlaps. So a key costs its
+   members of the key, in such blocks too, and a product of matrices gives their weighted overlaps. So a key costs its
    size times what is outside, and a large group is dealt to many tasks. Only links that join two components leave a
    block. Every pair that shares a key has been verified or lies inside one component; no partner, candidate or key
    is capped, and one round is enough.
@@ -52,10 +52,10 @@ SAMPLES, ROWS = 48, 3
 #: Total weight from which a text's shingles are spread over bins; up to 1 / SIMILAR of it they also take all samples.
 HEAVY = 384.0
 _CELL_BITS, _SEGMENT_BITS = 22, 16
-#: Members of a band key outside its largest component, and bytes of their vectors, in one of the blocks that are compared
-#: with all members of the key, which are in blocks of so many members or bytes.
+#: Members of a band key, and bytes of their vectors, in one of its blocks at most. A smaller key is dealt to SPREAD blocks
+#: too, unless they would have fewer than LEAST_BLOCK members.
 BLOCK, BLOCK_BYTES = 4096, 32 << 20
-AGAINST, AGAINST_BYTES = 1024, 8 << 20
+LEAST_BLOCK, SPREAD = 512, 6
 #: Elements whose columns are in memory at once, and vertices outside the largest component.
 _COLUMNS, _ROWS = 1024, 256
 #: Ids of at most so many documents are broadcast; more are joined by a shuffle.
@@ -320,16 +320,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _meetings(members: DataFrame) -> DataFrame:
-    """Rows of (key, vid, component, size) as they meet: those outside their key's largest component, in blocks of BLOCK
-    members or BLOCK_BYTES (`low`), with all members of the key, in blocks of AGAINST or AGAINST_BYTES (`high`)."""
+    """Rows of (key, vid, component, size) as they meet in groups (key, low, high): those outside their key's largest
+    component, in blocks (`low`), with all members of the key, in blocks (`high`). A key of one block has its members once."""
     own = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     sides = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("all_size"), F.max_by(F.struct("component", "n", "size"), F.struct("n", -F.col("component"))).alias("main"))
-    lows = F.greatest(F.ceil((F.col("n") - F.col("main.n")) / BLOCK), F.ceil((F.col("all_size") - F.col("main.size")) * 8 / BLOCK_BYTES))
-    highs = F.greatest(F.ceil(F.col("n") / AGAINST), F.ceil(F.col("all_size") * 8 / AGAINST_BYTES))
+    block = F.least(F.greatest(F.col("n") / SPREAD, F.lit(LEAST_BLOCK)), F.lit(BLOCK))
+    parts = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size * 8 / BLOCK_BYTES))
+    lows, highs = parts(F.col("n") - F.col("main.n"), F.col("all_size") - F.col("main.size")), parts(F.col("n"), F.col("all_size"))
     met = _with(members, sides.select("key", F.col("main.component").alias("main"), lows.alias("lows"), highs.alias("highs")), "inner", "key")
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    outside = met.where("component != main").select("key", F.expr("pmod(xxhash64(vid, 1), lows)").alias("low"), every("highs").alias("high"), F.lit(True).alias("outside"), "vid", "component")
-    return outside.union(met.select("key", every("lows").alias("low"), F.expr("pmod(xxhash64(vid), highs)").alias("high"), F.lit(False), "vid", "component"))
+    places = """inline(if(lows = 1 and highs = 1, array(struct(0L as low, 0L as high, component != main as outside, true as against)), concat(
+        if(component != main, transform(sequence(0L, highs - 1), h -> struct(pmod(xxhash64(vid, 1), lows) as low, h as high, true as outside, false as against)), array()),
+        transform(sequence(0L, lows - 1), l -> struct(l as low, pmod(xxhash64(vid), highs) as high, false as outside, true as against)))))"""
+    return met.select("key", "vid", "component", F.expr(places))
 
 
 def groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -383,12 +385,12 @@ class Block:
         return np.where(union > 0, overlap / np.maximum(union, 1e-9), 1.0)
 
 
-def joining(vids: np.ndarray, component: np.ndarray, outside: np.ndarray, block: Block, threshold: float) -> list[tuple[int, int, float]]:
-    """Links that join components of a group: each row that is outside is compared with all others that are not and have
+def joining(vids: np.ndarray, component: np.ndarray, outside: np.ndarray, against: np.ndarray, block: Block, threshold: float) -> list[tuple[int, int, float]]:
+    """Links that join components of a group: each row that is outside is compared with all rows that are against and have
     another component, and a link for each component it is joined with is given unless earlier links of the group have
     joined both. Over all groups of a key, a pair of two components meets: one of them is not the largest."""
     root = np.unique(component, return_inverse=True)[1]
-    columns = np.flatnonzero(~outside)
+    columns = np.flatnonzero(against)
     out = []
     for rows in np.split(np.flatnonzero(outside), np.arange(_ROWS, np.count_nonzero(outside), _ROWS)):
         may = (block.similarities(rows, columns) >= threshold - 1e-4) & (component[rows, None] != component[None, columns])
@@ -405,17 +407,17 @@ def joining(vids: np.ndarray, component: np.ndarray, outside: np.ndarray, block:
 
 
 def _links(members: DataFrame, threshold: float) -> DataFrame:
-    """(vid, other, similarity) of the joining links under rows of (key, low, high, outside, vid, component, elements, weights)."""
+    """(vid, other, similarity) of the joining links under rows of (key, vid, component, low, high, outside, against, elements, weights)."""
     place = ("key", "low", "high")
 
     def run(batches):
         for group in groups(batches, place):
             vids, component = (group.column(n).to_numpy() for n in ("vid", "component"))
-            outside = group.column("outside").to_numpy(zero_copy_only=False)
-            if outside.all() or not outside.any() or (component == component[0]).all():
+            outside, against = (group.column(n).to_numpy(zero_copy_only=False) for n in ("outside", "against"))
+            if not outside.any() or not against.any() or (component == component[0]).all():
                 continue
             vector = [(np.frombuffer(e.as_buffer(), np.uint32), np.frombuffer(w.as_buffer(), np.float32)) for e, w in zip(group.column("elements"), group.column("weights"), strict=True)]
-            found = joining(vids, component, outside, Block(vector), threshold)
+            found = joining(vids, component, outside, against, Block(vector), threshold)
             if found:
                 a, b, alike = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())], names=["vid", "other", "similarity"])

@@ -108,7 +108,7 @@ def test_near_duplicates_with_few_equal_samples(spark):
     assert classes_of(spark, texts) == near_classes(texts)
 
 
-@pytest.mark.parametrize("block", [{"BLOCK": 4}, {"BLOCK_BYTES": 8000}, {"AGAINST": 3}, {"AGAINST_BYTES": 8000}, {"BLOCK": 2, "AGAINST": 5}])
+@pytest.mark.parametrize("block", [{"BLOCK": 4}, {"BLOCK_BYTES": 8000}, {"LEAST_BLOCK": 2}, {"BLOCK": 2}])
 def test_near_duplicates_blocks_of_a_key_all_meet(spark, monkeypatch, block):
     for name, value in block.items():
         monkeypatch.setattr(near_duplicates, name, value)
