@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, license_scan, near_duplicates, pii, quality_classifier, quality_rules, secret_scan, sentencepieces, token_counts
+from . import decontamination, html_extraction, license_scan, near_duplicates, pii, quality_classifier, quality_rules, secret_scan, sentencepieces, token_alignment, token_counts
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_sentencepieces": sentencepieces.op9_sentencepieces,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
 }
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
