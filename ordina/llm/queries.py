@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import band_join, decontamination, html_extraction, license_scan, near_duplicates, pii, quality_classifier, quality_rules, secret_scan, sentencepieces, token_alignment, token_counts
+from . import band_join, decontamination, html_extraction, license_scan, near_duplicates, pii, quality_classifier, quality_rules, secret_scan, sentencepieces, substring_dedup, token_alignment, token_counts
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -17,12 +17,14 @@ QUERIES = {
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_band_join": band_join.op12_band_join,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
     "op12_band_join": band_join.BAND_SQL,
+    "op13_substring_dedup": substring_dedup.REPEATS_SQL,
     "op6_decontamination": f"""WITH d AS (SELECT doc_id, coalesce({_WORDS.format(_LOW.format("text"))}, []) AS w FROM documents),
  v AS (SELECT item_id, {_WORDS.format(_LOW.format("text"))} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
  i AS (SELECT item_id, w, least(10, len(w)) AS n FROM v WHERE len(w) > 0),
