@@ -6,8 +6,9 @@ every task gives equal strings equal names, and a round is the same everywhere w
 limit between symbols survives a round depends on the symbols around it; `parsed` carries how many words to either side
 decide it. Inside of equal windows, limits whose context lies within the window are therefore equal.
 
-1. Each window takes the highest of its own limits (the leftmost one; context of LEAST words or more), named by its level
-   and context: its anchor. A window without one is its own anchor. There are far fewer anchors than windows.
+1. A limit is named by its level and the words that decide it (LEAST or more). Each window takes the limit of the least name
+   among those it holds, so neighbours mostly take the same: its anchor. A window that holds none is its own. There is an
+   anchor for every four windows or so.
 2. Anchors are counted over all documents: only windows whose anchor occurs elsewhere can repeat (shared high-level symbols
    reveal them).
 3. Those windows are compared as a whole (96 bits of their words), with the smallest doc_id of each (which verifies them).
@@ -108,10 +109,10 @@ class Words:
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """The key of each window's anchor, and the keys of all anchors, each place once."""
         n = len(self.words.starts)
-        of, done, used = np.zeros(n, np.uint64), np.zeros(n, bool), []
+        of, done, offered = np.full(n, np.iinfo(np.uint64).max), np.zeros(n, bool), []
         if not len(self.windows):
             return of[:0], of[:0]
-        for level, (x, left, right) in reversed(list(enumerate(self.parsed()))):
+        for level, (x, left, right) in enumerate(self.parsed()):
             fits = (left + right >= LEAST) & (left + right <= WINDOW)
             x, left, right = x[fits], left[fits], right[fits]
             low, high = np.maximum(x + right - WINDOW, self.first[x]), np.minimum(x - left, self.last[x] - WINDOW)
@@ -121,13 +122,10 @@ class Words:
             count = high - low + 1
             source = np.repeat(np.arange(len(x)), count)
             window = low[source] + np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
-            free = ~done[window]
-            window, source = window[free][::-1], source[free][::-1]  # the leftmost limit is written last
-            of[window] = key[source]
+            np.minimum.at(of, window, key[source])
             done[window] = True
-            chosen = np.full(n, -1)
-            chosen[window] = source
-            used.append(key[np.unique(chosen[window])])
+            offered.append((window, source, key))
+        used = [key[np.unique(source[of[window] == key[source]])] for window, source, key in offered]
         alone = self.windows[~done[self.windows]]
         of[alone] = tb.mix(self.names.of(alone, alone + WINDOW))
         return of[self.windows], np.concatenate([*used, of[alone]])
