@@ -246,6 +246,7 @@ def _repeated_windows(part: pa.Table) -> pa.Table:
     least, many = np.minimum.reduceat(ids[order], first), np.logical_or.reduceat(more[order], first) | (count > 1)
     smallest, keep = np.empty(len(k), np.int64), np.empty(len(k), bool)
     smallest[order], keep[order] = np.repeat(least, count), np.repeat(many, count)
+    keep &= more | (smallest < ids)  # a block whose only place is the first one loses nothing
     return _returned(blocks[keep], keys[keep], second[keep], smallest[keep])
 
 
