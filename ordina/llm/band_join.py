@@ -11,7 +11,8 @@ p / 500. Bands' starts, prices and ends and the lines' prices are events on one
   differences of them. A band that reaches over a cut appears in each range it touches.
 * The sweep keeps the nearest lines passed (`Best` again) and the set of active bands, which collect the lines that
   follow and leave when they have enough or end. Neither grows with the input.
-* An item's own lines in its band come from a join by item_id of all lines, whose hot keys adaptive execution splits.
+* An item's own lines in its band come from a join: lines are summed by item and u first, then meet their item's band by
+  item and slot of prices, so neither an item of very many lines nor one of very many prices is one task's work.
 
 Nothing that grows goes through one task, the driver (RANGES cuts) or a broadcast (RANGES totals).
 
@@ -286,15 +287,22 @@ def price_totals(lines: DataFrame, prices: DataFrame, ranges: int = RANGES) -> D
     return swept.groupBy("p").agg(F.sum("n").alias("n"), F.sum("gap_sum").alias("gap_sum"), F.sum("crc").alias("crc"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
 
 
+def _slot(u: Column) -> Column:
+    """Numbers that rise with u, so that a band touches two or three of them: steps of 50, beyond 5000 of 0.4 percent."""
+    return F.when(u < 5000, F.floor(u / 50)).otherwise(100 + F.floor(F.log(F.greatest(u, F.lit(5000)) / 5000.0) * 250)).cast("bigint")
+
+
 def near_pairs(lines: DataFrame, items: DataFrame, ranges: int = RANGES) -> DataFrame:
     """Per row of items: item_id, n_pairs, gap_sum, lines_crc over all its pairs and `pairs`, the first TOP of them in order."""
     every, own = priced_lines(lines), bands(items)
     mapped_lines = reduced(every.withColumn("n", F.lit(1).cast("bigint")))
     best_lines = stored(reduced(mapped_lines.repartition("u")), "unit_prices")
     sums = price_totals(best_lines, own.where("p is not null").select("p").distinct(), ranges)
-    near = own.where("p is not null").distinct().withColumn("__w", F.expr(_WIDTH)).hint("shuffle_hash")
-    met = every.select("item_id", "u", "crc").join(near, "item_id").where("u >= p - __w and u <= p + __w")
-    mine = met.groupBy("item_id", "p").agg(F.count("*").alias("own_n"), F.sum(F.abs(F.col("u") - F.col("p"))).alias("own_gap"), F.sum("crc").alias("own_crc"))
+    slots = lambda low, high: F.explode(F.sequence(_slot(low), _slot(high)))
+    near = own.where("p is not null").distinct().withColumn("__w", F.expr(_WIDTH)).withColumn("slot", slots(F.col("p") - F.col("__w"), F.col("p") + F.col("__w")))
+    by_price = every.groupBy("item_id", "u").agg(F.count("*").alias("n"), F.sum("crc").alias("crc")).withColumn("slot", _slot(F.col("u")))
+    met = by_price.join(near, ["item_id", "slot"]).where("u >= p - __w and u <= p + __w")
+    mine = met.groupBy("item_id", "p").agg(F.sum("n").alias("own_n"), F.sum(F.abs(F.col("u") - F.col("p")) * F.col("n")).alias("own_gap"), F.sum("crc").alias("own_crc"))
     out = own.join(mine, ["item_id", "p"], "left").join(sums, "p", "left")
     less = lambda a, b: (F.coalesce(F.col(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0))).cast("bigint")
     others = F.slice(F.filter("near", lambda x: x["line_item_id"] != F.col("item_id")), 1, TOP)
