@@ -21,16 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.events import TERMINAL_SQL
 from ..registry import query
-from ..sources.tables import table
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "/tmp/checkpoints"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.tables import shared_path, table
 
 
 #: How many files the table of events is dealt to, in order of time, and the session of the event that ends them.
