@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..registry import query
+from ..sources.checked import fault, parsed
 from ..sources.tables import table
 from .sequences import escaped, escaped_sql, ordered_text
 
@@ -63,7 +69,8 @@ def asset_checks(spark, d):
 
 
 def mismatched(df: DataFrame, expected: str, found: Column) -> DataFrame:
-    return df.withColumn("found", found).where(F.col(expected) != F.col("found"))
+    """Rows whose found value is not the expected one; one that is missing on either side is none."""
+    return df.withColumn("found", found).where(~F.col(expected).eqNullSafe(F.col("found")) | F.col(expected).isNull())
 
 
 def resolved(path: Column) -> Column:
@@ -170,11 +177,37 @@ def job_json(spark, d):
     return parts(spark, d).groupBy("package").agg((F.count("*") + 1).alias("items"), F.md5(job(items)).alias("digest"))
 
 
-def canonical(c: Column) -> Column:
-    """A flat JSON object with its keys in order, values as they were written."""
-    keys = F.array_sort(F.json_object_keys(c))
-    parsed = F.from_json(c, "map<string,string>")
-    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: parsed[k])))
+@F.pandas_udf(T.StringType())
+def canonical(texts: pd.Series) -> pd.Series:
+    """Any JSON value with the keys of all its objects in order and no spaces: numbers, text and booleans stay what they are;
+    of a key that repeats the last value counts. Null for what is no JSON (NaN and infinities are none)."""
+
+    def of(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t, parse_constant=_no_number), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    return pd.Series([of(t) for t in texts], dtype=object)
+
+
+def _no_number(name: str):
+    raise ValueError(name)
+
+
+@query(
+    "canonical_nested",
+    """SELECT o_orderkey, sha256('{"a":[{"x":' || CASE WHEN o_orderkey % 3 = 0 THEN '"' || o_custkey || '"' ELSE CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 3 = 1 THEN '.0' ELSE '' END END || ',"y":null},true],"b":{"z":{},"é":"' || o_orderstatus || '"}}') AS digest FROM orders""",
+)
+def canonical_nested(spark, d):
+    """Nested objects in any order have one form; a number, a number with a point and a text of the same digits have three."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    x = F.when(k % 3 == 0, F.concat(F.lit('"x": "'), c, F.lit('"'))).when(k % 3 == 1, F.concat(F.lit('"x":'), c, F.lit(".0"))).otherwise(F.concat(F.lit('"x":'), c))
+    y, e, z = F.lit('"y" : null'), F.concat(F.lit('"é":"'), "o_orderstatus", F.lit('"')), F.lit('"z":{}')
+    even = k % 2 == 0
+    pair = lambda a, b: F.when(even, F.concat_ws(",", a, b)).otherwise(F.concat_ws(" , ", b, a))
+    a, b = F.concat(F.lit('"a":[{'), pair(x, y), F.lit("},\ttrue]")), F.concat(F.lit('"b":{'), pair(z, e), F.lit("}"))
+    return table(spark, d, "orders").select("o_orderkey", F.sha2(canonical(F.concat(F.lit("{"), pair(b, a), F.lit("}"))), 256).alias("digest"))
 
 
 @query("canonical_json", """SELECT event_id, sha256('{"a":"' || event_type || '","k":"' || CAST(json_extract(props, '$.k') AS VARCHAR) || '","z":"' || user_id || '"}') AS digest FROM events""")
@@ -351,36 +384,84 @@ INDEX = "schema string, package_id string, pages int, text_records_path string,
 SCHEMA_NAME = "paper-text-figures/v2"
 
 
+FORMATS = {"app-server": ("text", "localImage"), "responses": ("input_text", "input_image")}
+
+
 def load_input(spark: SparkSession, root: str, format: str = "app-server", base: str = "") -> DataFrame:
-    """The items of all packages under root (one folder each: index.json, the records it names, images), in order: package,
-    item, type, text (neighbouring texts joined), path from `base` or image_url, and violation: unsupported schema, type
-    or path, a pointer to no record, a checksum that differs. Records and images are found by joins, not one by one."""
-    if format not in ("app-server", "responses"):
+    """`package_items` of all packages under root: one folder each with index.json, the records it names, and images."""
+    if format not in FORMATS:
         raise ValueError(f"unknown format {format}")
-    folder = lambda c, depth: F.element_at(F.split(c, "/"), -depth)
-    file_name = F.url_decode(F.input_file_name())
-    index = spark.read.schema(INDEX).option("multiLine", True).json(f"{root}/*/index.json").withColumn("folder", folder(file_name, 2))
-    seq = index.select("folder", "package_id", "schema", "text_records_path", F.posexplode("sequence").alias("place", "p")).select("folder", "package_id", "schema", "text_records_path", "place", "p.*")
-    lists = spark.read.option("wholetext", True).text(f"{root}/*/*.json").select(folder(file_name, 2).alias("folder"), folder(file_name, 1).alias("text_records_path"), "value").where("text_records_path != 'index.json'")
-    texts = lists.select("folder", "text_records_path", F.posexplode(F.from_json("value", "array<struct<text:string>>")).alias("record", "r")).select("folder", "text_records_path", "record", F.col("r.text").alias("text"))
+    own = re.sub(r"^[a-z]+:(//[^/]*)?", "", root).rstrip("/") + "/"
+
+    def parts(path: Column) -> list[Column]:
+        """The package's folder, and the path below it."""
+        two = F.split(F.substring(path, F.locate(own, path) + len(own), F.length(path)), "/", 2)
+        return [two[0].alias("folder"), F.get(two, 1).alias("at")]
+
+    files = spark.read.format("binaryFile").load(f"{root}/*/*").select(parts(F.url_decode("path"))[0]).distinct()
+    lists = spark.read.text(f"{root}/*/*.json", wholetext=True).select(*parts(F.url_decode(F.input_file_name())), "value").withColumnRenamed("at", "name")
     images = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(root)
-    at = F.split(F.split(F.col("path"), F.lit(root.rstrip("/").split("/")[-1] + "/"), 2)[1], "/", 2)
-    images = images.select(at[0].alias("folder"), at[1].alias("__at"), F.sha2("content", 256).alias("__sha"), *([F.base64("content").alias("__data")] if format == "responses" else []))
-    every = seq.join(texts, ["folder", "text_records_path", "record"], "left").withColumn("__at", resolved(F.col("path"))).join(images, ["folder", "__at"], "left")
+    images = images.select(*parts(F.url_decode("path")), F.sha2("content", 256).alias("sha"), *([F.base64("content").alias("data")] if format == "responses" else []))
+    return package_items(files, lists.where("name = 'index.json'").select("folder", "value"), lists.where("name <> 'index.json'"), images, format, base)
+
+
+def package_items(folders: DataFrame, indexes: DataFrame, lists: DataFrame, images: DataFrame, format: str = "app-server", base: str = "") -> DataFrame:
+    """The items of packages in order: folder, package_id, item, type, text (neighbouring texts joined), path from `base` or
+    image_url, detail, and violation ('' : none). Every folder gives a row: one without an index, with a broken one or without a
+    sequence is told, and so are an unsupported (or no) schema or type, pointers to no record, unsafe paths, images that are not
+    there, have no checksum, or another. Records and images are found by joins.
+    Tables: folders (folder), indexes (folder, value: JSON), lists (folder, name, value), images (folder, at, sha, data)."""
+    parsed_index = indexes.withColumn("r", parsed(F.col("value"), INDEX)).withColumn("broken", fault(F.col("r"), F.col("value"), []))
+    index = folders.select("folder").distinct().join(parsed_index, "folder", "left").select("folder", "r.*", F.when(F.col("value").isNull(), "no index").when(F.col("broken").isNotNull(), "broken index").when(~F.col("r.schema").eqNullSafe(SCHEMA_NAME), "unsupported schema").when(F.col("r.sequence").isNull(), "no sequence").alias("refusal"))
+    seq = index.select("folder", "package_id", "refusal", "text_records_path", F.posexplode_outer("sequence").alias("place", "p")).select("folder", "package_id", "refusal", "text_records_path", "place", F.col("p").isNotNull().alias("is_item"), "p.*")
+    texts = lists.select("folder", F.col("name").alias("text_records_path"), F.posexplode(F.from_json("value", "array<struct<text:string>>")).alias("record", "r")).select("folder", "text_records_path", "record", F.col("r.text").alias("text"))
+    found = images.select("folder", F.col("at").alias("__at"), F.col("sha").alias("__sha"), *([F.col("data").alias("__data")] if format == "responses" else []))
+    every = seq.join(texts, ["folder", "text_records_path", "record"], "left").withColumn("__at", resolved(F.col("path"))).join(found, ["folder", "__at"], "left")
     kind = F.col("type")
+    image = kind == "image"
     violation = (
-        F.when(F.col("schema") != SCHEMA_NAME, "unsupported schema").when(~kind.isin("text", "image"), "unknown item").when((kind == "text") & F.col("text").isNull(), "no record")
-        .when((kind == "image") & F.col("__at").isNull(), "unsafe path").when((kind == "image") & F.col("__sha").isNull(), "no image").when((kind == "image") & (F.col("__sha") != F.col("sha256")), "checksum")
+        F.when(F.col("refusal").isNotNull(), F.col("refusal")).when(~F.col("is_item"), F.lit(None)).when(F.coalesce(~kind.isin("text", "image"), F.lit(True)), "unknown item").when((kind == "text") & F.col("text").isNull(), "no record")
+        .when(image & F.col("__at").isNull(), "unsafe path").when(image & F.col("__sha").isNull(), "no image").when(image & F.col("sha256").isNull(), "no checksum").when(image & (F.col("__sha") != F.col("sha256")), "checksum")
     )
-    named = {"app-server": ("text", "localImage"), "responses": ("input_text", "input_image")}[format]
-    every = every.withColumn("violation", violation).withColumn("type", F.when(kind == "text", named[0]).when(kind == "image", named[1]).otherwise(kind))
-    w = Window.partitionBy("package_id").orderBy("place")
-    new = F.when((F.lag("type").over(w) == F.col("type")) & (F.col("type") == named[0]), 0).otherwise(1)
+    text_name, image_name = FORMATS[format]
+    every = every.withColumn("violation", violation).withColumn("type", F.when(kind == "text", text_name).when(image, image_name).otherwise(kind))
+    w = Window.partitionBy("folder").orderBy("place")
+    new = F.when(F.lag("type").over(w).eqNullSafe(F.col("type")) & (F.col("type") == text_name), 0).otherwise(1)
     islands = every.withColumn("__new", new).withColumn("item", F.sum("__new").over(w))
     text = ordered_text(F.filter(F.collect_list(F.struct(F.col("place").alias("at"), "text")), lambda i: i["text"].isNotNull()), "\n\n")
     shown = F.first(relative(F.concat_ws("/", "folder", "__at"), F.lit(base))).alias("path") if format == "app-server" else F.first(F.concat(F.lit("data:image/png;base64,"), "__data")).alias("image_url")
-    out = islands.groupBy("package_id", "item", "type").agg(F.when(F.first("type") == named[0], text).alias("text"), shown, F.array_join(F.array_sort(F.collect_set("violation")), ",").alias("violation"))
-    return out.withColumn(shown_name := ("path" if format == "app-server" else "image_url"), F.when(F.col("type") == named[1], F.col(shown_name)))
+    out = islands.groupBy("folder", "package_id", "item", "type").agg(F.when(F.first("type") == text_name, text).alias("text"), shown, F.array_join(F.array_sort(F.collect_set("violation")), ",").alias("violation"))
+    shown_name = "path" if format == "app-server" else "image_url"
+    is_image = F.col("type") == image_name
+    return out.withColumn(shown_name, F.when(is_image, F.col(shown_name))).withColumn("detail", F.when(is_image, "high"))
+
+
+def missing_packages(expected: DataFrame, items: DataFrame) -> DataFrame:
+    """Packages of expected (package_id) that no folder gave an item of."""
+    return expected.select("package_id").distinct().join(items.select("package_id").distinct(), "package_id", "left_anti")
+
+
+# Conversations as packages whose index, records or images have one fault each, told by their number.
+@query(
+    "package_faults",
+    """WITH t AS (SELECT DISTINCT conv_id FROM conversations) SELECT conv_id % 12 AS kind, CASE conv_id % 12 WHEN 1 THEN 'no index' WHEN 2 THEN 'broken index' WHEN 3 THEN 'unsupported schema' WHEN 4 THEN 'no sequence' WHEN 5 THEN 'checksum' WHEN 6 THEN 'no checksum' WHEN 7 THEN 'unknown item' WHEN 8 THEN 'no record'
+ WHEN 9 THEN 'unsafe path' WHEN 10 THEN 'no image' WHEN 11 THEN 'unsupported schema' ELSE '' END AS violation, count(*) AS packages FROM t GROUP BY ALL""",
+)
+def package_faults(spark, d):
+    """Packages with a fault of every kind; each fault is one row at least, and no package vanishes."""
+    k = F.col("conv_id") % 12
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("texts"))
+    turns = turns.withColumn("folder", F.col("conv_id").cast("string")).withColumn("k", k)
+    sha = F.sha2(F.col("folder"), 256)
+    text_item = F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("path"), F.when(k == 8, F.size("texts")).otherwise(0).alias("record"), F.lit(None).cast("string").alias("sha256"))
+    image_item = F.struct(F.when(k == 7, F.lit(None)).otherwise("image").alias("type"), F.when(k == 9, "../a.png").when(k == 10, "figures/none.png").otherwise("figures/a.png").alias("path"), F.lit(None).cast("int").alias("record"), F.when(k == 5, F.lit("0")).when(k != 6, sha).alias("sha256"))
+    content = F.struct(F.when(k == 3, "other/v1").when(k != 11, SCHEMA_NAME).alias("schema"), F.col("folder").alias("package_id"), F.lit("text.json").alias("text_records_path"), F.when(k != 4, F.array(text_item, image_item)).alias("sequence"))
+    value = F.when(k == 2, F.concat(F.lit("{oops"), F.to_json(content))).otherwise(F.to_json(content))
+    lists = turns.select("folder", F.lit("text.json").alias("name"), F.to_json(F.transform("texts", lambda t: F.struct(t.alias("text")))).alias("value"))
+    images = turns.select("folder", F.lit("figures/a.png").alias("at"), sha.alias("sha"))
+    items = package_items(turns.select("folder"), turns.where(k != 1).select("folder", value.alias("value")), lists, images)
+    one = items.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("violation") != "", F.col("violation")))), ",").alias("violation"))
+    return one.groupBy((F.col("folder").cast("bigint") % 12).alias("kind"), "violation").agg(F.count("*").alias("packages"))
 
 
 def png_size(content: Column) -> list[Column]:

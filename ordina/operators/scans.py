@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import papers, sinks
-from ..sources.tables import table
-from ..streaming.sessions import shared_path
+from ..sources.tables import shared_path, table
 from .review import _FORMS, NOT_JSON, event_lines, session_log
 
 
@@ -64,3 +63,41 @@ def status_summary(spark, d):
     """What a run reports: rows by status, unknown for none."""
     k = F.col("c_custkey")
     return sinks.summary(table(spark, d, "customer").withColumn("status", F.when(k % 5 == 0, "failed").when(k % 5 != 1, "ok")))
+
+
+@query(
+    "manifest_faults",
+    """SELECT CASE o_orderkey % 10 WHEN 1 THEN 'no JSON' WHEN 2 THEN 'no pdf_path' WHEN 3 THEN 'no .pdf' WHEN 4 THEN 'no authors' WHEN 5 THEN 'authors are no names' WHEN 6 THEN 'package id is not that of its place' WHEN 7 THEN 'no object' WHEN 9 THEN 'paper id repeats' ELSE 'none' END AS violation, count(*) AS n
+ FROM orders WHERE o_orderkey % 10 <> 9 OR (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 9) > 1 GROUP BY 1""",
+)
+def manifest_faults(spark, d):
+    """A manifest whose lines have a fault of every kind: each comes out with its violation, none is lost."""
+    k = F.col("o_orderkey")
+    last = k % 10
+    record = lambda *parts: F.concat(F.lit("{"), F.concat_ws(",", *[p if not isinstance(p, str) else F.lit(p) for p in parts]), F.lit("}"))
+    own = F.concat(F.lit('"paper_id":"p'), k.cast("string"), F.lit('"'))
+    path = F.concat(F.lit('"pdf_path":"'), k.cast("string"), F.lit('.pdf"'))
+    line = (
+        F.when(last == 1, F.concat(F.lit("{oops "), own)).when(last == 2, record(own, '"authors":[]')).when(last == 3, record(own, '"pdf_path":"a.doc","authors":[]')).when(last == 4, record(own, path))
+        .when(last == 5, record(own, path, '"authors":["A",3]')).when(last == 6, record(own, path, '"authors":"A;B","package_id":"paper_x"')).when(last == 7, F.lit("[1]")).when(last == 9, record('"paper_id":"same"', path, '"authors":["A"]'))
+        .otherwise(record(own, path, '"authors":[],"rating":9'))
+    )
+    place = shared_path(spark, "manifest")
+    table(spark, d, "orders").select(line.alias("value")).write.text(place)
+    return papers.checked_manifest(spark, place, require_authors=True).groupBy(F.coalesce("violation", F.lit("none")).alias("violation")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "paper_faults",
+    """SELECT CASE n_nationkey % 6 WHEN 1 THEN 'no JSON' WHEN 2 THEN 'no status' WHEN 3 THEN 'unexpected type' WHEN 4 THEN 'no object' ELSE 'none' END AS violation, count(*) AS n, CAST(sum(CASE WHEN n_nationkey % 6 IN (0, 5) THEN n_nationkey ELSE 0 END) AS BIGINT) AS keys FROM nation GROUP BY 1""",
+)
+def paper_faults(spark, d):
+    """Record files of which some are broken, have fields of other types, or lack what is needed."""
+    k = F.col("n_nationkey")
+    good = F.concat(F.lit('{"paper_id":"'), k.cast("string"), F.lit('",\n "status":"accepted", "ai_reviews":[{"round":1}]}'))
+    text = F.when(k % 6 == 1, F.concat(good, F.lit("}{"))).when(k % 6 == 2, F.replace(good, F.lit("status"), F.lit("state"))).when(k % 6 == 3, F.replace(good, F.lit('"round":1'), F.lit('"round":"one"'))).when(k % 6 == 4, F.lit("[]")).otherwise(good)
+    place = shared_path(spark, "papers")
+    table(spark, d, "nation").select(k.alias("k"), text.alias("value")).write.partitionBy("k").text(place)
+    rows = papers.checked_papers(spark, f"{place}/*/*.txt")
+    key = F.when(F.col("violation").isNull(), F.col("record.paper_id").cast("bigint"))
+    return rows.groupBy(F.coalesce("violation", F.lit("none")).alias("violation")).agg(F.count("*").alias("n"), F.coalesce(F.sum(key), F.lit(0)).alias("keys"))

@@ -24,7 +24,7 @@ def detections(spark: SparkSession, path: str, keys: DataFrame | None = None, ke
     """Figures of one JSON list a file, named by the file (without `.json`). With `keys`, units without a file come out once
     with nulls and the warning `output_missing`, so that none is lost."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1)
-    lists = spark.read.option("wholetext", True).text(path).select(F.url_decode(name).alias(key), F.from_json("value", f"array<{FIGURE}>").alias("figures"))
+    lists = spark.read.text(path, wholetext=True).select(F.url_decode(name).alias(key), F.from_json("value", f"array<{FIGURE}>").alias("figures"))
     rows = lists.select(key, F.explode_outer("figures").alias("f")).select(key, *one_based(F.col("f")))
     if keys is None:
         return rows.where("bbox is not null")

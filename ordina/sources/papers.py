@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .checked import fault, json_files, parsed, refused
+
 _VALUE = "struct<value:int>"
 #: One record a file. Reviews may carry optional text fields in other years, which this schema leaves out.
 PAPER = f"""year int, package_id string, paper_id string, number int, title string, authors array<string>, primary_area string, keywords array<string>,
@@ -14,8 +16,21 @@ PAPER = f"""year int, package_id string, paper_id string, number int, title stri
  ai_reviews array<struct<round:int,response:struct<score:int,confidence:int,summary:string,strengths:array<string>,weaknesses:array<string>,score_rationale:string>>>"""
 
 
-def papers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAPER).option("multiLine", True).json(path)
+#: What a record must have to be of use.
+REQUIRED = ["paper_id", "status", "ai_reviews"]
+
+
+def checked_papers(spark: SparkSession, path: str) -> DataFrame:
+    """file, record and violation of every file: broken ones, other types and missing fields are told, none is lost."""
+    return json_files(spark, path, " ".join(PAPER.split()), REQUIRED)
+
+
+def papers(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """The records of all files. Raises if a file is refused; without strict, refused files are left to `checked_papers`."""
+    rows = checked_papers(spark, path)
+    if strict:
+        refused(rows, "files", "file")
+    return rows.where("violation is null").select("record.*").drop("_corrupt_record")
 
 
 def ai_scores(df: DataFrame) -> DataFrame:
@@ -49,28 +64,38 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("__in", inside).join(F.broadcast(blocks), ["__f", "__b"]).select((F.col("__before") + F.col("__in")).alias("number"), "line")
 
 
-def manifest(spark: SparkSession, path: str, require_authors: bool = False) -> DataFrame:
-    """Manifest rows in file order with only the allowed columns; blank lines and a byte order mark are skipped. Raises if
-    it is empty, ids repeat, a given package id is not that of its place, a path is no .pdf, or authors are required and
-    missing; the checks are one aggregate."""
-    parsed = numbered_lines(spark, path).select("number", F.from_json("line", "paper_id string, pdf_path string, authors string, package_id string").alias("r")).select("number", "r.*")
+MANIFEST = "paper_id string, pdf_path string, authors string, package_id string"
+
+
+def checked_manifest(spark: SparkSession, path: str, require_authors: bool = False) -> DataFrame:
+    """number, package_id, paper_id, pdf_path, authors and violation of every line that is not blank: no JSON, no object, no
+    path, a path that is no .pdf, a package id that is not that of its place, authors that are no list of names (or no
+    `authors` at all, if they are required: an empty list says that there are none), an id that another line has too."""
+    lines = numbered_lines(spark, path)
+    record = parsed(F.col("line"), MANIFEST)
     package = F.format_string("paper_%03d", "number")
-    rows = parsed.withColumn("authors", author_list(F.col("authors")))
-    one = rows.agg(
-        F.count("*").alias("n"), F.count_distinct("paper_id").alias("ids"), F.count("paper_id").alias("named"), F.count_if(F.coalesce(F.size("authors"), F.lit(0)) < 1).alias("anonymous"),
-        F.count_if(F.col("package_id") != package).alias("misplaced"), F.count_if(~F.lower("pdf_path").endswith(".pdf")).alias("other"),
-    ).first()
-    if not one["n"]:
+    rows = lines.withColumn("r", record).select("number", package.alias("package_id"), F.col("r.package_id").alias("given"), F.coalesce("r.paper_id", package).alias("paper_id"), "r.pdf_path", author_list(F.col("r.authors")).alias("authors"), F.col("r.authors").alias("__authors"), fault(F.col("r"), F.col("line"), ["pdf_path"]).alias("__fault"), F.array_contains(F.json_object_keys("line"), "authors").alias("__has"), F.try_parse_json("line").alias("__v"))
+    kind = F.schema_of_variant(F.try_variant_get("__v", "$.authors", "variant"))
+    named = kind.isNull() | (kind == "STRING") | (kind == "ARRAY<STRING>") | (kind == "ARRAY<VOID>")
+    blank = (kind == "ARRAY<STRING>") & F.exists(F.from_json("__authors", "array<string>"), lambda a: F.coalesce(F.trim(a), F.lit("")) == "")
+    fault_of = (
+        F.when(F.col("__fault").isNotNull(), F.col("__fault")).when(~F.lower("pdf_path").endswith(".pdf"), "no .pdf").when(F.col("given") != F.col("package_id"), "package id is not that of its place")
+        .when(~named | F.coalesce(blank, F.lit(False)), "authors are no names").when(F.lit(require_authors) & ~F.coalesce("__has", F.lit(False)), "no authors")
+    )
+    rows = rows.withColumn("violation", fault_of).select("number", "package_id", "paper_id", "pdf_path", F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), "violation")
+    again = rows.where("violation is null").groupBy("paper_id").agg(F.count("*").alias("__n")).where("__n > 1")
+    rows = rows.join(again, "paper_id", "left").withColumn("violation", F.coalesce("violation", F.when(F.col("__n") > 1, "paper id repeats")))
+    return rows.select("number", "package_id", F.when(F.col("violation").isNull() | (F.col("violation") != "no JSON"), F.col("paper_id")).alias("paper_id"), "pdf_path", "authors", "violation")
+
+
+def manifest(spark: SparkSession, path: str, require_authors: bool = False) -> DataFrame:
+    """Manifest rows in file order with only the allowed columns; blank lines and a byte order mark are skipped. Raises if it
+    is empty or a line is refused (see `checked_manifest`)."""
+    rows = checked_manifest(spark, path, require_authors)
+    refused(rows, "lines", "number")
+    if not rows.take(1):
         raise ValueError("the manifest is empty")
-    if one["ids"] != one["named"]:
-        raise ValueError("paper ids repeat")
-    if one["misplaced"]:
-        raise ValueError(f"{one['misplaced']} package ids are not those of their places")
-    if one["other"]:
-        raise ValueError(f"{one['other']} paths are no .pdf")
-    if require_authors and one["anonymous"]:
-        raise ValueError(f"{one['anonymous']} rows have no authors")
-    return rows.select(package.alias("package_id"), F.coalesce("paper_id", package).alias("paper_id"), "pdf_path", "authors")
+    return rows.select("package_id", "paper_id", "pdf_path", "authors")
 
 
 def missing_files(rows: DataFrame, root: str, column: str = "pdf_path") -> DataFrame:

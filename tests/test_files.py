@@ -56,6 +56,7 @@ def test_packages_are_loaded(spark, package):
     assert inline["image_url"] == "data:image/png;base64," + base64.b64encode(image).decode()
     with pytest.raises(ValueError, match="unknown format"):
         packages.load_input(spark, str(root), "xml")
+    assert {r["folder"] for r in rows} == {"good", "wrong", "old"} and {r["detail"] for r in rows if r["type"] == "localImage"} == {"high"}
     sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(str(root)).select(*packages.png_size(F.col("content"))).distinct().collect()
     assert [tuple(r) for r in sizes] == [(30, 20)]
     assert packages.file_bytes(spark, str(root)).agg(F.sum("files")).first()[0] == 8
@@ -224,17 +225,55 @@ def test_ordinals_of_large_ids(spark):
     assert all(r["n"] == r["k"] - 2**53 for r in rows)
 
 
+def test_packages_fail_closed(spark, tmp_path):
+    """Each fault gives a row that says so; no package vanishes."""
+    image = png(3, 2)
+    index = {"schema": packages.SCHEMA_NAME, "package_id": "x", "text_records_path": "text.json", "sequence": [{"type": "text", "record": 0}, {"type": "image", "path": "a.png", "sha256": hashlib.sha256(image).hexdigest()}]}
+    without = lambda name: {k: v for k, v in index.items() if k != name}
+    cases = {
+        "whole": (json.dumps(index, indent=1), [{"text": "line one\nline two"}]), "no_index": (None, []), "broken": ("{oops", []), "twice": (json.dumps(index) + "{}", []), "no_schema": (json.dumps(without("schema")), []), "no_sequence": (json.dumps(without("sequence")), []),
+        "odd_sequence": (json.dumps(index | {"sequence": "text"}), []), "no_sum": (json.dumps(index | {"sequence": [{"type": "image", "path": "a.png"}]}), []), "no_type": (json.dumps(index | {"sequence": [{"record": 0}]}), [{"text": "t"}]), "nothing": (json.dumps(index | {"sequence": []}), []),
+    }
+    for name, (value, texts) in cases.items():
+        (tmp_path / "p" / name).mkdir(parents=True)
+        (tmp_path / "p" / name / "a.png").write_bytes(image)
+        (tmp_path / "p" / name / "text.json").write_text(json.dumps(texts, indent=1))
+        if value is not None:
+            (tmp_path / "p" / name / "index.json").write_text(value)
+    found = {}
+    for r in packages.load_input(spark, str(tmp_path / "p")).orderBy("folder", "item").collect():
+        found.setdefault(r["folder"], []).append((r["text"], r["violation"]))
+    want = {"no_index": "no index", "broken": "broken index", "twice": "broken index", "no_sequence": "no sequence", "odd_sequence": "broken index", "no_sum": "no checksum", "no_type": "unknown item", "nothing": ""}
+    assert {k: {v[1] for v in found[k]} for k in want} == {k: {v} for k, v in want.items()} and set(found) == set(cases)
+    assert {v for _, v in found["no_schema"]} == {"unsupported schema"}
+    assert found["whole"] == [("line one\nline two", ""), (None, "")]
+
+
+def test_canonical_json(spark):
+    texts = ['{"b":{"y":[1,2],"x":null},"a":1}', '{ "a":1, "b":{"x":null,"y":[1,2]} }', '{"a":"1","b":{"x":null,"y":[1,2]}}', '{"a":1.0,"b":{"x":null,"y":[1,2]}}', '{"a":true}', "{oops", "NaN", None, "[" * 100_000, '"é\\n"', '{"k":1,"k":2}']
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(packages.canonical("t")).collect()]
+    assert got[0] == got[1] == '{"a":1,"b":{"x":null,"y":[1,2]}}' and len({*got[:5]}) == 4
+    assert got[5:] == [None, None, None, None, '"é\\n"', '{"k":2}']
+
+
 def test_manifest_faults(spark, tmp_path):
     def write(*rows):
         (tmp_path / "m.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
         return str(tmp_path / "m.jsonl")
 
-    with pytest.raises(ValueError, match="places"):
+    with pytest.raises(ValueError, match="place"):
         papers.manifest(spark, write({"pdf_path": "a.pdf", "package_id": "paper_002"}))
     with pytest.raises(ValueError, match="pdf"):
         papers.manifest(spark, write({"pdf_path": "a.doc"}))
     with pytest.raises(ValueError, match="authors"):
-        papers.manifest(spark, write({"pdf_path": "a.pdf", "authors": ";"}), require_authors=True)
+        papers.manifest(spark, write({"pdf_path": "a.pdf"}), require_authors=True)
+    for none in ([], ";"):  # said to have none, which is an answer
+        assert papers.manifest(spark, write({"pdf_path": "a.pdf", "authors": none}), require_authors=True).first()["authors"] == []
+    with pytest.raises(ValueError, match="repeats"):
+        papers.manifest(spark, write({"pdf_path": "a.pdf"}, {"paper_id": "paper_001", "pdf_path": "b.pdf"}))
+    (tmp_path / "broken.jsonl").write_text('{"pdf_path": "a.pdf"}\n{oops not json\n[1]\n{"pdf_path": "a.pdf"}}\n{"paper_id": "x"}\n{"pdf_path": 3, "authors": [" "]}\n')
+    told = papers.checked_manifest(spark, str(tmp_path / "broken.jsonl")).orderBy("number").collect()
+    assert [r["violation"] for r in told] == [None, "no JSON", "no object", "no JSON", "no pdf_path", "no .pdf"]
     rows = papers.manifest(spark, write(*({"paper_id": f"p{i}", "pdf_path": f"{i}.pdf"} for i in range(300))))
     assert all(r["package_id"] == f"paper_{int(r['paper_id'][1:]) + 1:03d}" for r in rows.collect())
     (tmp_path / "pdf").mkdir()

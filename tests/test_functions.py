@@ -104,7 +104,7 @@ def test_manifest(spark, tmp_path):
     rows = papers.manifest(spark, str(good)).orderBy("package_id").collect()
     assert [(r["package_id"], r["paper_id"], r["authors"]) for r in rows] == [("paper_001", "a", ["X", "Y"]), ("paper_002", "b", ["Z W"])]
     bad = tmp_path / "d.jsonl"
-    bad.write_text('{"paper_id": "a"}\n{"paper_id": "a"}\n')
+    bad.write_text('{"paper_id": "a", "pdf_path": "a.pdf"}\n{"paper_id": "a", "pdf_path": "b.pdf"}\n')
     with pytest.raises(ValueError, match="repeat"):
         papers.manifest(spark, str(bad))
     (tmp_path / "e.jsonl").write_text("\n")
