@@ -292,13 +292,13 @@ def _slot(u: Column) -> Column:
     return F.when(u < 5000, F.floor(u / 50)).otherwise(100 + F.floor(F.log(F.greatest(u, F.lit(5000)) / 5000.0) * 250)).cast("bigint")
 
 
-def near_pairs(lines: DataFrame, items: DataFrame, ranges: int = RANGES) -> DataFrame:
+def near_pairs(lines: DataFrame, items: DataFrame, ranges: int | None = None) -> DataFrame:
     """Per row of items: item_id, n_pairs, gap_sum, lines_crc over all its pairs and `pairs`, the first TOP of them in order."""
     every, own = priced_lines(lines), bands(items)
     mapped_lines = reduced(every.withColumn("n", F.lit(1).cast("bigint")))
     best_lines = stored(reduced(mapped_lines.repartition("u")), "unit_prices")
     # written, so that both sides of the join by price are dealt out for it and a price of very many items can be split
-    sums = stored(price_totals(best_lines, own.where("p is not null").select("p").distinct(), ranges), "price_totals")
+    sums = stored(price_totals(best_lines, own.where("p is not null").select("p").distinct(), ranges or RANGES), "price_totals")
     slots = lambda low, high: F.explode(F.sequence(_slot(low), _slot(high)))
     near = own.where("p is not null").distinct().withColumn("__w", F.expr(_WIDTH)).withColumn("slot", slots(F.col("p") - F.col("__w"), F.col("p") + F.col("__w")))
     by_price = every.groupBy("item_id", "u").agg(F.count("*").alias("n"), F.sum("crc").alias("crc")).withColumn("slot", _slot(F.col("u")))

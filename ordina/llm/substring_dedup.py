@@ -203,7 +203,7 @@ def _parts(block: int, keys: np.ndarray, n: int, b: np.ndarray | None = None, c:
     """A row for each segment that a block's sorted keys touch."""
     of = _segments(keys, n)
     cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(of))
+    ends = np.append(cut[1:], len(of))[: len(cut)]
     cols = [[None if x is None else x[i:j].tobytes() for i, j in zip(cut, ends, strict=True)] for x in (keys, b, c, flag)]
     if len(cut):
         yield pa.RecordBatch.from_arrays([pa.array(of[cut].astype(np.int32)), pa.array(np.full(len(cut), block)), *(pa.array(x, pa.binary()) for x in cols)], names=["segment", "block", "a", "b", "c", "flag"])
@@ -224,7 +224,7 @@ def _returned(blocks: np.ndarray, keys: np.ndarray, b: np.ndarray | None = None,
     order = np.lexsort((keys, blocks))
     blocks = blocks[order]
     cut = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(blocks))
+    ends = np.append(cut[1:], len(blocks))[: len(cut)]
     cols = [[None if x is None else x[order[i:j]].tobytes() for i, j in zip(cut, ends, strict=True)] for x in (keys, b, c)]
     return pa.table([pa.array(blocks[cut]), *(pa.array(x, pa.binary()) for x in cols)], schema=_BACK_ARROW)
 
