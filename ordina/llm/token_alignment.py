@@ -35,7 +35,7 @@ from .common import by_texts, mapped, stored, table, to_arrow
 VOCABULARIES = "/opt/tokenizers"
 BLOCK_BYTES = 8 << 20
 #: A task's memory of chunks is dropped with the block in which it exceeds this many chunks or pairs, or bytes of groups.
-MOST_CHUNKS, MOST_PAIRS, MOST_TEXT = 150_000, 1_500_000, 64 << 20
+MOST_CHUNKS, MOST_PAIRS, MOST_TEXT = 300_000, 1_500_000, 64 << 20
 #: Longer chunks are not remembered.
 LONG_CHUNK = 256
 _SPACE_SIGN = "▁".encode()
