@@ -1,4 +1,4 @@
 """Imports the modules that register queries."""
 
 from .operators import contracts, events, fusion, geometry, layout, packages, panel, redaction, relational, review, scans, sequences, text  # noqa: F401
-from .streaming import sessions  # noqa: F401
+from .streaming import reviews, sessions  # noqa: F401

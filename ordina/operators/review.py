@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json_schema import schema_violations
 from ..registry import query
 from ..sources.tables import table
 
@@ -47,40 +48,60 @@ def cleaned(message: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(message, r"(?i)(bearer\s+)\S+", "$1[REDACTED]"), r"sk-[A-Za-z0-9_-]+", "[REDACTED]"), 1, 2000)
 
 
-def folded(events: DataFrame, sent: Column | None = None) -> DataFrame:
-    """One row a session of (session, seq, id, method, params, will_retry): counts of everything, violations (distinct keys),
-    errors, warnings, the last usage, final answer, turn status and echo, and the status that follows. `sent` is
-    the echo (an ordered text of types and digests) that the session must show; without it any echo will do.
-
-    A session with violations is quarantined whatever else it says; it is completed if its turn completed, without errors,
-    with a final answer and the right echo; else it failed."""
-    p, method = F.col("params"), F.col("method")
+def classified(events: DataFrame) -> DataFrame:
+    """What each event of (session, seq, id, method, params, will_retry) adds to its session: keys of violating items, errors,
+    warning, not_json, kept, and new values of usage, final, turn_status and echo (null: none)."""
+    method = F.col("method")
     c = lambda path: F.col(f"params.{path}")
     request = F.col("id").isNotNull() & (method != "") & (method != NOT_JSON)
     is_item = method.isin("item/started", "item/completed")
     words = [F.lower(method).contains(w) for w in TOOL_WORDS]
     nested = method.startswith("item/") & ~is_item & F.greatest(*words)
     tool_item = is_item & ~F.coalesce(c("item.type").isin(*NO_TOOL_ITEMS), F.lit(False))
-    keys = F.array_compact(F.array(
-        F.when(request, F.coalesce(c("itemId"), F.concat(F.lit("server-request-"), "id"))), F.when(nested, F.coalesce(c("itemId"), F.concat(F.lit("tool-event-"), method))),
-        F.when(tool_item, F.coalesce(c("item.id"), F.concat(F.lit("unknown-"), F.col("seq").cast("string")))),
-    ))
+    keys = F.array_distinct(F.array_compact(F.array(
+        F.when(request, F.coalesce(c("itemId"), F.concat(F.lit("request:"), "id"))), F.when(nested, F.coalesce(c("itemId"), F.concat(F.lit("tool:"), method))),
+        F.when(tool_item, F.coalesce(c("item.id"), F.concat(F.lit("item:"), F.col("seq").cast("string")))),
+    )))
     turn_error = (method == "turn/completed") & c("turn.error").isNotNull()
     trouble = method.isin("error", "model/rerouted", "model/verification")
     retried = (method == "error") & F.col("will_retry")
     final = (method == "item/completed") & (c("item.type") == "agentMessage") & (c("item.phase").isNull() | (c("item.phase") == "final_answer"))
     echo = is_item & (c("item.type") == "userMessage")
     shown = F.array_join(F.transform(F.coalesce(c("item.content"), F.array().cast(_CONTENT)), lambda i: F.concat_ws(":", i["type"], F.length(i["text"]).cast("string"), F.sha2(i["text"], 256))), ",")
-    last = lambda when, value: F.max_by(F.when(when, value), F.when(when, F.col("seq")))
-    rows = events.withColumns({"__keys": keys, "__p": p})
-    out = rows.groupBy("session").agg(
-        F.count("*").alias("events"), F.count_if(method.isin(*SAFE_EVENTS)).alias("kept"), F.size(F.array_distinct(F.flatten(F.collect_set("__keys")))).cast("bigint").alias("violations"),
-        F.sum((request.cast("bigint") + turn_error.cast("bigint") + (trouble & ~retried).cast("bigint"))).alias("errors"), F.count_if(retried).alias("warnings"), F.count_if(method == NOT_JSON).alias("not_json"),
-        last(method == "thread/tokenUsage/updated", c("tokenUsage.total")).alias("usage"), last(final, F.coalesce(c("item.text"), F.lit(""))).alias("final"), last(method == "turn/completed", c("turn.status")).alias("turn_status"), last(echo, shown).alias("echo"),
-    )
-    verified = F.col("echo").isNotNull() if sent is None else F.col("echo").eqNullSafe(sent)
-    done = (F.col("turn_status") == "completed") & (F.col("errors") == 0) & (F.coalesce("final", F.lit("")) != "") & verified
-    return out.withColumn("status", F.when(F.col("violations") > 0, "quarantined").when(done, "completed").otherwise("failed"))
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    return events.withColumns({
+        "keys": keys, "error": sure(request).cast("bigint") + sure(turn_error).cast("bigint") + sure(trouble & ~retried).cast("bigint"), "warning": sure(retried), "not_json": method == NOT_JSON, "kept": method.isin(*SAFE_EVENTS),
+        "usage": F.when(method == "thread/tokenUsage/updated", c("tokenUsage.total")), "final": F.when(final, F.coalesce(c("item.text"), F.lit(""))), "turn_status": F.when(method == "turn/completed", c("turn.status")), "echo": F.when(echo, shown),
+    })
+
+
+LAST = ("usage", "final", "turn_status", "echo")
+
+
+def outcome(violations: Column, errors: Column, final: Column, turn_status: Column, echo: Column, sent: Column | None = None, valid: Column | None = None) -> Column:
+    """A session with violations is quarantined whatever else it says; it is completed if its turn completed, without errors,
+    with a final answer (a valid one, if that is asked) and the right echo; else it failed."""
+    verified = echo.isNotNull() if sent is None else echo.eqNullSafe(sent)
+    done = turn_status.eqNullSafe("completed") & (errors == 0) & (F.coalesce(final, F.lit("")) != "") & verified & (F.lit(True) if valid is None else F.coalesce(valid, F.lit(False)))
+    return F.when(violations > 0, "quarantined").when(done, "completed").otherwise("failed")
+
+
+def valid_answer(final: Column, schema: dict) -> Column:
+    """Whether the final answer is JSON that the schema admits."""
+    return F.coalesce(F.size(schema_violations(F.coalesce(final, F.lit("")), schema)) == 0, F.lit(False))
+
+
+def folded(events: DataFrame, sent: Column | None = None, schema: dict | None = None) -> DataFrame:
+    """One row a session: counts of everything, violations (distinct keys, counted without being gathered), errors, warnings,
+    the last usage, final answer, turn status and echo, and the status that follows (`outcome`). `sent` is the echo (an ordered text
+    of types and digests) that the session must show, schema what its answer must be; without them any will do."""
+    rows = classified(events)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in LAST]
+    out = rows.groupBy("session").agg(F.count("*").alias("events"), F.count_if("kept").alias("kept"), F.sum("error").alias("errors"), F.count_if("warning").alias("warnings"), F.count_if("not_json").alias("not_json"), *last)
+    bad = rows.where(F.size("keys") > 0).select("session", F.explode("keys").alias("key")).groupBy("session").agg(F.count_distinct("key").alias("violations"))
+    out = out.join(bad, "session", "left").withColumn("violations", F.coalesce("violations", F.lit(0)).cast("bigint"))
+    status = outcome(F.col("violations"), F.col("errors"), F.col("final"), F.col("turn_status"), F.col("echo"), sent, None if schema is None else valid_answer(F.col("final"), schema))
+    return out.withColumn("status", status).select("session", "events", "kept", "violations", "errors", "warnings", "not_json", *LAST, "status")
 
 
 # Events of users as such a log: each kind of event stands for a method, and some lines are no JSON.
