@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ranking import average_ranks
 from ..registry import query
-from ..sources.tables import PANEL_SQL, panel, units
+from ..sources.tables import PANEL_SQL, panel, stored, units
 
 #: Rates on fewer independent units than this are flagged.
 LOW_SUPPORT = 30
@@ -293,3 +293,44 @@ def balanced(u: DataFrame, strata: list[str], key: str, size: int, seeds: tuple[
             best = gap, sample
             break
     return best[1].select("seed", *u.columns)
+
+
+def bootstrap_ranked(u: DataFrame, key: str, draws: int = _DRAWS) -> DataFrame:
+    """Spearman's correlation v of x and y in each resample b of the units, ranked anew in it. Counts of
+    units in draws are those of `bootstrap`; units of one x and y meet before ranks are taken. The rank of a value in a draw is
+    the weight below it plus half of its own: sums inside of ranges of values, shifted by the ranges before (one row a range and draw)."""
+    cells = u.select(F.col(key).alias("paper_id"), "x", "y").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint")))).withColumn("w", F.expr(_WEIGHT)).where("w > 0")
+    cells = cells.groupBy("b", "x", "y").agg(F.sum("w").alias("w"))
+    for c in ("x", "y"):
+        values = u.agg(F.percentile_approx(F.col(c).cast("double"), [i / 16 for i in range(1, 16)], 10_000).alias("c")).first()["c"] or []
+        below = F.array(*[F.lit(v) for v in sorted(set(values))]).cast("array<double>")
+        cells = cells.withColumn("__r", F.size(F.filter(below, _under(c))))
+        sizes = cells.groupBy("b", "__r").agg(F.sum("w").alias("__n"))
+        before = Window.partitionBy("b").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select("b", "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        upto = F.sum("w").over(Window.partitionBy("b", "__r").orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        own = F.sum("w").over(Window.partitionBy("b", "__r", c))
+        cells = cells.withColumns({"__upto": upto, "__own": own}).join(offsets, ["b", "__r"])
+        cells = cells.withColumn(f"r{c}", F.col("__before") + F.col("__upto") - F.col("__own") + (F.col("__own") + 1) / 2).drop("__r", "__upto", "__own", "__before")
+    moments = _MOMENTS.replace("* x", "* rx").replace("* y", "* ry")
+    return cells.groupBy("b").agg(*[F.expr(m.strip().rpartition(" AS ")[0]).alias(m.strip().rpartition(" AS ")[2]) for m in moments.split(", ")]).select("b", F.expr(_CORR).alias("v"))
+
+
+def _under(name: str):
+    return lambda v: v < F.col(name).cast("double")
+
+
+_RANKED = "sum(w) OVER (PARTITION BY b ORDER BY {0}) - sum(w) OVER (PARTITION BY b, {0}) + (sum(w) OVER (PARTITION BY b, {0}) + 1) / 2.0::DOUBLE"
+
+
+@query(
+    "bootstrap_spearman_ranked",
+    f"""WITH {PANEL_SQL}, d AS (SELECT b.range AS b, u.* FROM range({_DRAWS}) b, (SELECT paper_id, ai_mean AS vx, human_mean AS vy FROM units) u), k AS (SELECT * FROM (SELECT *, {_WEIGHT} AS w FROM d) WHERE w > 0),
+ r AS (SELECT b, w, {_RANKED.format("vx")} AS x, {_RANKED.format("vy")} AS y FROM k), m AS (SELECT b, {_MOMENTS} FROM r GROUP BY b)
+ SELECT 'spearman' AS statistic, count(*) AS draws, round(quantile_cont({_CORR}, 0.025), 6) AS low, round(quantile_cont({_CORR}, 0.975), 6) AS high FROM m""",
+)
+def bootstrap_spearman_ranked(spark, d):
+    """The interval of Spearman's correlation with ranks taken anew in each draw."""
+    u = stored(units(spark, d).select("paper_id", F.col("ai_mean").alias("x"), F.col("human_mean").alias("y")), "panel_means")
+    low, high = (rnd(F.percentile("v", F.lit(q))) for q in (0.025, 0.975))
+    return bootstrap_ranked(u, "paper_id").agg(F.lit("spearman").alias("statistic"), F.count("*").alias("draws"), low.alias("low"), high.alias("high")).select("statistic", "draws", "low", "high")

@@ -47,7 +47,7 @@ class SessionFold(StatefulProcessor):
         self.value = handle.getValueState("fold", _STATE)
         self.bad = handle.getMapState("violations", T.StructType([T.StructField("key", T.StringType())]), T.StructType([T.StructField("seq", T.LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         names = [f.name for f in _STATE]
         held = self.value.get()
         now = dict(zip(names, held, strict=True)) if held is not None else dict.fromkeys(names)
@@ -74,12 +74,12 @@ class SessionFold(StatefulProcessor):
             wrong |= bool((shown["echo"] != shown["sent"]).any())
             began = int(part["ms"].min()) if began is None else min(began, int(part["ms"].min()))
         if fresh and self.deadline_ms is not None:
-            now["deadline"] = max(began + self.deadline_ms, timers.getCurrentWatermarkInMs() + 1)
+            now["deadline"] = max(began + self.deadline_ms, timerValues.getCurrentWatermarkInMs() + 1)
             self.handle.registerTimer(now["deadline"])
         self.value.update(tuple(now[n] for n in names))
         yield self._row(key, now, wrong or now["violations"] > 0, False)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = dict(zip([f.name for f in _STATE], self.value.get(), strict=True))
         self.value.clear()
         self.bad.clear()
