@@ -43,7 +43,7 @@ STOP_WORDS = frozenset(
 )
 # Elements (fixed values).
 _RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-# no text of the article in them; those of the first row end where a block begins
+# no text of the article in them; those of the first row end with their end tag, or where a block begins if they have none near
 _CLOSED_BY_BLOCK = frozenset("svg select button datalist".split())
 _SILENT = _CLOSED_BY_BLOCK | frozenset("noscript template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +51,12 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
 _CONTAINERS = frozenset("body div section article main aside nav header footer form td th table ul ol dl blockquote fieldset details dialog figure".split())
 _BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset head".split())
 _GOOD_TAGS = frozenset(("article", "main"))
+# Words that are also subjects: as the first part of a name they tell boilerplate only before a word for a part of a page.
+_SUBJECTS = frozenset("ad ads adv menu menus notice notices cookie cookies consent search share sharing copyright comment comments reply replies respond login header footer banner promotion subscribe navigation".split())
+_PARTS = frozenset("area bar block bottom box button buttons container content count field form holder icon icons input inner item items label left links list menu module outer panel right row section slot tools top unit widget wrap wrapper".split())
+#: How far the end of an element without text is looked for.
+NEAR = 1 << 16
+_HOLDS_ARTICLE = re.compile(r"<(?:article|main|h1)[\s>/]|role\s*=\s*[\"']?(?:main|article)|articlebody", re.I)
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 # First or last parts of class and id names (fixed values): always boilerplate; boilerplate outside of marks; marks if last.
 _BAD_NAMES = frozenset(
@@ -95,7 +101,8 @@ def zone_of(tag: str, attributes: str, inside: int) -> int:
         elif name in ("class", "id") and tag not in ("html", "body"):
             for token in value.split():
                 parts = [p for p in re.split(r"[-_]+", token) if p]
-                ends = {parts[0], parts[-1]} if parts else set()
+                subject = len(parts) > 1 and parts[0] in _SUBJECTS and not any(p in _PARTS or p.isdigit() for p in parts[1:]) or parts[-1:] == ["copyright"] and tag[0] == "h" and tag[1:].isdigit()
+                ends = {parts[-1] if subject and len(parts) > 1 else "" if subject else parts[0], parts[-1] if not subject or len(parts) > 1 else ""} if parts else set()
                 good = bool(parts) and any(p in _GOOD_NAMES for p in parts)
                 if tag not in _GOOD_TAGS and parts and parts[0] not in _WITH and not (good and parts[-1] == "header"):
                     if ends & _BAD_NAMES or (inside < 1 and ends & _WEAK_BAD_NAMES):
@@ -112,7 +119,17 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int, int]] = []  # element, its zone, its region
     opened: dict[str, int] = {}
     parts: list[str] = []
-    state = {"links": 0, "regions": 0, "breaks": 0, "heading": False, "silent": 0}
+    state = {"links": 0, "regions": 0, "breaks": 0, "heading": False, "silent": 0, "ends": False}
+    ends_at: dict[str, tuple[int, int]] = {}  # of each element: how far its end tag was looked for, and where it is (-1: not there)
+
+    def end_of(name: str, start: int, most: int) -> int:
+        """Where the element's next end tag is, -1 if there is none up to `most`; every part of the page is searched once."""
+        to, found = ends_at.get(name, (start, -1))
+        if found < start and to < most:
+            m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, max(start, to - len(name) - 3), most)
+            to, found = (m.end(), m.start()) if m else (most, -1)
+            ends_at[name] = to, found
+        return found if start <= found < most else -1
 
     def here() -> tuple[int, int]:
         return (stack[-1][1], stack[-1][2]) if stack else (0, 0)
@@ -200,7 +217,7 @@ def blocks(page: str) -> list[Block]:
             if state["breaks"] > 1:
                 flush()
             continue
-        if tag in _BLOCK and state["silent"] and stack[state["silent"] - 1][0] in _CLOSED_BY_BLOCK:
+        if tag in _BLOCK and state["silent"] and not state["ends"] and stack[state["silent"] - 1][0] in _CLOSED_BY_BLOCK:
             cut(state["silent"] - 1)
         if tag in _BLOCK and not state["silent"]:
             flush()
@@ -212,6 +229,8 @@ def blocks(page: str) -> list[Block]:
             continue
         zone, region = here()
         own = zone_of(tag, attributes, zone)
+        if tag == "form" and own == -1 and (close := end_of(tag, at, n)) >= 0 and _HOLDS_ARTICLE.search(page, at, close):
+            own = 0  # it stands around the article
         silent = tag in _SILENT or (own == -1 and tag not in _BLOCK)
         if tag in _BLOCK and zone != -1 and own and own != zone and (own == -1 or own > zone):
             state["regions"] += 1
@@ -220,6 +239,7 @@ def blocks(page: str) -> list[Block]:
         opened[tag] = opened.get(tag, 0) + 1
         if silent and not state["silent"]:
             state["silent"] = len(stack)  # text is dropped until this element ends
+            state["ends"] = tag in _CLOSED_BY_BLOCK and end_of(tag, at, min(n, at + NEAR)) >= 0
     flush()
     return out
 
