@@ -99,29 +99,34 @@ def align(template: np.ndarray, words: np.ndarray, first: int, diagonal: int, ba
     leaving it by `band` words at most: matched words, and the first and last matched document word
     (relative to `first`, the document position of words[0])."""
     m, width = len(template), 2 * band + 1
-    # score, matches and start for each cell of the previous template row; column c is document word i + diagonal - band + c
-    score, match, start = np.zeros(width + 1, int), np.zeros(width + 1, int), np.full(width + 1, -1)
-    best = (0, 0, 0, 0)
+    # a cell's score, matches and start in one number (in this order), for the previous template row; column c is document word
+    # i + diagonal - band + c. A row is a handful of array operations: a word that the template lacks is a running maximum.
+    cells = np.zeros(width + 1, np.int64)
+    steps = np.arange(width) * _SCORE
+    best, end = 0, 0
     for i in range(m):
-        new_score, new_match, new_start = np.zeros(width + 1, int), np.zeros(width + 1, int), np.full(width + 1, -1)
         low = i + diagonal - band - first
-        for c in range(max(0, -low), min(width, len(words) - low)):
-            j = low + c
-            same = template[i] == words[j]
-            if score[c] > 0:
-                options = [(score[c] + (2 if same else -1), match[c] + same, start[c])]
-            else:
-                options = [(2, 1, j)] if same else []
-            if score[c + 1] > 1:  # a template word that the document lacks
-                options.append((score[c + 1] - 1, match[c + 1], start[c + 1]))
-            if c and new_score[c - 1] > 1:  # a document word that the template lacks
-                options.append((new_score[c - 1] - 1, new_match[c - 1], new_start[c - 1]))
-            if options and (top := max(options))[0] > 0:
-                new_score[c], new_match[c], new_start[c] = top
-                if same and top[0] > best[0]:
-                    best = (int(top[0]), int(top[1]), int(top[2]), j)
-        score, match, start = new_score, new_match, new_start
-    return best[1], best[2], best[3]
+        a, b = max(0, -low), min(width, len(words) - low)
+        new = np.zeros(width + 1, np.int64)
+        if a < b:
+            same = words[low + a : low + b] == template[i]
+            along, above = cells[a:b], cells[a + 1 : b + 1]
+            begun = np.where(same, 2 * _SCORE + _MATCH + np.arange(low + a, low + b), 0)
+            row = np.where(along >= _SCORE, along + np.where(same, 2 * _SCORE + _MATCH, -_SCORE), begun)
+            row = np.maximum(row, np.where(above >= 2 * _SCORE, above - _SCORE, 0))
+            row = np.maximum.accumulate(row + steps[: b - a]) - steps[: b - a]
+            row[row < _SCORE] = 0
+            new[a:b] = row
+            if same.any():
+                scores = np.where(same, row >> 42, 0)
+                c = int(scores.argmax())
+                if scores[c] > best >> 42:
+                    best, end = int(row[c]), low + a + c
+        cells = new
+    return best >> 21 & 0x1FFFFF, best & 0x1FFFFF, end
+
+
+_SCORE, _MATCH = 1 << 42, 1 << 21
 
 
 class Index:
@@ -180,6 +185,9 @@ class Index:
         band = max(BAND, m // 10)
         need = COVERAGE_SHORT if m < LONG else COVERAGE
         hits = sorted(hits, key=lambda h: (h[1], h[0]))
+        known, counts = np.unique(template, return_counts=True)
+        code = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        code = np.where(known[code] == words, code, len(known))  # which of the template's words each word is
         work = [(hits, 0, 0, len(words))]
         while work:
             own, begin, low, high = work.pop()
@@ -190,7 +198,9 @@ class Index:
                 if p < low or p + GRAM > high or any(abs(diagonal - d) <= band // 2 for d, _ in failed):
                     continue
                 first, last = max(low, diagonal - band), min(high, diagonal + m + band)
-                matched, start, end = align(template, words[first:last], first, diagonal, band)
+                # no alignment matches a word more often than both sides have it
+                most = np.minimum(np.bincount(code[first:last], minlength=len(known) + 1)[:-1], counts).sum()
+                matched, start, end = align(template, words[first:last], first, diagonal, band) if most >= need * m else (0, 0, 0)
                 start, end = first + start, first + end
                 if matched >= need * m and self._has_required(name, words[start : end + 1]):
                     yield name, round(matched / m, 6), matched, start, end

@@ -18,7 +18,7 @@ from ordina.llm.common import Taken
 MB = 5 << 20
 LONG = {
     "digits": "1" * MB, "dots": "1." * (MB // 2), "zeros": "1." + "0" * MB + "1.2.3", "spaces": " " * MB + "x", "lines": "\n " * (MB // 2), "word": "a" * MB, "capitals": "AKIA" + "Z" * MB,
-    "at": "@" * MB, "mails": "a@b.c " * (MB // 6), "secret": "password=" + "ab1" * (MB // 3), "guess": "pwd: " + "qz7!" * (MB // 4), "plus": "+1 " * (MB // 3),
+    "at": "@" * MB, "mails": "a@b.c " * (MB // 6), "secret": "password=" + "ab1" * (MB // 3), "guess": "pwd: " + "qz7!" * (MB // 4), "plus": "+1 " * (MB // 3), "license": "this software is provided as is without " * (MB // 40),
 }
 
 
