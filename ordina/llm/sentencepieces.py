@@ -294,14 +294,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str =
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: list[str], ids: str = "ids") -> DataFrame:
-    """The `keep` columns with the text of the ids (null for null ids); ids outside the vocabulary add nothing."""
+    """The `keep` columns with the text of the ids (null for null ids); ids that are null or outside the vocabulary add nothing.
+    A kept column called text comes out as text_in."""
     pieces = vocabulary.raw
 
     @F.pandas_udf("string")
     def text(values: pd.Series) -> pd.Series:
-        return values.map(lambda own: None if own is None else b"".join(pieces[i] for i in own if 0 <= i < len(pieces))[1:].decode("utf-8", "replace"))
+        return pd.Series([None if own is None else b"".join(pieces[int(i)] for i in own if i is not None and 0 <= i < len(pieces))[1:].decode("utf-8", "replace") for own in values], dtype=object)
 
-    return encoded.select(*keep, text(F.col(ids)).alias("text"))
+    return encoded.select(*[F.col(f"`{c}`").alias("text_in" if c == "text" else c) for c in keep], text(F.col(ids)).alias("text"))
 
 
 def op9_sentencepieces(spark, sf_dir: str) -> DataFrame:
