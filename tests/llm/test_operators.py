@@ -308,12 +308,36 @@ def test_benchmarks_in_parts_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(r.choice([*v, "zz"]) for _ in range(r.choice([0, 30, 200])))) for i in range(40)], "doc_id bigint, text string").withColumn("items", F.lit("clash"))
     whole = decontamination.load(items)
     want = sorted(map(tuple, decontamination.matches(docs, whole, ["doc_id", "items"]).collect()))
-    clean = decontamination.decontaminate(docs, whole, 0.9)
+    clean = sorted(map(tuple, decontamination.decontaminate(docs, whole, 0.4).collect()))
+    assert 10 < len(clean) < 40 and any(t not in {d.text for d in docs.collect()} for _, t, _ in clean)
     monkeypatch.setattr(decontamination, "MAX_PART_WORDS", 60)
+    for size in (64, 2):  # all parts in one sieve, and in several
+        monkeypatch.setattr(decontamination, "SIEVE_PARTS", size)
+        parts = decontamination.load(items)
+        assert parts.parts > 3 and sorted(map(tuple, decontamination.matches(docs, parts, ["doc_id", "items"]).collect())) == want
+        out = decontamination.decontaminate(docs, parts, 0.4)
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == clean
+    assert decontamination.matches(out, whole, ["doc_id"]).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_parts_without_hits_nulls_and_empty_tables(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"one two three item{i}") for i in range(9)] + [(None, "one two"), (10, None), (11, "")], "item_id bigint, text string")
+    monkeypatch.setattr(decontamination, "MAX_PART_WORDS", 8)
     parts = decontamination.load(items)
-    assert parts.parts > 3 and sorted(map(tuple, decontamination.matches(docs, parts, ["doc_id", "items"]).collect())) == want
-    for out in (clean, decontamination.decontaminate(docs, parts, 0.9)):
-        assert out.columns == docs.columns and decontamination.matches(out, whole, ["doc_id"]).agg(F.sum("n_hit")).first()[0] == 0
+    docs = spark.createDataFrame([(1, None, 0), (1, "", 0), (2, "one two three", 13), (None, "A one two. Three item4 b", 24)], "doc_id bigint, text string, n_chars int")
+    assert parts.parts > 2
+    assert sorted(map(str, decontamination.matches(docs, parts, ["doc_id", "text"]).select("doc_id", "n_words", "n_hit", "items").collect())) == sorted(map(str, decontamination.matches(docs, decontamination.Items(items.where("item_id = 4")), ["doc_id"]).collect()))
+    for keep in (docs.where("text is null"), docs.where("doc_id = 2"), docs.limit(0)):
+        assert sorted(map(str, decontamination.decontaminate(keep, parts).collect())) == sorted(map(str, keep.collect()))
+    assert [tuple(r) for r in decontamination.decontaminate(docs.where("doc_id is null"), parts, 0.9).collect()] == [(None, "A  b", 4)]
+
+
+def test_the_sieve_misses_nothing():
+    r = np.random.default_rng(4)
+    own = r.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    bits = decontamination.Bits(len(own))
+    bits.add(own)
+    assert len(bits.find(own)) == len(own) and len(bits.find(r.integers(0, 1 << 63, 100_000).astype(np.uint64))) < 200
 
 
 def test_cutting_goes_on_until_nothing_is_hit():
