@@ -52,14 +52,16 @@ SAMPLES, ROWS = 48, 3
 #: Total weight from which a text's shingles are spread over bins; up to 1 / SIMILAR of it they also take all samples.
 HEAVY = 384.0
 _CELL_BITS, _SEGMENT_BITS = 22, 16
+#: A segment's counts of all tasks are first summed in so many groups.
+_BRANCHES = 256
 #: Members of a band key, and bytes of their vectors, in one of its blocks at most. A smaller key is dealt to SPREAD blocks
 #: too, unless they would have fewer than LEAST_BLOCK members.
 BLOCK, BLOCK_BYTES = 4096, 32 << 20
 LEAST_BLOCK, SPREAD = 512, 6
 #: Elements whose columns are in memory at once, and vertices outside the largest component.
 _COLUMNS, _ROWS = 1024, 256
-#: Ids of at most so many documents are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Rows of at most so many bytes are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _U = np.uint64
 
@@ -129,17 +131,27 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> Weights:
                 packed = own.astype(np.uint8) if own.max() < 256 else own
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([packed.itemsize], pa.int32()), pa.array([zlib.compress(packed.tobytes(), 1)], pa.binary())], names=["segment", "width", "counts"])
 
-    def total(batches):
+    def summed(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, width, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = np.frombuffer(zlib.decompress(raw), np.uint8 if width == 1 else np.uint32)
+                own = np.frombuffer(zlib.decompress(raw), f"u{width}")
                 sums[s] = sums.get(s, np.zeros(segment, np.int64)) + own
-        for s, own in sums.items():
+        return sums
+
+    def subtotal(batches):
+        for s, own in summed(batches).items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([8], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["segment", "width", "counts"])
+
+    def total(batches):
+        for s, own in summed(batches).items():
             if (own > limit).any():
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(own > limit).tobytes()], pa.binary())], names=["segment", "bits"])
 
-    parts = mapped(mapped(only, fill, "segment int, width int, counts binary").repartition(16, "segment"), total, "segment int, bits binary").toArrow()
+    # a tree: the tables of all tasks are summed by segment and some tasks at a time, then by segment
+    kinds = "segment int, width int, counts binary"
+    counted = mapped(only, fill, kinds).withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(_BRANCHES)))
+    parts = mapped(mapped(counted.repartition("segment", "branch"), subtotal, kinds).repartition("segment"), total, "segment int, bits binary").toArrow()
     maybe = np.zeros(cells, bool)  # one bit for each cell reaches the driver, whatever the corpus
     for s, bits in zip(parts["segment"].to_pylist(), parts["bits"].to_pylist(), strict=True):
         maybe[s * segment : (s + 1) * segment] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
@@ -426,10 +438,12 @@ def _links(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def _with(rows: DataFrame, few: DataFrame, how: str, *keys: str) -> DataFrame:
-    """rows joined with others on keys (nulls are equal); others that are few (they are counted) are broadcast, else shuffled."""
+    """rows joined with others on keys (nulls are equal); others that are few are broadcast, else shuffled. Their bytes
+    are known from their number: all columns have a fixed width, or are digests (32 characters)."""
     own = few.toDF(*[f"__few_{c}" if c in keys else c for c in few.columns])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__few_{k}")) for k in keys])
-    return rows.join(F.broadcast(own) if own.count() <= BROADCAST_IDS else own, on, how).drop(*[f"__few_{k}" for k in keys])
+    width = sum(64 if f.dataType.simpleString() == "string" else 8 for f in own.schema.fields)
+    return rows.join(F.broadcast(own) if own.count() * width <= BROADCAST_BYTES else own, on, how).drop(*[f"__few_{k}" for k in keys])
 
 
 class Graph:
