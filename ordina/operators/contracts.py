@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.casing import upper
 from ..functions.json_schema import schema_violations
 from ..registry import query
 from ..sources.tables import SEQUENCE_SQL, sequence, table
@@ -91,7 +92,7 @@ def signature(df: DataFrame, key: str, position: str, parts: list[Column]) -> Da
 def input_freeze(spark, d):
     """The signature of a later round must equal that of the first."""
     items = sequence(spark, d)
-    later = F.when((F.col("conv_id") % 10 == 0) & (F.col("turn") == 1), F.upper("text")).otherwise(F.col("text"))
+    later = F.when((F.col("conv_id") % 10 == 0) & (F.col("turn") == 1), upper(F.col("text"))).otherwise(F.col("text"))
     a = signature(items, "conv_id", "turn", [F.col("type"), F.col("text")])
     b = signature(items, "conv_id", "turn", [F.col("type"), later]).withColumnRenamed("signature", "later")
     return a.join(b, "conv_id").select("conv_id", (F.col("signature") == F.col("later")).alias("frozen"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.casing import upper
 from ..registry import query
 from ..sources.tables import BOXES_SQL, LINES_SQL, REGIONS_SQL, SEQUENCE_SQL, boxes, lines, regions, sequence, table
 
@@ -328,7 +329,7 @@ def section_mask_fold(spark, d):
     n, line = F.col("line_id"), F.col("line")
     shown = F.when(n % 11 == 3, "ACKNOWLEDGEMENTS").when(n % 5 == 4, F.concat(F.lit("HEADING "), n.cast("string"))).when(n % 13 == 6, "42").otherwise(line)
     rows = lines(spark, d).withColumn("line", shown)
-    heading = (F.length("line") < 110) & (F.upper("line") == F.col("line")) & (F.length(F.regexp_replace("line", "[^A-Za-z]", "")) > 3)
+    heading = (F.length("line") < 110) & (upper(F.col("line")) == F.col("line")) & (F.length(F.regexp_replace("line", "[^A-Za-z]", "")) > 3)
     out = in_sections(rows, "doc_id", "line_id", F.col("line") == "ACKNOWLEDGEMENTS", heading, F.col("line").rlike("^[0-9]+$"))
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("masked").alias("masked"), F.count_if("heading").alias("headings"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.casing import upper
 from ..registry import query
 from ..sources.tables import LINES_SQL, lines, table
 from .sequences import escaped, escaped_sql
@@ -127,7 +128,7 @@ def heading(line: Column, bold: Column) -> Column:
     """Short lines with more than three Latin letters that are bold, or all upper case and no formula."""
     t = F.btrim(line, F.lit(" \t\r"))
     letters = F.length(F.regexp_replace(t, "[^A-Za-z]", "")) > 3
-    return (F.length(t) < 110) & letters & (bold | ((F.upper(t) == t) & ~t.rlike("[=∈∑]")))
+    return (F.length(t) < 110) & letters & (bold | ((upper(t) == t) & ~t.rlike("[=∈∑]")))
 
 
 @query(
@@ -137,7 +138,7 @@ def heading(line: Column, bold: Column) -> Column:
 )
 def heading_lines(spark, d):
     n, line = F.col("line_id"), F.col("line")
-    shown = F.when(n % 5 == 1, F.upper(line)).when(n % 5 == 2, F.concat(F.upper(line), F.lit(" = 1"))).otherwise(line)
+    shown = F.when(n % 5 == 1, upper(line)).when(n % 5 == 2, F.concat(upper(line), F.lit(" = 1"))).otherwise(line)
     return lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(heading(shown, n % 7 == 3)).alias("headings"))
 
 

@@ -8,11 +8,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ordina.functions import geometry as g
+from ordina.functions.casing import upper
 from ordina.functions.json_schema import check_schema, schema_violations, violations
 from ordina.operators.contracts import quota_decision
 from ordina.operators.panel import split_of
 from ordina.operators.sequences import coalesced
-from ordina.operators.text import author_pattern, caption_name, normalized
+from ordina.operators.text import author_pattern, caption_name, heading, normalized
 from ordina.plans.ranking import average_ranks, ordinals
 from ordina.sources import papers
 
@@ -122,3 +123,15 @@ def test_papers(spark, tmp_path):
     assert scores.count() == 5
     assert math.isclose(scores.agg(F.stddev_samp("score")).first()[0], 0.4472135954999579)
     assert [r["rating"] for r in papers.human_reviews(df).collect()] == [2]
+
+
+def test_upper_keeps_the_length_of_a_text(spark):
+    texts = ["Straße", "ﬁne ᾳ ŉ\nß", "plain é", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(upper(F.col("t"))).collect()]
+    assert got == ["STRAẞE", "ﬁNE ᾼ ŉ\nẞ", "PLAIN É", "", None]
+
+
+def test_a_heading_of_109_characters_with_sharp_s(spark):
+    line = "ß" + "a" * 108
+    row = spark.createDataFrame([(line,)], "t string").select(heading(upper(F.col("t")), F.lit(False))).first()
+    assert row[0]
