@@ -1,4 +1,4 @@
-"""Case of letters, one character for each: what SQL engines other than Spark call upper."""
+"""Text as SQL engines other than Spark give it: upper case of one character for each, Base64 in one line."""
 
 from __future__ import annotations
 
@@ -17,3 +17,8 @@ def upper(c: Column) -> Column:
     parts = F.regexp_extract_all(c, F.lit(f"[{_WIDE}]|[^{_WIDE}]+"), F.lit(0))
     by_part = F.transform(parts, lambda p: F.when(F.contains(F.lit(_WIDE), p), F.translate(p, _WIDE, _SINGLE)).otherwise(F.upper(p)))
     return F.when(F.length(F.upper(c)) == F.length(c), F.upper(c)).otherwise(F.array_join(by_part, ""))
+
+
+def base64(c: Column) -> Column:
+    """Base64 in one line; `F.base64` may break it after each 76 characters."""
+    return F.replace(F.base64(c), F.lit("\r\n"), F.lit(""))

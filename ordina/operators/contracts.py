@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.casing import upper
+from ..functions.strings import base64, upper
 from ..functions.json_schema import schema_violations
 from ..registry import query
 from ..sources.tables import SEQUENCE_SQL, sequence, table
@@ -169,7 +169,7 @@ def job_export(spark, d):
 
 @query("encoded_payload", "SELECT page_id, 'data:text/html;base64,' || base64(encode(url)) AS payload FROM pages")
 def encoded_payload(spark, d):
-    return table(spark, d, "pages").select("page_id", F.concat(F.lit("data:text/html;base64,"), F.base64(F.encode("url", "utf-8"))).alias("payload"))
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("data:text/html;base64,"), base64(F.encode("url", "utf-8"))).alias("payload"))
 
 
 def safe_path(c: Column) -> Column:

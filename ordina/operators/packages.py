@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.strings import base64
 from ..registry import query
 from ..sources.checked import fault, parsed
 from ..sources.tables import table
@@ -401,7 +402,7 @@ def load_input(spark: SparkSession, root: str, format: str = "app-server", base:
     files = spark.read.format("binaryFile").load(f"{root}/*/*").select(parts(F.url_decode("path"))[0]).distinct()
     lists = spark.read.text(f"{root}/*/*.json", wholetext=True).select(*parts(F.url_decode(F.input_file_name())), "value").withColumnRenamed("at", "name")
     images = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(root)
-    images = images.select(*parts(F.url_decode("path")), F.sha2("content", 256).alias("sha"), *([F.base64("content").alias("data")] if format == "responses" else []))
+    images = images.select(*parts(F.url_decode("path")), F.sha2("content", 256).alias("sha"), *([base64(F.col("content")).alias("data")] if format == "responses" else []))
     return package_items(files, lists.where("name = 'index.json'").select("folder", "value"), lists.where("name <> 'index.json'"), images, format, base)
 
 

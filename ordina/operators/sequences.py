@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.casing import upper
+from ..functions.strings import upper
 from ..registry import query
 from ..sources.tables import BOXES_SQL, LINES_SQL, REGIONS_SQL, SEQUENCE_SQL, boxes, lines, regions, sequence, table
 

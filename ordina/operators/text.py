@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.casing import upper
+from ..functions.strings import upper
 from ..registry import query
 from ..sources.tables import LINES_SQL, lines, table
 from .sequences import escaped, escaped_sql

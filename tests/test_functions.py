@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ordina.functions import geometry as g
-from ordina.functions.casing import upper
+from ordina.functions.strings import base64, upper
 from ordina.functions.json_schema import check_schema, schema_violations, violations
 from ordina.operators.contracts import quota_decision
 from ordina.operators.panel import split_of
@@ -135,3 +135,10 @@ def test_a_heading_of_109_characters_with_sharp_s(spark):
     line = "ß" + "a" * 108
     row = spark.createDataFrame([(line,)], "t string").select(heading(upper(F.col("t")), F.lit(False))).first()
     assert row[0]
+
+
+def test_base64_of_long_bytes_is_one_line(spark):
+    import base64 as plain
+
+    data = bytes(range(256))
+    assert spark.createDataFrame([(data,)], "b binary").select(base64(F.col("b"))).first()[0] == plain.b64encode(data).decode()
