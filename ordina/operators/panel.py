@@ -298,7 +298,8 @@ def balanced(u: DataFrame, strata: list[str], key: str, size: int, seeds: tuple[
 def bootstrap_ranked(u: DataFrame, key: str, draws: int = _DRAWS) -> DataFrame:
     """Spearman's correlation v of x and y in each resample b of the units, ranked anew in it. Counts of
     units in draws are those of `bootstrap`; units of one x and y meet before ranks are taken. The rank of a value in a draw is
-    the weight below it plus half of its own: sums inside of ranges of values, shifted by the ranges before (one row a range and draw)."""
+    the weight below it plus half of its own: sums inside of ranges of values, shifted by the ranges before. Those are one row a range and draw and named as the side to
+    broadcast: Spark sizes the cells without their draws and would send all of them to the driver."""
     cells = u.select(F.col(key).alias("paper_id"), "x", "y").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint")))).withColumn("w", F.expr(_WEIGHT)).where("w > 0")
     cells = cells.groupBy("b", "x", "y").agg(F.sum("w").alias("w"))
     for c in ("x", "y"):
@@ -310,7 +311,7 @@ def bootstrap_ranked(u: DataFrame, key: str, draws: int = _DRAWS) -> DataFrame:
         offsets = sizes.select("b", "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
         upto = F.sum("w").over(Window.partitionBy("b", "__r").orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
         own = F.sum("w").over(Window.partitionBy("b", "__r", c))
-        cells = cells.withColumns({"__upto": upto, "__own": own}).join(offsets, ["b", "__r"])
+        cells = cells.withColumns({"__upto": upto, "__own": own}).join(F.broadcast(offsets), ["b", "__r"])
         cells = cells.withColumn(f"r{c}", F.col("__before") + F.col("__upto") - F.col("__own") + (F.col("__own") + 1) / 2).drop("__r", "__upto", "__own", "__before")
     moments = _MOMENTS.replace("* x", "* rx").replace("* y", "* ry")
     return cells.groupBy("b").agg(*[F.expr(m.strip().rpartition(" AS ")[0]).alias(m.strip().rpartition(" AS ")[2]) for m in moments.split(", ")]).select("b", F.expr(_CORR).alias("v"))

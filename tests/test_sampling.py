@@ -45,3 +45,12 @@ def test_small_tables_with_nulls(spark):
     assert {r["k"] for r in sampling.two_margins(df, ["s"], "m", "k", 9).collect()} == {1, 2, 3, 4}
     assert sampling.two_margins(df, ["s"], "m", "k", 2).count() == 2
     assert sampling.two_margins(df.limit(0), ["s"], "m", "k", 2).count() == 0
+
+
+def test_ranked_draws_broadcast_only_the_ranges_before(spark):
+    from ordina.operators.panel import bootstrap_ranked
+
+    u = spark.range(1000).selectExpr("id AS paper_id", "CAST(id % 46 AS DOUBLE) AS x", "CAST(id * 7 % 1000 AS DOUBLE) AS y")
+    plan = bootstrap_ranked(u, "paper_id")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join Inner" in line]
+    assert joins and all("rightHint=(strategy=broadcast)" in line for line in joins)
