@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .checked import fault, json_files, parsed, refused
+from .tables import stored
 
 _VALUE = "struct<value:int>"
 #: One record a file. Reviews may carry optional text fields in other years, which this schema leaves out.
@@ -91,7 +92,7 @@ def checked_manifest(spark: SparkSession, path: str, require_authors: bool = Fal
 def manifest(spark: SparkSession, path: str, require_authors: bool = False) -> DataFrame:
     """Manifest rows in file order with only the allowed columns; blank lines and a byte order mark are skipped. Raises if it
     is empty or a line is refused (see `checked_manifest`)."""
-    rows = checked_manifest(spark, path, require_authors)
+    rows = stored(checked_manifest(spark, path, require_authors), "manifest_rows")  # checked, tested and returned: one pass over the lines
     refused(rows, "lines", "number")
     if not rows.take(1):
         raise ValueError("the manifest is empty")

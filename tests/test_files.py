@@ -298,3 +298,11 @@ def test_surrogates(spark):
     raw = [b"a\xed\xa0\xbd\xed\xb8\x80b", b"\xed\xa0\xbdx", "é".encode(), None]
     df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(raw)], "i int, b binary")
     assert [r["t"] for r in df.select("i", text.repaired("b").alias("t")).orderBy("i").collect()] == ["a😀b", "�x", "é", None]
+
+
+def test_manifest_rows_are_made_once(spark, tmp_path):
+    from ordina.sources import papers
+
+    (tmp_path / "m.jsonl").write_text('{"paper_id":"a","pdf_path":"a.pdf","authors":["A"]}\n')
+    rows = papers.manifest(spark, str(tmp_path / "m.jsonl"))
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.first()["paper_id"] == "a"
