@@ -97,3 +97,28 @@ def test_review_stream_equals_the_batch(spark, tmp_path):
     names = ("events", "kept", "violations", "errors", "warnings", "not_json", "usage", "final", "turn_status", "echo", "status")
     assert {s: tuple(r[n] for n in names) for s, r in last.items()} == {s: tuple(r[n] for n in names) for s, r in batch.items()}
     assert {s: r["status"] for s, r in batch.items()} == {1: "completed", 2: "failed", 3: "quarantined", 4: "failed", 5: "failed", 6: "completed", 7: "failed"} and batch[3]["violations"] == 1
+
+
+def test_a_fold_without_deadlines_is_no_python(spark, tmp_path):
+    """The same changes as those of the processor that keeps deadlines, batch by batch, without a call for each session."""
+    done = _event("turn/completed", turn={"status": "completed"})
+    runs = [
+        [(1, _item("userMessage", "ask")), (2, _item("userMessage", "other")), (3, _item("commandExecution", "ls"))],
+        [(1, _item("agentMessage", "a")), (2, _item("userMessage", "ask")), (3, _item("commandExecution", "ls")), (3, _item("fileChange", "f")), (1, "no json")],
+        [(1, done), (2, done), (3, _event("error", error={"message": "x"}, willRetry=True)), (4, done)],
+    ]
+    rows = [(i, s, 1_000_000 * (100 * i + k + 1), line) for i, own in enumerate(runs) for k, (s, line) in enumerate(own)]
+    log = review.parsed(spark.createDataFrame(rows, "run int, session bigint, seq bigint, line string")).withColumn("ts", F.timestamp_micros("seq"))
+    sent = F.concat(F.lit("text:3:"), F.sha2(F.lit("ask"), 256))
+    changes = {}
+    for deadline in (None, 10**12):
+        grown, place = str(tmp_path / f"in{deadline}"), str(tmp_path / f"place{deadline}")
+        for run in range(len(runs)):
+            log.where(F.col("run") == run).drop("run").write.mode("append").parquet(grown)
+            stream = reviews.fold_stream(spark.readStream.schema(log.drop("run").schema).parquet(grown), sent, deadline)
+            assert ("TransformWithState" in stream._jdf.queryExecution().logical().toString()) == (deadline is not None)
+            out = drained(stream, "update", "t", place)
+        changes[deadline] = sorted(str(r.asDict()) for r in reviews.last_sessions(out, sent).drop("batch").collect())
+        changes[deadline, "stops"] = {r["session"]: r["stop"] for r in out.orderBy("batch").collect()}
+    assert changes[None] == changes[10**12] and len(changes[None]) == 4
+    assert changes[None, "stops"] == changes[10**12, "stops"] == {1: False, 2: True, 3: True, 4: False}
