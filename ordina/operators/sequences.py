@@ -297,14 +297,34 @@ def table_text(lines: list[tuple[float, float, float, float, float, str]], pitch
 
 
 def laid_out(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The text of each table (rows of one key: x0, y0, x1, y1, size, text). A table is one page's; it fits in memory."""
+    """The text of each table (rows of one key: x0, y0, x1, y1, size, text). Rows stream through in partitions sorted by key, so a
+    call meets many tables; one table is one page's, and fits in memory."""
+    shown = ("x0", "y0", "x1", "y1", "size", "text")
+    made = T.StructType([*[df.schema[k] for k in keys], T.StructField("layout", T.StringType())])
+    ordered = df.select(*keys, *shown).repartition(*keys).sortWithinPartitions(*keys)
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = list(zip(*(group[c].to_pylist() for c in ("x0", "y0", "x1", "y1", "size", "text")), strict=True))
-        return pa.table({**{k: group[k][:1] for k in keys}, "layout": [table_text(sorted(rows))]})
-
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInArrow(run, f"{kinds}, layout string")
+    def run(batches):
+        last, held, schema = None, [], None
+        for batch in batches:
+            schema = pa.schema([*[batch.schema.field(k) for k in keys], pa.field("layout", pa.string())])
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in (*keys, *shown)), strict=True):
+                key = row[: len(keys)]
+                if held and key != last:
+                    out.append((*last, table_text(sorted(held))))
+                    held = []
+                last = key
+                held.append(row[len(keys) :])
+            if out:
+                yield _batch(out, schema)
+        if held:
+            yield _batch([(*last, table_text(sorted(held)))], schema)
+
+    return ordered.mapInArrow(run, made)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 @query("table_layout")

@@ -169,6 +169,21 @@ def test_laid_out(spark):
     assert sequences.laid_out(rows, ["page"]).first()["layout"] == "a         b"
 
 
+def test_laid_out_in_one_pass(spark):
+    """Tables stream through batches smaller than they are: no call of Python for each table."""
+    cells = [(p, c % 2 * 42.0, c // 2 * 20.0, c % 2 * 42.0 + 9, c // 2 * 20.0 + 10, 10.0, f"{p}.{c}") for p in (3, None, 1, 2) for c in range(6)]
+    rows = spark.createDataFrame(cells[::-1], "page int, x0 double, y0 double, x1 double, y1 double, size double, text string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        out = sequences.laid_out(rows, ["page"])
+        assert "MapInArrow" in out._jdf.queryExecution().toString() and "GroupMap" not in out._jdf.queryExecution().toString() and "InGroup" not in out._jdf.queryExecution().toString()
+        got = {r["page"]: r["layout"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == {p: sequences.table_text([c[1:] for c in cells if c[0] == p]) for p in (1, 2, 3, None)}
+
+
 def test_compiled_schemas_agree_with_the_plain_check(spark):
     r = random.Random(1)
 
