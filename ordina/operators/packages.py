@@ -372,9 +372,13 @@ def nested_counts(df: DataFrame, outer: str, inner: str, name: str) -> DataFrame
  SELECT match, line, x, y, CASE WHEN i = 1 THEN 'Anonymous' ELSE '' END AS replacement, count(*) AS n FROM r GROUP BY ALL""")
 def wrapped_match_labels(spark, d):
     """A match that wraps over lines is labelled once, at its first rectangle."""
-    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    rows = table(spark, d, "lineitem").withColumn("i", i)
-    return rows.groupBy(F.col("l_orderkey").alias("match"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), F.when(F.col("i") == 1, "Anonymous").otherwise("").alias("replacement")).agg(F.count("*").alias("n"))
+    key, order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_quantity", "l_extendedprice"]
+    # one sort serves all three windows; nothing is held but the rows of one rectangle
+    same = Window.partitionBy(*key)
+    rows = table(spark, d, "lineitem").select(*key, *order).withColumns({"i": F.row_number().over(Window.partitionBy(key[0]).orderBy(*key[1:], *order)), "j": F.row_number().over(same.orderBy(*order)), "c": F.count("*").over(same)})
+    n = F.when(F.col("i") == 1, 1).when(F.col("j") == 2, F.col("c") - 1).otherwise(F.col("c"))
+    names = [F.col(k).alias(a) for k, a in zip(key, ("match", "line", "x", "y"), strict=True)]
+    return rows.where("j = 1 or (j = 2 and i = 2)").select(*names, F.when(F.col("i") == 1, "Anonymous").otherwise("").alias("replacement"), n.cast("bigint").alias("n"))
 
 
 # Packages as files
