@@ -11,32 +11,35 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..registry import query
-from ..sources.tables import REGIONS_SQL, regions
+from ..sources.tables import REGIONS_SQL, regions, stored
 
 _BOX = ("x0", "y0", "x1", "y1")
 _PAGE = ["doc", "page"]
 #: A line lies in a region if its centre does and more than this share of it.
 INSIDE = f"{g.centre_inside('l', 'r')} AND {g.overlap('l', 'r')} > 0.4"
+_HELD = f"{g.centre_inside('', 'r.')} AND {g.overlap('', 'r.')} > 0.4"
 
 
 def claims(lines: DataFrame, figures: DataFrame, tables: DataFrame) -> DataFrame:
-    """lines with owner (figure, table or body) and owner_place (of body lines null). One join finds every region that holds a
-    line, one minimum by line picks the owner."""
-    part = lambda df, rank: df.select(*_PAGE, F.lit(rank).alias("rank"), F.col("place").cast("bigint").alias("place"), *[F.col(c).alias(f"r{c}") for c in _BOX])
-    held = lines.select(*_PAGE, "line", *[F.col(c).alias(f"l{c}") for c in _BOX]).join(part(figures, 0).unionByName(part(tables, 1)), _PAGE).where(INSIDE)
-    first = held.groupBy(*_PAGE, "line").agg(F.min(F.struct("rank", "place")).alias("o"))
-    owner = F.when(F.col("o.rank") == 0, "figure").when(F.col("o.rank") == 1, "table").otherwise("body")
-    return lines.join(first, [*_PAGE, "line"], "left").withColumns({"owner": owner, "owner_place": F.col("o.place")}).drop("o")
+    """lines with owner (figure, table or body) and owner_place (of body lines null). A page's regions meet its lines as one array,
+    the least of those that hold a line owns it."""
+    part = lambda df, rank: df.select(*_PAGE, F.struct(F.lit(rank).alias("rank"), F.col("place").cast("bigint").alias("place"), *_BOX).alias("r"))
+    parts = part(figures, 0).unionByName(part(tables, 1)).groupBy(*_PAGE).agg(F.collect_list("r").alias("__parts"))
+    first = F.expr(f"array_min(transform(filter(__parts, r -> {_HELD}), r -> struct(r.rank, r.place)))")
+    owner = F.when(F.col("__o.rank") == 0, "figure").when(F.col("__o.rank") == 1, "table").otherwise("body")
+    return lines.join(parts, _PAGE, "left").withColumn("__o", first).withColumns({"owner": owner, "owner_place": F.col("__o.place")}).drop("__o", "__parts")
 
 
 def coverage(lines: DataFrame, represented: DataFrame) -> DataFrame:
     """What is wrong by page: lines that nothing represents, lines that are represented twice, and characters (without white
     space) of which more or fewer are represented than there are. represented: doc, page, line, text. No row: all is proven."""
-    count = lambda df, name: df.groupBy(*_PAGE, "line").agg(F.count("*").alias(name))
-    both = count(lines, "a").join(count(represented, "b"), [*_PAGE, "line"], "full").fillna(0, ["a", "b"])
-    odd = both.where("a <> b").select(*_PAGE, F.when(F.col("b") == 0, "line without a place").when(F.col("a") == 0, "unknown line").otherwise("line with several places").alias("violation"), F.col("line").cast("string").alias("what"))
-    one = lambda df, sign: df.select(*_PAGE, F.explode(F.split(F.regexp_replace("text", r"\s", ""), "")).alias("what"), F.lit(sign).alias("n")).where("what <> ''")
-    chars = one(lines, 1).unionByName(one(represented, -1)).groupBy(*_PAGE, "what").agg(F.sum("n").alias("n")).where("n <> 0")
+    side = lambda df, a, b: df.select(*_PAGE, "line", "text", F.lit(a).alias("a"), F.lit(b).alias("b"))
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("a", "b")]
+    texts = side(lines, 1, 0).unionByName(side(represented, 0, 1)).groupBy(*_PAGE, "line", "text").agg(*sums)
+    odd = texts.groupBy(*_PAGE, "line").agg(*sums).where("a <> b").select(*_PAGE, F.when(F.col("b") == 0, "line without a place").when(F.col("a") == 0, "unknown line").otherwise("line with several places").alias("violation"), F.col("line").cast("string").alias("what"))
+    # a text that is represented as often as it is there loses no character and adds none: only the others are taken apart
+    each = texts.where("a <> b").select(*_PAGE, F.explode(F.split(F.regexp_replace("text", r"\s", ""), "")).alias("what"), (F.col("a") - F.col("b")).alias("n")).where("what <> ''")
+    chars = each.groupBy(*_PAGE, "what").agg(F.sum("n").alias("n")).where("n <> 0")
     return odd.unionByName(chars.select(*_PAGE, F.when(F.col("n") > 0, "characters lost").otherwise("characters added").alias("violation"), "what"))
 
 
@@ -50,7 +53,8 @@ def page_parts(claimed: DataFrame, figures: DataFrame, tables: DataFrame) -> Dat
     body = claimed.where("owner = 'body'").select(*_PAGE, "y0", F.lit(1).alias("t"), "x0", F.lit("text").alias("kind"), "text", F.lit(1).cast("bigint").alias("lines"), F.col("line").cast("bigint").alias("id"))
     events = image.unionByName(table).unionByName(body)
     none = lambda kind: F.lit(None).cast(kind)
-    pages = events.select(*_PAGE).distinct().select(*_PAGE, none("double").alias("y0"), F.lit(-1).alias("t"), none("double").alias("x0"), F.lit("page_marker").alias("kind"), F.concat(F.lit("page "), F.col("page").cast("string")).alias("text"), F.lit(0).cast("bigint").alias("lines"), F.lit(0).cast("bigint").alias("id"))
+    # every line is of a part and every figure is one, so pages need not wait for the parts
+    pages = claimed.select(*_PAGE).unionByName(figures.select(*_PAGE)).distinct().select(*_PAGE, none("double").alias("y0"), F.lit(-1).alias("t"), none("double").alias("x0"), F.lit("page_marker").alias("kind"), F.concat(F.lit("page "), F.col("page").cast("string")).alias("text"), F.lit(0).cast("bigint").alias("lines"), F.lit(0).cast("bigint").alias("id"))
     order = Window.partitionBy(*_PAGE).orderBy(F.col("t") >= 0, "y0", "t", "x0", "kind", "id")
     return events.unionByName(pages).withColumn("place", F.row_number().over(order)).select(*_PAGE, "place", "kind", "id", "text", "lines")
 
@@ -66,7 +70,7 @@ c AS (SELECT l.*, rank, place FROM l LEFT JOIN (SELECT * FROM h WHERE i = 1) h O
 
 def given(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lines, figures and tables of pages made of line items; what is no region is a line."""
-    every = regions(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("role", "label", "name", *_BOX, "confidence", "forced", "size", "len", "rotation"))).withColumn("doc", F.lit(0))
+    every = stored(regions(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("role", "label", "name", *_BOX, "confidence", "forced", "size", "len", "rotation"))), "given_places").withColumn("doc", F.lit(0))
     tag = F.concat_ws(" ", "role", "kind", "name", F.col("len").cast("string"))
     old = every.where("role = 'old'")
     return every.where("role <> 'old'").select(*_PAGE, F.col("place").alias("line"), tag.alias("text"), *_BOX), old.where("kind = 'figure'"), old.where("kind = 'table'")

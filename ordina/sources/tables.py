@@ -165,7 +165,8 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_discount") * 8, 2).alias("confidence"), ((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1)).alias("forced"),
         (6 + F.round(F.col("l_tax") * 60, 1)).alias("size"), (F.col("l_quantity") * 5).cast("bigint").alias("len"), (F.col("l_orderkey") % 4 * 90).cast("bigint").alias("rotation"),
     )
-    return out.distinct().withColumn("kind", kind_of(F.col("label")))
+    # hardly a row is repeated, so rows go to their pages at once: what follows works by page, without another shuffle
+    return out.repartition("page").distinct().withColumn("kind", kind_of(F.col("label")))
 
 
 def region_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -122,3 +122,28 @@ def test_a_fold_without_deadlines_is_no_python(spark, tmp_path):
         changes[deadline, "stops"] = {r["session"]: r["stop"] for r in out.orderBy("batch").collect()}
     assert changes[None] == changes[10**12] and len(changes[None]) == 4
     assert changes[None, "stops"] == changes[10**12, "stops"] == {1: False, 2: True, 3: True, 4: False}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_and_coverage_make_no_row_a_pair_or_character(spark):
+    lines, figures, tables = _page(spark)
+    claimed = building.claims(lines, figures, tables)
+    assert _plan(claimed).count("Join ") == 1 and "Join " not in _plan(building.coverage(lines, lines.withColumn("text", F.col("text"))))
+    # a line that is there once, and once more with another text, is not unknown; only the other text adds characters
+    more = lines.where("line = 2").withColumn("text", F.lit("xx y"))
+    found = {(r["violation"], r["what"]) for r in building.coverage(lines, claimed.select(*lines.columns).unionByName(more)).collect()}
+    assert found == {("line with several places", "2"), ("characters added", "x"), ("characters added", "y")}
+
+
+def test_labels_of_matches_with_repeated_rectangles(spark, tmp_path):
+    """Windows over one sort, no table of groups in memory."""
+    from ordina.operators.packages import wrapped_match_labels
+
+    rows = [(1, 1, 5, 6, 1.0, 2.0)] * 3 + [(1, 2, 5, 6, 1.0, 2.0)] * 2 + [(2, 1, 7, 8, 1.0, 2.0), (2, 1, 7, 9, 1.0, 2.0)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = wrapped_match_labels(spark, str(tmp_path))
+    assert "Aggregate" not in _plan(out)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 5, 6, "", 2), (1, 1, 5, 6, "Anonymous", 1), (1, 2, 5, 6, "", 2), (2, 1, 7, 8, "Anonymous", 1), (2, 1, 7, 9, "", 1)]
