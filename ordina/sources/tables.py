@@ -52,6 +52,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Like `stored`, bucketed by keys: what is joined by just these keys, or grouped by them and more, is not shuffled again."""
+    spark, named = df.sparkSession, f"ordina_{name}_{uuid.uuid4().hex}"
+    buckets = buckets_of(spark)
+    df.write.format("parquet").option("path", shared_path(spark, name)).bucketBy(buckets, *keys).saveAsTable(named)
+    out = spark.table(named)
+    spark.sql(f"DROP TABLE {named}")  # the name only; the files stay
+    return out
+
+
+def buckets_of(spark: SparkSession) -> int:
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units are orders with five lines or more, rounds their first five lines. Both windows and the join share
     the partitioning by order key."""
@@ -154,7 +168,8 @@ def kind_of(label: Column) -> Column:
     return F.when(F.lower(label) == "table", "table").otherwise("figure")
 
 
-def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def region_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as the line items give them: a few are repeated."""
     x, y = F.col("l_partkey") % 12 * 10, F.col("l_suppkey") % 12 * 15
     label = F.when(F.col("l_linenumber") % 3 == 0, "Table").when(F.col("l_linenumber") % 3 == 1, "figure").otherwise("FIGURE")
     flag = F.col("l_returnflag")
@@ -165,8 +180,12 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_discount") * 8, 2).alias("confidence"), ((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1)).alias("forced"),
         (6 + F.round(F.col("l_tax") * 60, 1)).alias("size"), (F.col("l_quantity") * 5).cast("bigint").alias("len"), (F.col("l_orderkey") % 4 * 90).cast("bigint").alias("rotation"),
     )
-    # hardly a row is repeated, so rows go to their pages at once: what follows works by page, without another shuffle
-    return out.repartition("page").distinct().withColumn("kind", kind_of(F.col("label")))
+    return out.withColumn("kind", kind_of(F.col("label")))
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hardly a row is repeated, so rows go to their pages at once: what follows works by page, without another shuffle."""
+    return region_rows(spark, sf_dir).repartition("page").distinct()
 
 
 def region_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from ordina.operators import fusion
+from ordina.sources.tables import placed
 
 SF = "/root/testdata/sf0.001"
 NAME = r"(?i)\b(?:Figure|Fig\.|Table)\s*([A-Za-z]?\.?\d+(?:[.][\d]+)?[A-Za-z]?)\s*[:.]?"
@@ -195,3 +197,33 @@ def test_a_region_is_taken_once(spark):
     adopted, missing = fusion.adoption(fig, caps)
     assert [r.n.cname for r in adopted.collect()] == ["1"]  # the first in order, though the second is nearer
     assert [r.name for r in missing.collect()] == ["2"]  # the third is the same figure's caption
+
+
+def test_rows_stay_at_their_page(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(200).selectExpr("id div 40 as doc", "id div 4 as page", "if(id % 3 = 0, 'table', 'figure') as kind", "id as det", "id % 7 as v")
+        a, b = placed(rows, ["doc", "page"], "left"), placed(rows.withColumnRenamed("v", "w"), ["doc", "page"], "right")
+        one = fusion.within(a, b, "kind", "det", how="left").groupBy("doc", "page", "kind").agg(F.sum(F.col("v") - F.col("w")).alias("d"), F.count("w").alias("n"))
+        assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+        assert one.agg(F.sum("n"), F.max("d"), F.min("d")).first() == (200, 0, 0)
+        assert fusion.within(a, b.where("kind = 'table'"), "kind", how="left_anti").where("kind = 'table'").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_a_correction_sees_those_before_it(spark):
+    """Of one page: the first moves a region, so the second finds none where it was, and the third finds what the second page's did not touch."""
+    at = lambda p, x: dict(zip([f"{p}{c}" for c in ("x0", "y0", "x1", "y1")], (x, 0.0, x + 10.0, 10.0), strict=True))
+    box = lambda p: ", ".join(f"{p}{c} double" for c in ("x0", "y0", "x1", "y1"))
+    fig = lambda page, x: Row(doc=1, page=page, kind="figure", name=f"{page}", rank=(0, 0), **at("", x), **at("c", x), caption="a", source="s")
+    figures = spark.createDataFrame([fig(1, 0.0), fig(2, 0.0)], f"doc bigint, page bigint, kind string, name string, rank struct<turn:int,place:bigint>, {box('')}, {box('c')}, caption string, source string")
+    change = lambda place, page, decision, old, new: Row(doc=1, place=place, page=page, kind="figure", name=f"n{place}", decision=decision, **at("", new), **at("o", old), **at("c", new), caption="c")
+    changes = [change(1, 1, "relabel", 0.0, 100.0), change(2, 1, "relabel", 0.0, 200.0), change(3, 1, "add", 0.0, 300.0), change(4, 1, "relabel", 300.0, 400.0), change(5, 2, "relabel", 0.0, 500.0)]
+    corrections = spark.createDataFrame(changes, f"doc bigint, place bigint, page bigint, kind string, name string, decision string, {box('')}, {box('o')}, {box('c')}, caption string")
+    missing = spark.createDataFrame([(1, 1, "figure", "n2"), (1, 1, "figure", "n4")], "doc bigint, page bigint, kind string, name string")
+    out = fusion.corrected(figures, missing, corrections)
+    assert [(r.place, r.page, r.name, r.x0) for r in out["figures"].orderBy("place").collect()] == [(0, 1, "n1", 100.0), (1, 2, "n5", 500.0), (2, 1, "n4", 400.0)]
+    assert [r.place for r in out["violations"].collect()] == [2]
+    assert [r.name for r in out["missing"].collect()] == ["n2"]
