@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranking import average_ranks
 from ..registry import query
-from ..sources.tables import PANEL_SQL, panel, stored, units
+from ..sources.tables import PANEL_SQL, buckets_of, panel, stored, units
 
 #: Rates on fewer independent units than this are flagged.
 LOW_SUPPORT = 30
@@ -295,30 +297,89 @@ def balanced(u: DataFrame, strata: list[str], key: str, size: int, seeds: tuple[
     return best[1].select("seed", *u.columns)
 
 
+_PARTS = "kind int, y double, x double, w array<bigint>, wr array<double>, below array<bigint>"
+
+
 def bootstrap_ranked(u: DataFrame, key: str, draws: int = _DRAWS) -> DataFrame:
     """Spearman's correlation v of x and y in each resample b of the units, ranked anew in it. Counts of
-    units in draws are those of `bootstrap`; units of one x and y meet before ranks are taken. The rank of a value in a draw is
-    the weight below it plus half of its own: sums inside of ranges of values, shifted by the ranges before. Those are one row a range and draw and named as the side to
-    broadcast: Spark sizes the cells without their draws and would send all of them to the driver."""
-    cells = u.select(F.col(key).alias("paper_id"), "x", "y").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint")))).withColumn("w", F.expr(_WEIGHT)).where("w > 0")
-    cells = cells.groupBy("b", "x", "y").agg(F.sum("w").alias("w"))
-    for c in ("x", "y"):
-        values = u.agg(F.percentile_approx(F.col(c).cast("double"), [i / 16 for i in range(1, 16)], 10_000).alias("c")).first()["c"] or []
-        below = F.array(*[F.lit(v) for v in sorted(set(values))]).cast("array<double>")
-        cells = cells.withColumn("__r", F.size(F.filter(below, _under(c))))
-        sizes = cells.groupBy("b", "__r").agg(F.sum("w").alias("__n"))
-        before = Window.partitionBy("b").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select("b", "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-        upto = F.sum("w").over(Window.partitionBy("b", "__r").orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        own = F.sum("w").over(Window.partitionBy("b", "__r", c))
-        cells = cells.withColumns({"__upto": upto, "__own": own}).join(F.broadcast(offsets), ["b", "__r"])
-        cells = cells.withColumn(f"r{c}", F.col("__before") + F.col("__upto") - F.col("__own") + (F.col("__own") + 1) / 2).drop("__r", "__upto", "__own", "__before")
-    moments = _MOMENTS.replace("* x", "* rx").replace("* y", "* ry")
-    return cells.groupBy("b").agg(*[F.expr(m.strip().rpartition(" AS ")[0]).alias(m.strip().rpartition(" AS ")[2]) for m in moments.split(", ")]).select("b", F.expr(_CORR).alias("v"))
-
-
-def _under(name: str):
-    return lambda v: v < F.col(name).cast("double")
+    units in draws are those of `bootstrap`. The rank of a value in a draw is the weight below it plus half of its own. Units stream
+    through partitions in the order of y, all draws of a unit at once, so they are never multiplied by the draws: a task sums weights,
+    and weights times ranks of y, by x, and knows ranks from its own start on. What is in the partitions before is added to
+    sums, one row a partition and draw; the first and the last y of a partition, which others may share, come apart. x is the side with fewer values."""
+    u = u.select(F.col(key).cast("bigint").alias("paper_id"), *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in ("x", "y")]).where("paper_id is not null")
+    n = u.agg(F.approx_count_distinct("x"), F.approx_count_distinct("y")).first()
+    if n[0] > n[1]:
+        u = u.withColumnsRenamed({"x": "y", "y": "x"}).select("paper_id", "x", "y")
+    order = F.col("y").asc_nulls_last()
+    ordered = u.repartitionByRange(buckets_of(u.sparkSession), order, "paper_id").sortWithinPartitions(order)
+    hashed = ordered.select("x", "y", F.expr("paper_id * 104729 + 12345").alias("h"), F.expr("paper_id * 31").alias("k"))
+    parts = stored(hashed.mapInArrow(_ranked_parts(draws), _PARTS).withColumn("part", F.spark_partition_id()), "ranked_parts")
+    cells = parts.select("part", "kind", "x", "y", F.posexplode(F.arrays_zip("w", "wr", "below")).alias("b", "m")).select("part", "kind", "x", "y", F.col("b").cast("bigint").alias("b"), "m.*")
+    before = Window.partitionBy("b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cells.groupBy("b", "part").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"))
+    offsets = sizes.select("b", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    cells = cells.join(F.broadcast(offsets), ["b", "part"]).withColumn("off", F.col("off").cast("double"))
+    inner = cells.where("kind = 0").select("b", "x", "w", F.expr("wr + off * w AS wr"), F.expr("2 * off * wr + off * off * w AS wrr"))
+    squares = cells.where("kind = 2").groupBy("b").agg(F.sum("wr").alias("more"))
+    same = Window.partitionBy("b", "y")
+    rank = F.min(F.col("off") + F.col("below")).over(same) + (F.sum("w").over(same) + 1) / 2
+    edges = cells.where("kind = 1").withColumn("r", rank).select("b", "x", "w", F.expr("w * r AS wr"), F.expr("w * r * r AS wrr"))
+    every = inner.unionByName(edges).unionByName(squares.select("b", F.lit(None).cast("double").alias("x"), F.lit(0).cast("bigint").alias("w"), F.lit(0.0).alias("wr"), F.col("more").alias("wrr")))
+    by_x = every.groupBy("b", "x").agg(*[F.sum(c).alias(c) for c in ("w", "wr", "wrr")])
+    upto = F.sum("w").over(Window.partitionBy("b").orderBy(F.col("x").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = by_x.withColumn("rx", upto - F.col("w") + (F.col("w") + 1) / 2)
+    moments = {"n": "sum(w)", "x": "sum(w * rx)", "y": "sum(wr)", "xx": "sum(w * rx * rx)", "yy": "sum(wrr)", "xy": "sum(rx * wr)"}
+    return ranked.groupBy("b").agg(*[F.expr(e).alias(m) for m, e in moments.items()]).where("n > 0").select("b", F.expr(_CORR).alias("v"))
+
+
+def _ranked_parts(draws: int, cells: int = 2**20, most: int = 2**21):
+    """What a task knows of its units (x, y, h and k of the hash; in the order of y), as rows with one number a draw:
+    kind 0, by x: the weights w, and wr, w times rank; kind 1, by x, of a run of one y at the start or end of a slice (others may go on with
+    it): w, and the weight `below` the run; kind 2: w times squared ranks in wr. Ranks count from the task's start. A task
+    works on slices of `cells` weights and gives out its sums by x when there are `most`."""
+    points, step, slots = _POISSON, max(1, cells // draws), max(1, most // draws)
+
+    def rows(kind, y, xs, w, wr, below):
+        lists = [pa.array([[]] * len(xs) if v is None else list(v), pa.list_(t)) for v, t in ((w, pa.int64()), (wr, pa.float64()), (below, pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(xs), pa.int32()), pa.array([y] * len(xs), pa.float64()), pa.array(xs, pa.float64()), *lists], names=["kind", "y", "x", "w", "wr", "below"])
+
+    def by(codes, *tables):
+        order = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        return codes[order[starts]], *[np.add.reduceat(t[order], starts, axis=0) for t in tables]
+
+    def run(batches):
+        counts = np.searchsorted(points, np.arange(1_000_000), side="right")
+        shift, below, squares, inner = np.arange(draws) * 7919, np.zeros(draws, np.int64), np.zeros(draws), {}
+        for batch in batches:
+            h, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "k"))
+            (xs, xv), (ys, yv) = ((c.indices.to_numpy(), c.dictionary.to_pylist()) for c in (batch.column(n).dictionary_encode("encode") for n in ("x", "y")))
+            for i in range(0, len(h), step):
+                x, y = xs[i : i + step], ys[i : i + step]
+                v = np.fmod(np.fmod(h[i : i + step, None] + shift, 1000003) * 9973 + k[i : i + step, None], 1_000_000)
+                w = counts[np.maximum(v, 0)]
+                starts = np.flatnonzero(np.diff(y, prepend=-1))
+                sums = np.add.reduceat(w, starts, axis=0)
+                lows = below + np.cumsum(sums, axis=0) - sums
+                below = below + sums.sum(axis=0)
+                a, z = np.append(starts, len(y))[1], starts[-1]
+                for low, o in ((lows[0], slice(0, a)), (lows[-1], slice(z, len(y))))[: len(starts)]:
+                    codes, own = by(x[o], w[o])
+                    yield rows(1, yv[y[o][0]], [xv[c] for c in codes], own, None, [low] * len(codes))
+                if a < z:
+                    ranks = lows[1:-1] + (sums[1:-1] + 1) / 2
+                    squares += (sums[1:-1] * ranks * ranks).sum(axis=0)
+                    ranks = np.repeat(ranks, np.diff(starts[1:]), axis=0)
+                    for c, *more in zip(*by(x[a:z], w[a:z], w[a:z] * ranks), strict=True):
+                        inner[xv[c]] = [p + q for p, q in zip(inner[xv[c]], more, strict=True)] if xv[c] in inner else more
+                if len(inner) > slots:
+                    yield rows(0, None, list(inner), *zip(*inner.values(), strict=True), None)
+                    inner.clear()
+        if inner:
+            yield rows(0, None, list(inner), *zip(*inner.values(), strict=True), None)
+        yield rows(2, None, [None], None, [squares], None)
+
+    return run
 
 
 _RANKED = "sum(w) OVER (PARTITION BY b ORDER BY {0}) - sum(w) OVER (PARTITION BY b, {0}) + (sum(w) OVER (PARTITION BY b, {0}) + 1) / 2.0::DOUBLE"

@@ -61,6 +61,26 @@ def test_resamples_are_ranked_anew(spark):
     assert len(want) > 9_900 and all(abs(got[b] - v) < 1e-9 for b, v in want.items())
 
 
+def test_ranked_resamples_of_ties_and_nulls_equal_sql(spark, monkeypatch):
+    """One y of most units, in many slices and partitions, and nulls, which are ranked last; units are not multiplied by draws."""
+    import duckdb
+
+    seen, kept, parts = {}, panel.stored, panel._ranked_parts
+    monkeypatch.setattr(panel, "stored", lambda df, name: seen.setdefault(name, kept(df, name)))
+    monkeypatch.setattr(panel, "_ranked_parts", lambda draws: parts(draws, 40 * draws, 5 * draws))
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 31 == 0 else float(rng.integers(1, 9)), None if i % 17 == 0 else 5.0 if i % 4 else round(float(rng.normal(5, 1)), 1)) for i in range(2000)]
+    got = {r["b"]: r["v"] for r in panel.bootstrap_ranked(spark.createDataFrame(rows, "paper_id bigint, x double, y double"), "paper_id", 20).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE u (paper_id BIGINT, vx DOUBLE, vy DOUBLE)")
+    con.executemany("INSERT INTO u VALUES (?, ?, ?)", rows)
+    sql = f"""WITH k AS (SELECT * FROM (SELECT b.range AS b, u.*, {panel._WEIGHT.replace("b *", "b.range *")} AS w FROM range(20) b, u) WHERE w > 0),
+     r AS (SELECT b, w, {panel._RANKED.format("vx")} AS x, {panel._RANKED.format("vy")} AS y FROM k), m AS (SELECT b, {panel._MOMENTS} FROM r GROUP BY b) SELECT b, {panel._CORR} FROM m"""
+    want = dict(con.execute(sql).fetchall())
+    assert len(want) == 20 and all(abs(got[b] - v) < 1e-9 for b, v in want.items())
+    assert seen["ranked_parts"].count() < len(rows)
+
+
 def _event(method, **params):
     return json.dumps({"method": method, "params": params})
 
